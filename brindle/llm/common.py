@@ -36,7 +36,7 @@ def crc_mod(col: str, n: int) -> Column:
     return F.crc32(F.col(col).cast("string").cast("binary")) % n
 
 
-def bounded_slices(batches: Iterator[pa.RecordBatch], text: str, max_bytes: int = 3 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
+def bounded_slices(batches: Iterator[pa.RecordBatch], text: str | int, max_bytes: int = 3 << 20, max_rows: int = 4096) -> Iterator[pa.RecordBatch]:
     """Cut Arrow batches so that each holds about max_bytes of text (a longer text stands alone)."""
     for batch in batches:
         n = batch.num_rows

@@ -99,7 +99,7 @@ class ByteBpe(dict):
 
 
 class WordPieces(dict):
-    """sentencepiece vocabulary; a word (bytes) to (token ids, number of byte-fallback tokens)."""
+    """sentencepiece vocabulary; a word (bytes) to its token ids as little-endian 32-bit integers."""
 
     _made: dict = {}
 
@@ -116,14 +116,18 @@ class WordPieces(dict):
         self.model = sentencepiece.SentencePieceProcessor(model_file=vocabulary_path(name))
         self.is_byte = np.array([self.model.is_byte(i) for i in range(self.model.vocab_size())])
 
-    def __missing__(self, word: bytes) -> bytes:
-        if len(self) >= STORE:
+    def of(self, words: list[bytes]) -> list[bytes]:
+        """Ids of distinct words, each encoded by itself."""
+        new = [w for w in words if w not in self]
+        if len(self) + len(new) > STORE:
             self.clear()
-        ids = np.array(self.model.encode(word.decode("utf-8", "replace")), "<u4").tobytes()
-        if len(word) <= _LONG:
-            self[word] = ids
-        return ids
-
-    def ids(self, words: list[bytes]) -> np.ndarray:
-        """Ids of all words, each encoded by itself."""
-        return np.frombuffer(b"".join(map(self.__getitem__, words)), "<u4")
+            new = words
+        for at in range(0, len(new), 20_000):
+            part = new[at : at + 20_000]
+            coded = self.model.encode([w.decode("utf-8", "replace") for w in part], num_threads=1)
+            self.update(zip(part, (array("I", x).tobytes() for x in coded), strict=True))
+        out = list(map(self.__getitem__, words))
+        for w in new:
+            if len(w) > _LONG:
+                del self[w]
+        return out
