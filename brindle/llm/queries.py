@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lm_scoring, packing, quality_rules, simhash_dedup
+from . import language_id, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup
 from .common import table
 
 
@@ -22,6 +22,10 @@ def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.contract(table(spark, sf_dir, "documents"))
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_classifier.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.contract(table(spark, sf_dir, "documents"))
 
@@ -35,7 +39,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_language_id, op7_lm_scoring, op9_best_fit_packing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op3_language_id, op6_quality_classifier, op7_lm_scoring, op9_best_fit_packing, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
