@@ -185,7 +185,7 @@ def links(distinct_fps: DataFrame, partitions: int | None = None) -> DataFrame:
     """(a, b): verified links that connect exactly the fingerprints within the radius; distinct_fps has a column fp."""
     spark = distinct_fps.sparkSession
     n = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    rows = _variants(distinct_fps).repartition(n, "view", "key").sortWithinPartitions("view", "key")
+    rows = _variants(distinct_fps.select("fp").repartition(n, "fp")).repartition(n, "view", "key").sortWithinPartitions("view", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
