@@ -187,7 +187,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", cells:
     weights = (1 - MIXTURE) * (np.abs(used).mean() if len(used) else 0.0) + MIXTURE * weights
     model = Model(weights, values, MIXTURE * bias, 1.0, 0.0)
     check = np.flatnonzero(apart) if len(set(labels[apart].tolist())) == 2 else np.arange(len(own))
-    model.slope, model.shift = logistic(np.array([model.margin(own[i]) for i in check]), labels[check], n_good / (n_bad + n_good))
+    model.slope, model.shift = logistic(np.array([model.margin(own[i]) for i in check]), labels[check])
     return model
 
 
