@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import language_id, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup
+from . import decontamination, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, url_filter
 from .common import table
 
 
@@ -18,10 +18,22 @@ def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.quality_rules(table(spark, sf_dir, "documents"))
 
 
+def op2_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_scan(table(spark, sf_dir, "documents"))
+
+
 def op3_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return language_id.contract(table(spark, sf_dir, "documents"))
 
 
+def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.contract(table(spark, sf_dir, "pages"), table(spark, sf_dir, "labels"))
+
+
+def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.contract(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -39,7 +51,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op3_language_id, op6_quality_classifier, op7_lm_scoring, op9_best_fit_packing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op9_best_fit_packing, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
