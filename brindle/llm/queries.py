@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, url_filter
+from . import decontamination, html_extract, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, url_filter
 from .common import table
 
 
@@ -42,6 +42,10 @@ def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lm_scoring.contract(table(spark, sf_dir, "documents"))
 
 
+def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract(table(spark, sf_dir, "pages"))
+
+
 def op9_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_packing(table(spark, sf_dir, "documents"))
 
@@ -51,7 +55,7 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op9_best_fit_packing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_html_extraction, op9_best_fit_packing, op10_simhash_near_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
