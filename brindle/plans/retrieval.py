@@ -132,12 +132,12 @@ def r10_embed_text(spark, d):
 
 
 @query(
-    """WITH old AS (SELECT doc_id, sha256(CASE WHEN doc_id % 3 = 0 THEN text || '!' ELSE text END) AS h FROM documents WHERE doc_id % 5 <> 0)
+    """WITH old AS (SELECT doc_id, sha256(CASE WHEN lang = 'de' THEN text || '!' ELSE text END) AS h FROM documents WHERE source <> 'src5')
  SELECT d.doc_id, old.h IS NULL OR old.h <> sha256(d.text) AS needs_reindex FROM documents d LEFT JOIN old USING (doc_id)"""
 )
 def r11_needs_reindex(spark, d):
     docs = table(spark, d, "documents")
-    old = docs.where("doc_id % 5 <> 0").select("doc_id", F.sha2(F.when(F.col("doc_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
+    old = docs.where("source <> 'src5'").select("doc_id", F.sha2(F.when(F.col("lang") == "de", F.concat("text", F.lit("!"))).otherwise(F.col("text")), 256).alias("h"))
     return docs.join(old, "doc_id", "left").select("doc_id", (~F.col("h").eqNullSafe(F.sha2("text", 256))).alias("needs_reindex"))
 
 
