@@ -8,8 +8,9 @@ counts for that, its tokens are scored with the counts of the rest, and they
 return to the counts before the final scores.
 
 Counts never meet in one place. Rows are dealt by hash into blocks of a bounded
-number of bytes. A block sends each of its distinct n-grams once (64-bit keys,
-sorted and compressed, cut by key range), a key range adds up what all blocks
+number of bytes, and travel as compressed bundles. A block sends each of its
+distinct n-grams once (hashed keys, sorted and compressed, cut by key range; words
+have 63 bits, word pairs 20 bits more than it takes to number all tokens), a key range adds up what all blocks
 sent it and answers each block with the totals in the order of its keys. A block
 then scores its own rows. What is shuffled grows with the text; no table of
 counts is broadcast, and a frequent n-gram is one entry a block.
@@ -21,6 +22,7 @@ rows. A text longer than a block makes a block larger, nothing else.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from itertools import chain
 
 import numpy as np
@@ -29,10 +31,12 @@ import xxhash
 import zstandard
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
-from .common import as_bytes, crc_mod, materialize, mix64
+from .common import as_bytes, bounded_slices, crc_mod, materialize, mix64
 
-BLOCK_BYTES = 6 << 20
+BLOCK_BYTES = 4 << 20
+BUNDLE_BYTES = 24 << 20
 PART_KEYS = 1 << 21
 DELETED = 10
 BUCKETS = 48
@@ -41,6 +45,8 @@ NEVER = -10_000
 STORE = 400_000
 END, BEGIN = np.uint64(0x656E64) << np.uint64(1), np.uint64(0x626567696E) << np.uint64(1)
 _ONE = np.uint64(1)
+_SENT = ["words", "words_kept", "words_away", "pairs", "pairs_kept", "pairs_away"]
+_BACK = ["words_kept", "words_away", "pairs_kept", "pairs_away"]
 
 _words: dict[bytes, int] = {}
 
@@ -56,9 +62,9 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 
 
 class Block:
-    """The tokens of a block's rows as keys."""
+    """The tokens of a block's rows as keys: even ones of words, then odd ones of word pairs."""
 
-    def __init__(self, texts: list[bytes]):
+    def __init__(self, texts: list[bytes], pair_bits: int = 63):
         words = [t.lower().split() for t in texts]
         sizes = np.array([len(w) + 1 for w in words], np.int64)
         self.ends = np.cumsum(sizes)
@@ -70,25 +76,62 @@ class Block:
         token[body] = _hashed(list(chain.from_iterable(words)))
         context = np.r_[BEGIN, token[:-1]][:n]
         context[self.starts] = BEGIN
-        pair = mix64(mix64(context) + token) | _ONE
-        self.first = context == BEGIN
-        self.keys, inverse = np.unique(np.r_[token, pair], return_inverse=True)
-        self.token, self.pair = inverse[:n], inverse[n:]
+        blank = np.uint64(64 - pair_bits)
+        pair = (mix64(mix64(context) + token) >> blank << blank) | _ONE
+        first = context == BEGIN
+        self.words, self.token = np.unique(token, return_inverse=True)
+        self.pairs, self.pair = np.unique(pair, return_inverse=True)
+        self.blank = int(blank)
         previous = np.r_[0, self.token[:-1]][:n]
-        self.context = np.where(self.first, self.token[self.ends[0] - 1] if n else 0, previous)  # as many begins as ends
+        self.context = np.where(first, self.token[-1] if n else 0, previous)  # there are as many begins as ends
 
-    def count(self, role: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Counts of each key in rows with role 1 and 2."""
+    def count(self, role: np.ndarray) -> list[list[np.ndarray]]:
+        """For words and pairs, the counts of each key in rows with role 1 and 2."""
         of = np.repeat(role, self.ends - self.starts)
-        both = np.r_[of, of]
-        inverse = np.r_[self.token, self.pair]
-        return tuple(np.bincount(inverse[both == r], minlength=len(self.keys)).astype(np.uint32) for r in (1, 2))
+        sides = ((self.token, len(self.words)), (self.pair, len(self.pairs)))
+        return [[np.bincount(inverse[of == r], minlength=size).astype(np.uint32) for r in (1, 2)] for inverse, size in sides]
 
     def total(self, values: np.ndarray) -> np.ndarray:
         run = np.r_[0.0, np.cumsum(values)]
         return run[self.ends] - run[self.starts]
 
 
+def _bundle(rows: pa.Table | pa.RecordBatch) -> bytes:
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unbundle(rows: pa.Table) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in rows.column("rows").to_pylist()]).combine_chunks()
+
+
+def _bundles(dealt: DataFrame, columns: list[str]) -> DataFrame:
+    """(block, rows): the rows of each partition's share of a block, compressed."""
+
+    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
+        rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
+        block = rows.column("block").to_numpy()
+        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
+        ends = [*starts[1:].tolist(), len(block)]
+        made = [_bundle(rows.slice(a, b - a).select(columns)) for a, b in zip(starts.tolist(), ends, strict=True)]
+        return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(made, pa.binary())], names=["block", "rows"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in bounded_slices(batches, "text"):
+            held.append(batch)
+            size += batch.nbytes
+            if size >= BUNDLE_BYTES:
+                yield flush(held)
+                held, size = [], 0
+        if held:
+            yield flush(held)
+
+    return dealt.select("block", *columns).mapInArrow(run, "block long, rows binary")
+
+
 def _squeeze(x: np.ndarray) -> bytes:
     """Bytes of equal weight stand together, then zstandard."""
     planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
@@ -96,6 +139,8 @@ def _squeeze(x: np.ndarray) -> bytes:
 
 
 def _swell(data: bytes, kind) -> np.ndarray:
+    if not data:
+        return np.zeros(0, kind)
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
     size = np.dtype(kind).itemsize
     return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
@@ -136,82 +181,88 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
 def deleted_interpolation(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score of every row; learned where train holds."""
     kind = docs.schema[doc_id].dataType.simpleString()
+    id_type = to_arrow_type(docs.schema[doc_id].dataType)
     slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("trained"))
     amount = slim.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
     blocks = max(1, -(-amount // block_bytes))
     bits = max(0, int(amount // 4 // part_keys).bit_length())
+    pair_bits = min(63, max(32, int(amount).bit_length() + 20))
     lot = F.xxhash64("doc_id", "text")
     deleted = F.col("trained") & (F.pmod(F.xxhash64("doc_id", F.lit("deleted")), F.lit(DELETED)) == 0)
     role = F.when(~F.col("trained"), 0).when(deleted, 2).otherwise(1).cast("byte")
     dealt = slim.withColumn("role", role).withColumn("block", F.when(F.col("role") == 2, -1 - F.pmod(lot, F.lit(max(1, blocks // DELETED)))).otherwise(F.pmod(lot, F.lit(blocks))))
 
     def send(key, rows):
-        block = Block(as_bytes(rows.column("text").combine_chunks()))
-        kept, away = block.count(rows.column("role").to_numpy())
-        out = []
-        for part, a, b in _ranges(block.keys, bits):
-            steps = np.r_[block.keys[a], np.diff(block.keys[a:b])]
-            out.append((part, key[0].as_py(), _squeeze(steps), _squeeze(kept[a:b]), _squeeze(away[a:b])))
-        columns = list(zip(*out, strict=True)) if out else [[]] * 5
-        return pa.table([pa.array(c, t) for c, t in zip(columns, (pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary()), strict=True)], names=["part", "block", "steps", "kept", "away"])
+        rows = _unbundle(rows)
+        block = Block(as_bytes(rows.column("text").combine_chunks()), pair_bits)
+        out: dict[int, list] = {}
+        for at, (keys, counts) in enumerate(zip((block.words, block.pairs), block.count(rows.column("role").to_numpy()), strict=True)):
+            for part, a, b in _ranges(keys, bits):
+                own = keys[a:b] >> np.uint64(block.blank) if at else keys[a:b]
+                out.setdefault(part, [b""] * 6)[3 * at : 3 * at + 3] = [_squeeze(np.r_[own[0], np.diff(own)]), _squeeze(counts[0][a:b]), _squeeze(counts[1][a:b])]
+        columns = list(zip(*out.values(), strict=True)) if out else [[]] * 6
+        blobs = [pa.array(c, pa.binary()) for c in columns]
+        return pa.table([pa.array(list(out), pa.int64()), pa.array([key[0].as_py()] * len(out), pa.int64()), *blobs], names=["part", "block", *_SENT])
 
     def answer(key, rows):
-        steps = [np.cumsum(_swell(x, np.uint64)) for x in rows.column("steps").to_pylist()]
-        lengths = [len(x) for x in steps]
-        keys, inverse = np.unique(np.concatenate(steps), return_inverse=True)
-        totals = []
-        for name in ("kept", "away"):
-            counts = np.concatenate([_swell(x, np.uint32) for x in rows.column(name).to_pylist()])
-            totals.append(np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.uint64))
-        single = (keys & _ONE) == 0
-        all_counts = (totals[0] + totals[1])[single]
-        ends = np.cumsum(lengths)
-        back = [[_squeeze(t[inverse[e - n : e]]) for n, e in zip(lengths, ends.tolist(), strict=True)] for t in totals]
-        n = len(lengths)
-        return pa.table(
-            [
-                pa.array([*rows.column("block").to_pylist(), None], pa.int64()), pa.array([key[0].as_py()] * (n + 1), pa.int64()),
-                pa.array([*back[0], None], pa.binary()), pa.array([*back[1], None], pa.binary()),
-                pa.array([None] * n + [int(all_counts.sum())], pa.int64()), pa.array([None] * n + [int((all_counts > 0).sum())], pa.int64()), pa.array([None] * n + [int(totals[0][single].sum())], pa.int64()),
-            ],
-            names=["block", "part", "kept", "away", "tokens", "types", "kept_tokens"],
-        )
-
-    sent = dealt.select("block", "role", "text").groupBy("block").applyInArrow(send, "part long, block long, steps binary, kept binary, away binary")
-    answers = materialize(sent.groupBy("part").applyInArrow(answer, "block long, part long, kept binary, away binary, tokens long, types long, kept_tokens long"))
+        n = rows.num_rows
+        back, figures = [], [0, 0, 0]
+        for at in (0, 1):
+            names = _SENT[3 * at : 3 * at + 3]
+            steps = [np.cumsum(_swell(x, np.uint64)) for x in rows.column(names[0]).to_pylist()]
+            ends = np.cumsum([len(x) for x in steps]).tolist()
+            keys, inverse = np.unique(np.concatenate(steps), return_inverse=True)
+            totals = []
+            for name in names[1:]:
+                counts = np.concatenate([_swell(x, np.uint32) for x in rows.column(name).to_pylist()])
+                totals.append(np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.uint64))
+            back += [[_squeeze(t[inverse[a:e]]) for a, e in zip([0, *ends], ends, strict=False)] for t in totals]
+            if not at:
+                both = totals[0] + totals[1]
+                figures = [int(both.sum()), int((both > 0).sum()), int(totals[0].sum())]
+        columns = [pa.array([*rows.column("block").to_pylist(), None], pa.int64()), pa.array([key[0].as_py()] * (n + 1), pa.int64())]
+        columns += [pa.array([*x, None], pa.binary()) for x in back] + [pa.array([None] * n + [x], pa.int64()) for x in figures]
+        return pa.table(columns, names=["block", "part", *_BACK, "tokens", "types", "kept_tokens"])
+
+    blobs = lambda names: ", ".join(f"{x} binary" for x in names)
+    sent = _bundles(dealt, ["role", "text"]).groupBy("block").applyInArrow(send, f"part long, block long, {blobs(_SENT)}")
+    answers = materialize(sent.groupBy("part").applyInArrow(answer, f"block long, part long, {blobs(_BACK)}, tokens long, types long, kept_tokens long"))
     n, v, n_kept = (int(x or 0) for x in answers.where("block is null").agg(F.sum("tokens"), F.sum("types"), F.sum("kept_tokens")).first())
-    answers = answers.where("block is not null").select("block", "part", "kept", "away")
+    answers = answers.where("block is not null").select("block", "part", *_BACK)
 
-    def totals_of(rows: pa.Table) -> tuple[np.ndarray, np.ndarray]:
+    def totals_of(rows):
+        """Totals of the kept and the deleted rows for words, then for pairs, in the order of a block's keys."""
         rows = rows.sort_by("part")
-        return tuple(np.concatenate([_swell(x, np.uint64) for x in rows.column(c).to_pylist()]).astype(np.float64) for c in ("kept", "away"))
+        return [np.concatenate([_swell(x, np.uint64) for x in rows.column(c).to_pylist()]).astype(np.float64) for c in _BACK]
 
     def held_out(rows, found):
         names = ["bucket", "step", "n"]
         if not rows.num_rows:
             return pa.table([pa.array([], pa.int64())] * 3, names=names)
-        block = Block(as_bytes(rows.column("text").combine_chunks()))
-        kept = totals_of(found)[0]
-        context, pair = kept[block.context], kept[block.pair]
+        block = Block(as_bytes(_unbundle(rows).column("text").combine_chunks()), pair_bits)
+        words, _, pairs, _ = totals_of(found)
+        context, pair = words[block.context], pairs[block.pair]
         use = context > 0
-        one = (kept[block.token][use] + 1) / (n_kept + v + 1)
+        one = (words[block.token][use] + 1) / (n_kept + v + 1)
         two = pair[use] / context[use]
         with np.errstate(divide="ignore"):
             step = np.where(two > 0, np.round(np.log(np.maximum(two, 1e-300) / one) * STEPS), NEVER).astype(np.int64)
         cells, counts = np.unique(_bucket(context[use]) * 100_000 + (step + 20_000), return_counts=True)
         return pa.table([pa.array(cells // 100_000), pa.array(cells % 100_000 - 20_000), pa.array(counts.astype(np.int64))], names=names)
 
-    away = dealt.where("block < 0").select("block", "text").groupBy("block").cogroup(answers.where("block < 0").groupBy("block"))
+    away = _bundles(dealt.where("block < 0"), ["text"]).groupBy("block").cogroup(answers.where("block < 0").groupBy("block"))
     cells = away.applyInArrow(held_out, "bucket long, step long, n long").groupBy("bucket", "step").agg(F.sum("n").alias("n")).collect()  # a bounded grid
     weights = fit_weights([(c["bucket"], c["step"], c["n"]) for c in cells])
 
     def score(rows, found):
         names = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not rows.num_rows:
-            return pa.table([rows.column("doc_id"), rows.column("trained"), *[pa.array([], pa.int64())] * 3, *[pa.array([], pa.float64())] * 2], names=names)
-        block = Block(as_bytes(rows.column("text").combine_chunks()))
-        counts = np.add(*totals_of(found))
-        own, context, pair = counts[block.token], counts[block.context], counts[block.pair]
+            return pa.table([pa.array([], id_type), pa.array([], pa.bool_()), *[pa.array([], pa.int64())] * 3, *[pa.array([], pa.float64())] * 2], names=names)
+        rows = _unbundle(rows)
+        block = Block(as_bytes(rows.column("text").combine_chunks()), pair_bits)
+        kept_words, away_words, kept_pairs, away_pairs = totals_of(found)
+        words = kept_words + away_words
+        own, context, pair = words[block.token], words[block.context], (kept_pairs + away_pairs)[block.pair]
         one = (own + 1) / (n + 1 * (v + 1))
         weight = np.where(context > 0, weights[_bucket(context)], 0.0)
         mixed = weight * pair / np.maximum(context, 1) + (1 - weight) * one
@@ -220,7 +271,7 @@ def deleted_interpolation(docs: DataFrame, train: Column, doc_id: str = "doc_id"
             [rows.column("doc_id"), rows.column("trained"), pa.array(block.ends - block.starts), pa.array(known), pa.array(np.full(rows.num_rows, n)), pa.array(block.total(np.log10(one))), pa.array(block.total(np.log10(mixed)))], names=names
         )
 
-    both = dealt.select("block", "doc_id", "text", "trained").groupBy("block").cogroup(answers.groupBy("block"))
+    both = _bundles(dealt, ["doc_id", "text", "trained"]).groupBy("block").cogroup(answers.groupBy("block"))
     return both.applyInArrow(score, f"doc_id {kind}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
