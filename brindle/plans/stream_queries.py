@@ -1 +1,18 @@
-"""Queries."""
+"""The streaming operators' batch forms over events; tests hold the streams to the same results."""
+
+from __future__ import annotations
+
+from pyspark.sql import functions as F
+
+from ..streaming import events as ev
+from .registry import query, table
+
+
+@query("SELECT time_bucket(INTERVAL 1 HOUR, ts, TIMESTAMP '1970-01-01') AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY ALL")
+def st9_tumbling_windows(spark, d):
+    return ev.windowed(table(spark, d, "events")).withColumn("total", F.round("total", 4))
+
+
+@query("WITH g AS (SELECT *, CASE WHEN ts <= lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 30 MINUTE THEN 0 ELSE 1 END AS new FROM events), s AS (SELECT *, sum(new) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS k FROM g) SELECT user_id, min(ts) AS start, max(ts) + INTERVAL 30 MINUTE AS stop, count(*) AS n FROM s GROUP BY user_id, k")
+def st9_session_windows(spark, d):
+    return ev.sessions(table(spark, d, "events"))
