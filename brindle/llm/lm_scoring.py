@@ -36,8 +36,8 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import as_bytes, bounded_slices, crc_mod, materialize, mix64
 
 BLOCK_BYTES = 4 << 20
-BUNDLE_BYTES = 24 << 20
-PART_KEYS = 1 << 21
+BUNDLE_BYTES = 12 << 20
+PART_KEYS = 1 << 20
 DELETED = 10
 BUCKETS = 48
 STEPS = 8  # histogram steps per unit of the natural log of a ratio of estimates
