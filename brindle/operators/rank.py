@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..functions import vector as vx
+from ..sources.storage import materialize
 
 
 def count_of(words: str, term: str) -> Column:
@@ -53,8 +54,10 @@ def ranked(df: DataFrame, score: str, key: str, buckets: int = 64) -> DataFrame:
     """df with its 1-based rank by score (descending, ties by key), without a single-partition sort.
 
     Rows are cut into score ranges at approximate quantiles; each range is numbered
-    by itself and shifted by the sizes of the ranges above it.
+    by itself and shifted by the sizes of the ranges above it. Scores are kept once,
+    as they are read three times.
     """
+    df = materialize(df)
     cuts = df.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
     cuts = sorted(set(cuts))
     at = F.lit(len(cuts))
