@@ -201,3 +201,37 @@ def test_streams_equal_batches(spark, tmp_path):
     ev.drain(stream, str(tmp_path / "good"), str(tmp_path / "c2"), good=good, quarantine=str(tmp_path / "bad")).awaitTermination(120)
     n_good = spark.read.parquet(str(tmp_path / "good")).count()
     assert n_good == batch.where(good).count()
+
+
+def test_waves_follow_needs_and_guards(spark):
+    from brindle.operators import waves
+
+    w = [
+        waves.Wave("b", lambda df: {"b": F.col("a") + 1}, 1, frozenset({"x"}), frozenset({"a"}), frozenset({"b"})),
+        waves.Wave("a", lambda df: {"a": F.col("id") * 2}, 2, frozenset({"x"}), emits=frozenset({"a"}), when=F.col("id") > 0),
+        waves.Wave("c", lambda df: {"c": F.lit(1)}, 3, needs=frozenset({"gone"}), emits=frozenset({"c"})),
+    ]
+    assert [x.name for x in waves.needed(w, {"b"})] == ["a", "b"] and waves.orphans(w, {"id"}) == {"c": {"gone"}}
+    assert [tuple(r) for r in waves.run(spark.range(2), w, {"x"}).orderBy("id").collect()] == [(0, None, None), (1, 2, 3)]
+    with pytest.raises(ValueError):
+        waves.needed(w, {"zzz"})
+    with pytest.raises(ValueError):
+        waves.from_config(spark.range(1), [{"step": "nope"}])
+    got = waves.from_config(spark.range(6), '[{"step": "derive", "columns": {"k": "id % 2"}}, {"step": "aggregate", "by": ["k"], "columns": {"n": "sum(id)"}}]')
+    assert {r.k: r.n for r in got.collect()} == {0: 6, 1: 9}
+
+
+def test_folds(spark):
+    from brindle.operators import folds
+
+    items = spark.createDataFrame([([(True, 30, 1), (False, 40, 2), (False, 50, 3), (False, 5, 4)],)], "x array<struct<required:boolean,size:long,id:long>>")
+    assert items.select(folds.within_budget(F.col("x"), 100)).first()[0] == [1, 2]
+    v = spark.createDataFrame([("g", 1, [1.0, 0.0]), ("g", 2, [0.9, 0.1]), ("g", 3, [0.0, 1.0])], "g string, k long, v array<double>")
+    assert {r.k: r.cluster for r in folds.online_clusters(v, "g", "k", "v").collect()} == {1: 0, 2: 0, 3: 1}
+    n = spark.createDataFrame([("g", 1, "Anna Smith"), ("g", 2, "Anna Smithson"), ("g", 3, "Bob")], "g string, k long, n string")
+    assert [r.canonical for r in folds.merge_names(n, "g", "k", "n").orderBy("k").collect()][2] == "Bob"
+    s = spark.createDataFrame([("g", 1, "hello"), ("g", 2, "hello there"), ("g", 3, "something else")], "g string, k long, t string")
+    assert [r.text for r in folds.subtitles(s, "g", "k", "t").orderBy("k").collect()] == ["hello there", "something else"]
+    e = spark.createDataFrame([("g", 1, 0, True), ("g", 2, 0, False)], "g string, k long, d int, ok boolean")
+    w = folds.effectiveness(e, "g", "k", "d", "ok").first()
+    assert abs(w.weight - (2 - 1 / np.sqrt(2))) < 1e-9 and w.n == 2
