@@ -226,8 +226,8 @@ def r25_cache_keys(spark, d):
     return hashes.groupBy("source").agg(F.substring(key, 1, 32).alias("cache_key"))
 
 
-@query("WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}]+')) AS words FROM documents) SELECT doc_id, words, CASE WHEN words >= 20000 THEN 'Hierarchical' WHEN words < 150 THEN 'Iterative' WHEN words < 800 THEN 'Hybrid' ELSE 'BertRag' END AS mode FROM w")
+@query("WITH w AS (SELECT doc_id, len(regexp_extract_all(text, '[\\p{L}\\p{Mn}\\p{Nd}\\p{Pc}]+')) AS words FROM documents) SELECT doc_id, words, CASE WHEN words >= 20000 THEN 'Hierarchical' WHEN words < 150 THEN 'Iterative' WHEN words < 800 THEN 'Hybrid' ELSE 'Retrieval' END AS mode FROM w")
 def r26_mode_selection(spark, d):
     n = F.col("words")
-    mode = F.when(n >= 20000, "Hierarchical").when(n < 150, "Iterative").when(n < 800, "Hybrid").otherwise("BertRag")
+    mode = F.when(n >= 20000, "Hierarchical").when(n < 150, "Iterative").when(n < 800, "Hybrid").otherwise("Retrieval")
     return table(spark, d, "documents").select("doc_id", tx.word_count(F.col("text")).cast("long").alias("words")).withColumn("mode", mode)
