@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -71,3 +74,51 @@ def contradictions(signals: DataFrame, owner: str, rules: list[tuple[str, str, s
 
 def decayed(weight: Column, rate: Column, days: Column) -> Column:
     return weight * F.pow(rate, days)
+
+
+#: Characters that are folded at once, and folded votes that a task holds before it hands them on.
+FOLD_CHARS, HELD_VOTES = 1 << 21, 1 << 21
+
+
+def place_votes(rows: DataFrame, text: str = "text", confidence: str = "confidence") -> DataFrame:
+    """(pos, ch, share): the character with most confidence at every place of the texts, from 1, and its share there.
+
+    Ties go to the smaller character; null texts and confidences have no vote. Tasks
+    add up their votes by (place, character) in bounded memory, so what is shuffled
+    are sums, and a long text is taken piece by piece.
+    """
+
+    def folded(parts: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
+        keys, votes = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]]))
+        return keys[first], np.add.reduceat(votes[order], first)
+
+    def batch_of(keys: np.ndarray, votes: np.ndarray) -> Iterator[pa.RecordBatch]:
+        for a in range(0, len(keys), 1 << 16):
+            k = keys[a : a + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(k >> 21), pa.array((k & 0x1FFFFF).astype(np.int32)), pa.array(votes[a : a + (1 << 16)])], names=["pos", "code", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, size = [], 0
+        for batch in batches:
+            for data, c in zip(batch.column("text"), batch.column("c").to_pylist(), strict=True):
+                codes = np.frombuffer(data.as_py().encode("utf-32-le"), np.uint32)
+                for a in range(0, len(codes), FOLD_CHARS):
+                    part = codes[a : a + FOLD_CHARS].astype(np.int64)
+                    parts.append((np.arange(a + 1, a + 1 + len(part), dtype=np.int64) << 21 | part, np.full(len(part), c, np.float64)))
+                    size += len(part)
+                    if size >= FOLD_CHARS:
+                        parts, size = [folded(parts)], 0
+                        if len(parts[0][0]) >= HELD_VOTES:
+                            yield from batch_of(*parts[0])
+                            parts = []
+        if parts:
+            yield from batch_of(*folded(parts))
+
+    slim = rows.select(F.col(text).alias("text"), F.col(confidence).cast("double").alias("c")).where("text is not null and c is not null")
+    votes = slim.mapInArrow(run, "pos long, code int, w double").groupBy("pos", "code").agg(F.sum("w").alias("w"))
+    best = votes.groupBy("pos").agg(F.sum("w").alias("t"), F.max(F.struct("w", (-F.col("code")).alias("less"))).alias("top"))
+    ch = F.decode(F.unhex(F.lpad(F.hex(-F.col("top.less")), 8, "0")), "UTF-32")
+    return best.select("pos", ch.alias("ch"), (F.col("top.w") / F.nullif(F.col("t"), F.lit(0.0))).alias("share"))
