@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import Counter
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -75,23 +76,61 @@ def merge_names(df: DataFrame, group: str, key: str, name: str, least: float = 0
     return _sequential(df.where(F.col(name).isNotNull()).select(group, key, name), group, f"{group} {kinds[0]}, {key} {kinds[1]}, canonical string", run)
 
 
+def within_edits(a: str, b: str, most: int) -> bool:
+    """Whether the Levenshtein distance of a and b is at most most.
+
+    Bounds by length and by character counts come first. The matrix is computed by
+    columns as bits of whole numbers (Myers, Hyyro), and ends when even a match of all
+    that is left would exceed the bound.
+    """
+    if len(a) < len(b):
+        a, b = b, a
+    if len(a) - len(b) > most:
+        return False
+    start = 0
+    while start < len(b) and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < len(b) - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    if not b:
+        return len(a) <= most
+    if (Counter(a) - Counter(b)).total() > most:
+        return False
+    places: dict[str, int] = {}
+    for i, x in enumerate(a):
+        places[x] = places.get(x, 0) | 1 << i
+    full, last = (1 << len(a)) - 1, 1 << len(a) - 1
+    up, down, distance = full, 0, len(a)
+    for left, y in enumerate(b, 1 - len(b)):
+        eq = places.get(y, 0)
+        same = (((eq & up) + up) ^ up) | eq | down
+        more = down | (full & ~(same | up))
+        less = up & same
+        if more & last:
+            distance += 1
+        elif less & last:
+            distance -= 1
+        if distance + left > most:
+            return False
+        more = (more << 1 | 1) & full
+        less = (less << 1) & full
+        cross = eq | down
+        up = less | (full & ~(cross | more))
+        down = more & cross
+    return distance <= most
+
+
 def subtitles(df: DataFrame, group: str, key: str, text: str) -> DataFrame:
     """(group, key, text): of neighbouring texts that contain each other or differ in at most max(3, 15 %) edits the longer stays."""
 
-    def distance(a: str, b: str) -> int:
-        row = list(range(len(b) + 1))
-        for i, x in enumerate(a, 1):
-            before, row[0] = row[0], i
-            for j, y in enumerate(b, 1):
-                before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
-        return row[-1]
-
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         kept: list[list] = []
         for k, t in pdf.sort_values(key)[[key, text]].itertuples(index=False):
             if kept:
                 old = kept[-1][1]
-                if old in t or t in old or distance(old, t) <= max(3, int(0.15 * max(len(old), len(t)))):
+                if old in t or t in old or within_edits(old, t, max(3, int(0.15 * max(len(old), len(t))))):
                     if len(t) > len(old):
                         kept[-1][1] = t
                     continue

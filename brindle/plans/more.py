@@ -130,7 +130,7 @@ def sd10_merge_names(spark, d):
 
 @query()
 def sd11_subtitles(spark, d):
-    return folds.subtitles(table(spark, d, "conversations").withColumn("line", F.substring("text", 1, 80)), "conv_id", "turn", "line")
+    return folds.subtitles(table(spark, d, "conversations"), "conv_id", "turn", "text")
 
 
 @query()

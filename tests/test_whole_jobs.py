@@ -1,8 +1,10 @@
 """Operators on whole inputs: what lies beyond the first characters, links, copies and rounds counts."""
 
+import random
 from collections import defaultdict
 
-from brindle.operators import signals
+from brindle.operators import folds, signals
+from brindle.plans import registry
 
 
 def test_votes_reach_the_last_place(spark, monkeypatch):
@@ -19,3 +21,36 @@ def test_votes_reach_the_last_place(spark, monkeypatch):
         top = min(ch for ch in v if v[ch] == max(v.values()))
         want[i] = (top, round(v[top] / sum(v.values()), 6))
     assert got == want and max(got) == 17 and got[17] == ("é", 0.666667)
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_edit_bound_is_exact():
+    rng = random.Random(5)
+    for _ in range(1500):
+        a = [rng.choice("abcé") for _ in range(rng.randint(0, 90))]
+        b = a[:]
+        for _ in range(rng.randint(0, 12)):
+            at = rng.randint(0, len(b))
+            b[at : at + rng.randint(0, 1)] = rng.choice(["", "a", "d"])
+        b = b if rng.random() < 0.8 else [rng.choice("abcé") for _ in range(rng.randint(0, 90))]
+        a, b = "".join(a), "".join(b)
+        far = _distance(a, b)
+        for most in (0, 3, far - 1, far, far + 1):
+            assert folds.within_edits(a, b, most) == (far <= most), (a, b, most)
+
+
+def test_subtitles_compare_whole_turns(spark, tmp_path):
+    same = "the first eighty characters of these turns are the same, word for word and all through, "
+    assert len(same) > 80
+    turns = [(1, 1, same + "but one goes on about harbours and the weather at sea"), (1, 2, same + "while two is a recipe for bread with rye, salt, water"), (1, 3, same + "while two is a recipe for bread with rye, salt, waters")]
+    spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
+    got = [(r.turn, r.text) for r in registry.queries()["sd11_subtitles"](spark, str(tmp_path)).orderBy("turn").collect()]
+    assert got == [(1, turns[0][2]), (2, turns[2][2])]
