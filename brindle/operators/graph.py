@@ -91,3 +91,20 @@ def candidates(docs: DataFrame, doc_id: str, text: str, min_idf: float = 3.5) ->
     df = terms.groupBy("name").agg(F.count("*").alias("mentions"))
     scored = df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("total")))).withColumn("idf", F.log(F.col("total") / F.col("mentions"))).where(F.col("idf") >= min_idf)
     return scored.select("name", "mentions", F.least(F.lit(0.9), 0.4 + 0.05 * F.col("idf")).alias("confidence"), F.lit("technology").alias("kind"))
+
+
+def link_relations(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:
+    """(page_id, href, target, relation): every link of a page, as often as it stands there.
+
+    Links within the site are references to their href. Absolute http links are
+    links_to github:owner/repository, or else site:domain without www. Fragments
+    alone and other schemes are no links to pages.
+    """
+    quoted = F.regexp_extract_all(html, F.lit(r"(?i)<a\s(?:[^>]*?\s)?href\s*=\s*(\"[^\"]*\"|'[^']*')"), F.lit(1))
+    found = pages.select(F.col(page_id).alias("page_id"), F.explode(quoted).alias("q")).select("page_id", F.expr("trim(substring(q, 2, length(q) - 2))").alias("href"))
+    outside = F.col("href").rlike("(?i)^(https?:)?//")
+    inside = ~outside & ~F.col("href").rlike("^(#|$|[a-zA-Z][a-zA-Z0-9+.-]*:)")
+    domain = F.regexp_replace(F.lower(F.regexp_extract("href", r"^[^/]*//(?:[^/?#@]*@)?([^/?#:]*)", 1)), r"www\.", "")
+    repository = F.regexp_extract("href", r"^[^/]*//[^/?#]*/([^/?#]+/[^/?#]+)", 1)
+    away = F.when((domain == "github.com") & (repository != ""), F.concat(F.lit("github:"), repository)).otherwise(F.concat(F.lit("site:"), domain))
+    return found.where(inside | outside & (domain != "")).select("page_id", "href", F.when(outside, away).otherwise(F.col("href")).alias("target"), F.when(outside, "links_to").otherwise("references").alias("relation"))

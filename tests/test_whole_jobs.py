@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from brindle.operators import folds, signals
+from brindle.operators import folds, graph, signals
 from brindle.plans import registry
 
 
@@ -54,3 +54,13 @@ def test_subtitles_compare_whole_turns(spark, tmp_path):
     spark.createDataFrame(turns, "conv_id long, turn long, text string").write.parquet(str(tmp_path / "conversations.parquet"))
     got = [(r.turn, r.text) for r in registry.queries()["sd11_subtitles"](spark, str(tmp_path)).orderBy("turn").collect()]
     assert got == [(1, turns[0][2]), (2, turns[2][2])]
+
+
+def test_every_link_of_a_page(spark):
+    html = """<p><a href="/first">a</a> <a class='x' href='/it%22s'>b</a><a href="/first">again</a> <a data-href="/no" href="https://www.github.com/o/r/issues?x">c</a>
+    <A HREF="http://www.x.org:80/p">d</A> <a href="https://github.com/only">e</a> <a href="//cdn.y.net/z">f</a> <a href="#part">g</a> <a href="mailto:a@b">h</a> <a href="next.html">i</a>"""
+    df = spark.createDataFrame([(1, html), (2, "none"), (3, None), (4, '<a href="https://user@z.org">only absolute</a>')], "page_id long, html string")
+    got = sorted((r.page_id, r.target, r.relation) for r in graph.link_relations(df).collect())
+    inside = [(1, t, "references") for t in ("/first", "/first", "/it%22s", "next.html")]
+    outside = [(1, t, "links_to") for t in ("github:o/r", "site:x.org", "site:github.com", "site:cdn.y.net")]
+    assert got == sorted([*inside, *outside, (4, "site:z.org", "links_to")])
