@@ -39,6 +39,27 @@ def hamming_pairs(rows: DataFrame, key: str, bits: str, radius: int = 5) -> Data
     return near.where(~earlier).select(F.col("ak").alias("a"), F.col("bk").alias("b"), "distance")
 
 
+def hamming_members(rows: DataFrame, key: str, bits: str) -> DataFrame:
+    """(key, representative) of every row: the smallest key of its value, under which hamming_pairs gives the value's links.
+
+    Rows without a value are equal to nothing and stand for themselves.
+    """
+    slim = rows.select(F.col(key).alias("_key"), F.col(bits).alias("_bits"))
+    first = slim.where("_bits is not null").groupBy(F.col("_bits").alias("_hash")).agg(F.min("_key").alias("_first"))
+    return slim.join(first, F.col("_bits") == F.col("_hash"), "left").select(F.col("_key").alias(key), F.coalesce("_first", "_key").alias("representative"))
+
+
+def hamming_leaders(rows: DataFrame, key: str, bits: str, radius: int = 5) -> DataFrame:
+    """(k, leader) of every row: leaders() over the distinct values, carried to all their copies.
+
+    A copy has the neighbours of its representative, which comes before it, so both
+    have one leader.
+    """
+    members = materialize(hamming_members(rows, key, bits).select(F.col(key).alias("k"), "representative"))
+    led = leaders(members.select(F.col("representative").alias("k")), hamming_pairs(rows, key, bits, radius))
+    return members.join(led.select(F.col("k").alias("representative"), "leader"), "representative", "left").select("k", "leader")
+
+
 def leaders(nodes: DataFrame, links: DataFrame, key: str = "k", rounds: int = 50) -> DataFrame:
     """(key, leader): greedy leader clustering in key order over links (a < b).
 

@@ -10,6 +10,10 @@ from ..operators import dedup as dd
 from .registry import query, table
 
 
+def _hashes(spark, d):
+    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0.05, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
+    return table(spark, d, "embeddings").select("vec_id", bits.alias("h"))
+
 
 @query(r"WITH h AS (SELECT doc_id, substr(sha256(lower(trim(regexp_replace(text, '[ \t\n\v\f\r]+', ' ', 'g')))), 1, 16) AS hash FROM documents) SELECT hash, min(doc_id) AS keeper, count(*) AS copies FROM h GROUP BY 1 HAVING copies > 1")
 def sd6_exact_duplicates(spark, d):
@@ -18,14 +22,18 @@ def sd6_exact_duplicates(spark, d):
 
 @query("WITH v AS (SELECT vec_id AS k, list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0.05 THEN (1::HUGEINT << (i - 1)::INT) ELSE 0::HUGEINT END), lambda x, y: x + y) AS h FROM embeddings), g AS (SELECT min(k) AS k, h FROM v GROUP BY h) SELECT a.k AS a, b.k AS b, bit_count(xor(a.h, b.h))::INT AS distance FROM g a JOIN g b ON a.k < b.k WHERE bit_count(xor(a.h, b.h)) <= 12")
 def sd7_hamming_pairs(spark, d):
-    bits = F.aggregate(F.transform("embedding", lambda x, i: F.when(x > 0.05, F.call_function("shiftleft", F.lit(1).cast("long"), i)).otherwise(F.lit(0).cast("long"))), F.lit(0).cast("long"), lambda s, x: s.bitwiseOR(x))
-    return dd.hamming_pairs(table(spark, d, "embeddings").select("vec_id", bits.alias("h")), "vec_id", "h", 12)
+    """Links between the representatives of equal hashes; sd7_hamming_members has who stands behind them."""
+    return dd.hamming_pairs(_hashes(spark, d), "vec_id", "h", 12)
+
+
+@query("WITH v AS (SELECT vec_id, list_reduce(list_transform(range(1, 65), lambda i: CASE WHEN embedding[i] > 0.05 THEN (1::HUGEINT << (i - 1)::INT) ELSE 0::HUGEINT END), lambda x, y: x + y) AS h FROM embeddings), g AS (SELECT min(vec_id) AS representative, h FROM v GROUP BY h) SELECT vec_id, representative FROM v JOIN g USING (h)")
+def sd7_hamming_members(spark, d):
+    return dd.hamming_members(_hashes(spark, d), "vec_id", "h")
 
 
 @query()
 def sd7_sd8_leaders(spark, d):
-    pairs = sd7_hamming_pairs(spark, d)
-    return dd.leaders(table(spark, d, "embeddings").select(F.col("vec_id").alias("k")), pairs)
+    return dd.hamming_leaders(_hashes(spark, d), "vec_id", "h", 12)
 
 
 @query("WITH n AS (SELECT min(p_partkey) AS k, lower(p_name) AS s FROM part GROUP BY lower(p_name)) SELECT a.k AS a, b.k AS b, round(1 - levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)), 6) AS similarity FROM n a JOIN n b ON a.k < b.k WHERE 1 - levenshtein(a.s, b.s) / greatest(length(a.s), length(b.s)) >= 0.75")

@@ -3,7 +3,7 @@
 import random
 from collections import defaultdict
 
-from brindle.operators import folds, graph, signals
+from brindle.operators import dedup, folds, graph, signals
 from brindle.plans import registry
 
 
@@ -64,3 +64,20 @@ def test_every_link_of_a_page(spark):
     inside = [(1, t, "references") for t in ("/first", "/first", "/it%22s", "next.html")]
     outside = [(1, t, "links_to") for t in ("github:o/r", "site:x.org", "site:github.com", "site:cdn.y.net")]
     assert got == sorted([*inside, *outside, (4, "site:z.org", "links_to")])
+
+
+def test_copies_share_their_leader(spark):
+    rng = random.Random(8)
+    base = [rng.getrandbits(63) for _ in range(6)]
+    rows = [(i, base[rng.randrange(6)] ^ sum(1 << p for p in rng.sample(range(4), rng.randint(0, 2)))) for i in range(90)] + [(90, None), (91, None)]
+    df = spark.createDataFrame(rows, "k long, v long")
+    want = {}
+    for k, v in rows:
+        near = [w for w, x in rows[:k] if want[w] == w and None not in (v, x) and bin(v ^ x).count("1") <= 1]
+        want[k] = min(near, default=k)
+    assert {r.k: r.leader for r in dedup.hamming_leaders(df, "k", "v", 1).collect()} == want
+    assert len({v for _, v in rows}) < 60
+    first = {}
+    for k, v in rows:
+        first.setdefault(v, k)
+    assert {r.k: r.representative for r in dedup.hamming_members(df, "k", "v").collect()} == {k: k if v is None else first[v] for k, v in rows}
