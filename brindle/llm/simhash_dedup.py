@@ -211,10 +211,10 @@ def links(distinct_fps: DataFrame, partitions: int | None = None) -> DataFrame:
     return rows.mapInArrow(run, "a long, b long").distinct()
 
 
-def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -> DataFrame:
+def connected_components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
     """(node, root), root the smallest node of the component, for every node of an edge.
 
-    Alternating large-star and small-star steps; each round is materialised, so a
+    Alternating large-star and small-star steps until nothing moves; each round is materialised, so a
     lost executor repeats one round at most. Nodes must not be null.
     """
     def size(e: DataFrame) -> tuple:
@@ -222,9 +222,7 @@ def connected_components(edges: DataFrame, a: str = "a", b: str = "b", rounds: i
 
     e = materialize(edges.select(F.greatest(a, b).alias("u"), F.least(a, b).alias("v")).where("u <> v").distinct())
     before = size(e)
-    for _ in range(rounds):
-        if not before[0]:
-            break
+    while before[0]:
         both = e.select("u", "v").union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select(F.col("u").alias("k"), F.least("u", "m").alias("m"))
         large = both.where("v > u").join(low, F.col("u") == F.col("k")).select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct()

@@ -60,25 +60,40 @@ def hamming_leaders(rows: DataFrame, key: str, bits: str, radius: int = 5) -> Da
     return members.join(led.select(F.col("k").alias("representative"), "leader"), "representative", "left").select("k", "leader")
 
 
-def leaders(nodes: DataFrame, links: DataFrame, key: str = "k", rounds: int = 50) -> DataFrame:
+#: Open links that leaders() still settles in rounds; fewer are folded on the driver.
+FOLDED_LINKS = 200_000
+
+
+def leaders(nodes: DataFrame, links: DataFrame, key: str = "k") -> DataFrame:
     """(key, leader): greedy leader clustering in key order over links (a < b).
 
     The first undecided key without an earlier undecided neighbour leads; its later
-    neighbours follow their earliest leader. The rounds are those of the longest
-    descending chain; each is materialised.
+    neighbours follow their earliest leader. Rounds are materialised and settle the
+    first open key at least. Once the links between open keys are few, counted first,
+    the rest is decided in key order on the driver: a long chain would need as many
+    rounds as it has links. Null keys have no leader.
     """
-    state = materialize(nodes.select(F.col(key).alias("k")).distinct().withColumn("leader", F.lit(None).cast(nodes.schema[key].dataType)))
-    links = materialize(links.select("a", "b").distinct())
-    for _ in range(rounds):
-        open_nodes = state.where("leader is null").select("k")
-        earlier = links.join(open_nodes.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct()
-        new = open_nodes.join(earlier, "k", "left_anti")
-        follow = links.join(new.withColumnRenamed("k", "a"), "a").groupBy(F.col("b").alias("k")).agg(F.min("a").alias("to"))
-        mark = new.select("k", F.col("k").alias("to")).unionByName(follow.join(new, "k", "left_anti"))
-        state = materialize(state.join(mark, "k", "left").select("k", F.coalesce("leader", "to").alias("leader")))
-        if state.where("leader is null").isEmpty():
-            break
-    return state
+    kind = nodes.schema[key].dataType.simpleString()
+    state = materialize(nodes.select(F.col(key).alias("k")).distinct().withColumn("leads", F.lit(None).cast("boolean")))
+    links = materialize(links.select("a", "b").distinct().where("a < b").join(state.select(F.col("k").alias("a")), "a", "left_semi").join(state.select(F.col("k").alias("b")), "b", "left_semi").select("a", "b"))
+    open_links = links
+    while (left := open_links.count()) > FOLDED_LINKS:
+        open_nodes = state.where("leads is null and k is not null").select("k")
+        new = open_nodes.join(open_links.select(F.col("b").alias("k")).distinct(), "k", "left_anti")
+        follow = open_links.join(new.withColumnRenamed("k", "a"), "a", "left_semi").select(F.col("b").alias("k")).distinct()
+        mark = new.withColumn("now", F.lit(True)).unionByName(follow.withColumn("now", F.lit(False)))
+        state = materialize(state.join(mark, "k", "left").select("k", F.coalesce("leads", "now").alias("leads")))
+        done = state.where("leads is not null").select("k")
+        open_links = materialize(open_links.join(done.withColumnRenamed("k", "a"), "a", "left_anti").join(done.withColumnRenamed("k", "b"), "b", "left_anti").select("a", "b"))
+    following: set = set()
+    if left:
+        for a, b in sorted(map(tuple, open_links.collect())):  # a is decided before its links come up
+            if a not in following:
+                following.add(b)
+    rest = nodes.sparkSession.createDataFrame([(k,) for k in following], f"k {kind}").withColumn("now", F.lit(False))
+    leading = state.join(rest, "k", "left").where("k is not null and coalesce(leads, now, true)").select(F.col("k").alias("a"))
+    earliest = links.join(leading, "a", "left_semi").groupBy(F.col("b").alias("k")).agg(F.min("a").alias("to"))
+    return state.join(earliest, "k", "left").select("k", F.coalesce("to", "k").alias("leader"))
 
 
 def similar_names(rows: DataFrame, key: str, name: str, least: float = 0.8) -> DataFrame:

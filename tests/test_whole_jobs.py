@@ -81,3 +81,18 @@ def test_copies_share_their_leader(spark):
     for k, v in rows:
         first.setdefault(v, k)
     assert {r.k: r.representative for r in dedup.hamming_members(df, "k", "v").collect()} == {k: k if v is None else first[v] for k, v in rows}
+
+
+def test_leaders_of_a_long_chain(spark):
+    """A path settles about two nodes a round; all have to be settled, whatever the rounds."""
+    n = 5000
+    nodes = spark.createDataFrame([(i,) for i in range(n)] + [(None,)], "k long")
+    links = spark.createDataFrame([(i, i + 1) for i in range(n - 1)], "a long, b long")
+    assert {r.k: r.leader for r in dedup.leaders(nodes, links).collect()} == {None: None} | {i: i - i % 2 for i in range(n)}
+
+
+def test_leaders_in_rounds(spark, monkeypatch):
+    monkeypatch.setattr(dedup, "FOLDED_LINKS", 0)
+    links = [(0, 1), (1, 2), (2, 5), (3, 5), (3, 4)]  # 3 leads a round before 2, which is still the first to lead 5
+    got = {r.k: r.leader for r in dedup.leaders(spark.range(6).withColumnRenamed("id", "k"), spark.createDataFrame(links, "a long, b long")).collect()}
+    assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 2}
