@@ -84,13 +84,38 @@ def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0
 
 
 def candidates(docs: DataFrame, doc_id: str, text: str, min_idf: float = 3.5) -> DataFrame:
-    """(name, mentions, confidence, kind): terms of high idf as entity candidates, grouped in lower case."""
+    """(name, mentions, confidence, kind, signals): entity candidates in lower case, with the documents that mention them so.
+
+    Signals are terms of high idf, terms of Markdown headings (.85), identifiers in
+    inline code (.9) and texts of links within the blog (.75); the most confident,
+    and of equal ones the first, gives the kind.
+    """
     from ..functions import text as tx
 
-    terms = docs.select(F.col(doc_id).alias("doc_id"), F.explode(F.array_distinct(tx.tokens(F.col(text), 3))).alias("name"))
-    df = terms.groupBy("name").agg(F.count("*").alias("mentions"))
-    scored = df.crossJoin(F.broadcast(docs.agg(F.count("*").alias("total")))).withColumn("idf", F.log(F.col("total") / F.col("mentions"))).where(F.col("idf") >= min_idf)
-    return scored.select("name", "mentions", F.least(F.lit(0.9), 0.4 + 0.05 * F.col("idf")).alias("confidence"), F.lit("technology").alias("kind"))
+    t = F.coalesce(F.col(text), F.lit(""))
+    found = docs.select(
+        F.array_distinct(tx.tokens(t, 3)).alias("terms"),
+        tx.tokens(F.array_join(F.regexp_extract_all(t, F.lit(r"(?md)^#{1,3}\s+(.+)$"), F.lit(1)), "\n"), 3).alias("heads"),
+        F.filter(F.transform(F.regexp_extract_all(t, F.lit("`([^`]{2,50})`"), F.lit(1)), lambda x: F.lower(F.trim(x))), lambda x: x.rlike(r"^[a-z_][a-z0-9_.#+-]+$")).alias("codes"),
+        F.filter(F.transform(F.regexp_extract_all(t, F.lit(r"\[([^\]]+)\]\(/blog/[^)]+\)"), F.lit(1)), lambda x: F.lower(F.trim(x))), lambda x: F.length(x).between(3, 50)).alias("links"),
+    )
+    others = F.array_except(F.concat("heads", "codes", "links"), "terms")
+    marks = lambda x, term: F.struct(x.alias("name"), F.lit(term).alias("term"), F.array_contains("heads", x).alias("head"), F.array_contains("codes", x).alias("code"), F.array_contains("links", x).alias("link"))
+    names = found.select(F.explode(F.concat(F.transform("terms", lambda x: marks(x, True)), F.transform(others, lambda x: marks(x, False)))).alias("x")).select("x.*")
+    marked = F.col("head") | F.col("code") | F.col("link")
+    per = names.groupBy("name").agg(F.count_if("term").alias("df"), F.count("*").alias("any"), F.count_if(marked).alias("marked"), *[F.bool_or(c).alias(c) for c in ("head", "code", "link")])
+    scored = per.crossJoin(F.broadcast(docs.agg(F.count("*").alias("total")))).withColumn("idf", F.log(F.col("total") / F.nullif(F.col("df"), F.lit(0))))
+    rare = F.coalesce(F.col("idf") >= min_idf, F.lit(False))
+    rules = [(rare, F.least(F.lit(0.9), 0.4 + 0.05 * F.col("idf")), "technology", "high_idf"), (F.col("head"), F.lit(0.85), "concept", "heading"), (F.col("code"), F.lit(0.9), "code", "inline_code"), (F.col("link"), F.lit(0.75), "concept", "link_text")]
+    best = F.greatest(*[F.when(on, c).otherwise(0.0) for on, c, _, _ in rules])
+    kind = F.coalesce(*[F.when(on & (c == best), F.lit(k)) for on, c, k, _ in rules])
+    signals = F.array_compact(F.array(*[F.when(on, F.lit(s)) for on, _, _, s in rules]))
+    return scored.where(rare | (F.col("marked") > 0)).select("name", F.when(rare, F.col("any")).otherwise(F.col("marked")).alias("mentions"), best.alias("confidence"), kind.alias("kind"), signals.alias("signals"))
+
+
+def significant(found: DataFrame) -> DataFrame:
+    """Candidates with three mentions, or two signals and a confidence of .8."""
+    return found.where("mentions >= 3 or (confidence >= 0.8 and size(signals) >= 2)")
 
 
 def link_relations(pages: DataFrame, page_id: str = "page_id", html: str = "html") -> DataFrame:

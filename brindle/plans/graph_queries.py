@@ -17,7 +17,7 @@ def _edges(spark, d):
 
 @query(r"WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Mn}\p{Nd}\p{Pc}]+'), lambda x: length(x) > 2))) AS name FROM documents), c AS (SELECT count(*) AS total FROM documents), f AS (SELECT name, count(*) AS mentions FROM t GROUP BY 1) SELECT name, mentions, round(least(0.9, 0.4 + 0.05 * ln(total / mentions)), 6) AS confidence, 'technology' AS kind FROM f, c WHERE ln(total / mentions) >= 3.5 AND mentions >= 3")
 def kg1_kg2_candidates(spark, d):
-    return gr.candidates(table(spark, d, "documents"), "doc_id", "text").where("mentions >= 3").withColumn("confidence", F.round("confidence", 6))
+    return gr.significant(gr.candidates(table(spark, d, "documents"), "doc_id", "text")).select("name", "mentions", F.round("confidence", 6).alias("confidence"), "kind")
 
 
 @query("SELECT page_id, regexp_extract(html, 'href=\"(/[^\"]*)\"', 1) AS href, 'references' AS relation FROM pages WHERE regexp_matches(html, 'href=\"/')")

@@ -96,3 +96,16 @@ def test_leaders_in_rounds(spark, monkeypatch):
     links = [(0, 1), (1, 2), (2, 5), (3, 5), (3, 4)]  # 3 leads a round before 2, which is still the first to lead 5
     got = {r.k: r.leader for r in dedup.leaders(spark.range(6).withColumnRenamed("id", "k"), spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {0: 0, 1: 0, 2: 2, 3: 3, 4: 3, 5: 2}
+
+
+def test_candidates_of_four_signals(spark):
+    texts = ["plain words all over"] * 60 + ["# Zebra and words\nplain `Foo.Bar` and `f(x)` with [Blue Whale](/blog/whale) and [out](https://x.org)", "see `foo.bar`", "#### deeper `zebra`", None]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.name: (r.mentions, round(r.confidence, 2), r.kind, tuple(r.signals)) for r in graph.candidates(df, "doc_id", "text").collect()}
+    assert got["zebra"] == (2, 0.9, "code", ("heading", "inline_code"))
+    assert got["foo.bar"] == (2, 0.9, "code", ("inline_code",))
+    assert got["blue whale"] == (1, 0.75, "concept", ("link_text",))
+    assert got["words"] == (1, 0.85, "concept", ("heading",))
+    assert "f(x)" not in got and got["deeper"][3] == ("high_idf",)
+    kept = {r.name for r in graph.significant(graph.candidates(df, "doc_id", "text")).collect()}
+    assert "zebra" in kept and "foo.bar" not in kept and "blue whale" not in kept
