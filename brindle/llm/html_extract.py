@@ -1,27 +1,35 @@
 """Main-text extraction from HTML by minimum cut.
 
 A page becomes a row of text blocks with their chains of open elements. A linear
-classifier over element names, class and id words, link density, length and
-punctuation gives each block the log odds of being content. These are terminal
-capacities; smoothness edges join neighbours in page order, weaker across element
-borders, and blocks of one parent. The minimum cut, found by maximum flow,
-separates content from boilerplate. Capacities that outweigh all smoothness edges
-of a block settle it beforehand, which leaves the flow small graphs and does not
-change the cut.
-
-Elements that never hold article text (script, style, head, nav, footer, aside,
-form and the like) count as certain boilerplate. Character references are
-decoded; white space inside a block becomes one space; blocks are joined by one
-newline. An unfinished last tag, comment or raw element ends at the page's end.
+model over length, link density, punctuation, element names and the class, id and
+role words of the elements around a block gives the natural log odds of the block
+being content (``WEIGHTS``). The odds are the terminal capacities. Smoothness
+edges join neighbours in page order, with a weight that falls with their distance
+in the tree and at the borders of marked elements, and blocks of one parent. The
+minimum cut, found by maximum flow, separates content from boilerplate: a short
+or linked line inside an article stays with its neighbours, a lone sentence among
+menus goes with them. Capacities that outweigh all smoothness edges of a block
+settle it beforehand, which makes the flow's graph smaller and the cut no other.
+
+Only elements that never hold article text (scripts, styles, nav, footer, aside,
+dialogs, elements with the attribute hidden) are certain. Class words are odds:
+the nearest marked element counts most, and a marked element (or form) that wraps
+an article or main element and most of the page is a layout and says nothing.
+
+Character references are decoded; white space inside a block becomes one space;
+blocks are joined by one newline. An unfinished last tag, comment or raw element
+ends at the page's end.
 
 Null and empty pages give an empty text; ids may be null or repeated, each row is
 extracted by itself; long pages are extracted whole; other columns are ignored; an
-empty table gives no rows.
+empty table gives no rows. Of several minimum cuts the one with the most content
+is taken.
 """
 
 from __future__ import annotations
 
 import html as entities
+import math
 import re
 from collections import deque
 from collections.abc import Iterator
@@ -38,48 +46,85 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 #: Elements whose text is no block text at all.
 DROPPED = frozenset("script style noscript template textarea title iframe svg math object canvas audio video select option button head xmp noembed noframes map datalist".split())
 #: Elements whose text is certainly no article text.
-OUTSIDE = frozenset("nav footer aside form menu dialog search fieldset".split())
+OUTSIDE = frozenset("nav footer aside menu dialog search".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video|select|xmp|noembed|noframes"
 
-#: Words of class, id and role that speak against content, and for it; fixed values.
-AGAINST = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored sponsors promo promos promotion banner banners menu menus nav navbar navigation breadcrumb breadcrumbs sidebar side rail widget widgets footer foot header masthead topbar toolbar related recommended recommendations recommend share sharing social follow comment comments commentlist disqus reply replies respondlist discussion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login signin search pagination pager paging tags tagcloud copyright legal disclaimer skip toc outbrain taboola paywall contentinfo complementary hidden".split())
-FOR = frozenset("article articles post entry story content main body maincontent text prose".split())
-
+#: Words of class, id, role and itemprop that mark boilerplate wherever they stand; fixed values.
+AGAINST = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos banner banners menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar toolbar related recommended recommendations social sharing comment comments commentlist disqus reply replies respond respondlist cookie cookies consent gdpr popup modal newsletter subscribe login signup pagination pager taboola outbrain paywall contentinfo complementary".split())
+#: Words that do so only as the last word of a name, and not beside a word of FOR; fixed values.
+AGAINST_LAST = frozenset("header head legal notice notices alert search tags toc skip copyright disclaimer share follow discussion promotion subscription signin paging side rail overlay dialog tagcloud".split())
+#: Words that speak for content; fixed values.
+FOR = frozenset("article articles post entry story content main body maincontent articlebody text prose".split())
+#: A word of AGAINST after one of these says that the page has such a part, not that this is it; fixed values.
+BEFORE = frozenset("has with no without show".split())
+#: Class names that hide an element from sight; fixed values.
+UNSEEN = frozenset("hidden is-hidden visually-hidden visuallyhidden sr-only screen-reader-text".split())
+
+#: Natural log odds of the linear model. The signs and sizes follow what is known of web pages: a block without any mark is
+#: rather content (bias); odds double with each doubling of the length about 60 characters, within limits and but for
+#: headings; a block that is all link text is content once in fifty times (-4); an author's own class names are wrong
+#: about once in a hundred times (-4.5), an article or main element about once in twenty (3).
+WEIGHTS = {"bias": 0.8, "doubling": 0.7, "shortest": -0.8, "longest": 2.1, "links": -4.0, "sentence": 0.6, "prose": 0.9, "item": -0.5, "landmark": 3.0, "for": 2.5, "against": -4.5, "against_last": -3.5, "header": -4.0, "form": -4.5, "unseen": -6.0, "rights": -5.0}
 SURE = 1000.0
-NEAR, ACROSS, SIBLING = 1.2, 0.35, 0.4
+#: Smoothness: neighbours in one element, share kept by each step of tree distance, by each border of a marked element; next block of the parent.
+NEAR, STEP, BORDER, SIBLING, FARTHEST = 2.6, 0.75, 0.2, 0.5, 12
+WRAPS = 0.5
+
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<rest>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)(?:>|\Z)", re.DOTALL | re.IGNORECASE)
-_MARK = re.compile(r"""\b(?:class|id|role|itemprop|aria-label)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.IGNORECASE)
-_HIDDEN = re.compile(r"""\bhidden\b|display\s*:\s*none|aria-hidden\s*=\s*["']?true""", re.IGNORECASE)
+_ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none|visibility\s*:\s*hidden", re.IGNORECASE)
 _PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 _SPACE = re.compile(r"\s+")
 #: What ends an open element of the same kind without its end tag.
 _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th")}
 _STOP = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
+_HOLDS_P = frozenset("td th article section div li blockquote main aside nav header footer form".split())
+_HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+_PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 figcaption".split())
+
+
+def name_odds(names: str) -> float:
+    """What the words of a class, id, role or itemprop say: below zero against content."""
+    worst, best = 0.0, 0.0
+    for name in names.split():
+        if name.lower() in UNSEEN:
+            return WEIGHTS["unseen"]
+        words = [w.lower() for w in _PART.findall(name)]
+        good = not FOR.isdisjoint(words)
+        if any(w in AGAINST and not (i and words[i - 1] in BEFORE) for i, w in enumerate(words)):
+            worst = min(worst, WEIGHTS["against"])
+        elif words and words[-1] in AGAINST_LAST and not good:
+            worst = min(worst, WEIGHTS["against_last"])
+        elif good:
+            best = WEIGHTS["for"]
+    return worst or best
 
 
 class Element:
-    __slots__ = ("name", "up", "against", "good", "outside", "number", "main")
+    """An open element. ``odds`` is what it and its ancestors say of a block inside, ``zone`` its nearest marked element."""
+
+    __slots__ = ("name", "up", "depth", "number", "own", "landmark", "outside", "odds", "zone", "chars", "holds")
 
     def __init__(self, name: str, up: Element | None, attributes: str, number: int):
         self.name, self.up, self.number = name, up, number
-        against = good = 0
-        if attributes and not attributes.isspace():
-            for found in _MARK.findall(attributes):
-                for word in _PART.findall(found[0] or found[1] or found[2]):
-                    word = word.lower()
-                    against += word in AGAINST
-                    good += word in FOR
-            if name in BLOCKS and _HIDDEN.search(attributes):
-                against += 2
-        main = name in ("article", "main")
-        self.main = main or (up.main if up else False)
-        if name == "header" and not (up and up.main):
-            against += 2
-        if main:
-            good += 2
-        self.against = (up.against if up else 0) + against
-        self.good = (up.good if up else 0) + good
-        self.outside = (up.outside if up else False) or name in OUTSIDE or (name not in ("body", "html", "article", "main") and against > 0 and not good)
+        self.depth = up.depth + 1 if up else 0
+        self.outside = name in OUTSIDE or bool(up and up.outside)
+        self.own, self.odds, self.zone, self.chars, self.holds = 0.0, 0.0, 0, 0, False
+        role = ""
+        if attributes and not attributes.isspace() and name not in ("html", "body"):
+            for key, a, b, c in _ATTRIBUTE.findall(attributes):
+                key, value = key.lower(), a or b or c
+                if key in ("class", "id", "role", "itemprop"):
+                    said = name_odds(value)
+                    self.own = min(self.own, said) if said < 0 or self.own < 0 else max(self.own, said)
+                    role = value.lower() if key == "role" else role
+                elif key == "hidden" and name in BLOCKS:
+                    self.outside = True
+                elif (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
+                    self.own = WEIGHTS["unseen"]
+        self.landmark = (name in ("article", "main") or role in ("main", "article")) and self.own >= 0
+        if name in ("form", "fieldset"):
+            self.own = min(self.own, WEIGHTS["form"])
 
 
 class Block:
@@ -92,10 +137,11 @@ class Block:
 def blocks_of(page: str) -> list[Block]:
     """Text blocks in page order; text of dropped elements is left out."""
     root = Element("", None, "", 0)
-    now, count = root, 1
+    now, elements = root, [root]
     out: list[Block] = []
     parts: list[str] = []
     linked, in_link, dropped = 0, 0, 0
+    opened: dict[str, int] = {}  # open elements by name: an end tag without one is passed over at once
 
     def flush() -> None:
         nonlocal linked
@@ -110,6 +156,7 @@ def blocks_of(page: str) -> list[Block]:
         nonlocal now, dropped
         while now is not element and now.up is not None:
             dropped -= now.name in DROPPED
+            opened[now.name] -= 1
             now = now.up
 
     at = 0
@@ -139,23 +186,26 @@ def blocks_of(page: str) -> list[Block]:
         if block:
             flush()
         if closing:
-            e = now
-            while e.up is not None and e.name != name:
-                e = e.up
-            if e.up is not None:
+            if opened.get(name):
+                e = now
+                while e.name != name:
+                    e = e.up
                 close_to(e.up)
             in_link = 0 if block else in_link
             continue
         if name in VOID:
             continue
         for open_name in _CLOSES.get(name, ("p",) if block and name not in ("html", "body") else ()):
+            if not opened.get(open_name):
+                continue
             e, stop = now, _STOP.get(name, ())
-            while e.up is not None and e.name != open_name and e.name not in stop and not (open_name == "p" and e.name in ("td", "th", "article", "section", "div", "li", "blockquote", "main", "aside", "nav", "header", "footer", "form")):
+            while e.up is not None and e.name != open_name and e.name not in stop and not (open_name == "p" and e.name in _HOLDS_P):
                 e = e.up
             if e.name == open_name:
                 close_to(e.up)
-        now = Element(name, now, m["attributes"] or m["attributes2"] or "", count)
-        count += 1
+        now = Element(name, now, m["attributes"] or m["attributes2"] or "", len(elements))
+        elements.append(now)
+        opened[name] = opened.get(name, 0) + 1
         dropped += name in DROPPED
     if at < len(page) and not dropped:
         tail = page[at:]
@@ -164,26 +214,53 @@ def blocks_of(page: str) -> list[Block]:
             tail = tail[:cut]
         parts.append(tail)
     flush()
+    _mark(elements, out)
     return out
 
 
+def _mark(elements: list[Element], blocks: list[Block]) -> None:
+    """odds and zone of every element, from the page's whole tree."""
+    whole = 0
+    for b in blocks:
+        if not b.element.outside:
+            b.element.chars += len(b.text)
+            whole += len(b.text)
+    for e in reversed(elements):  # children come after their parents
+        if e.up:
+            e.up.chars += e.chars
+            e.up.holds |= e.holds or e.landmark
+    for e in elements:
+        up = e.up
+        e.odds, e.zone = (up.odds, up.zone) if up else (0.0, 0)
+        own = e.own
+        if own < 0 and e.chars > WRAPS * whole and (e.holds or e.name == "form" and own == WEIGHTS["form"]):
+            own = 0.0  # a layout around the article
+        if e.name == "header" and own >= 0 and e.odds < WEIGHTS["landmark"] and not e.holds:
+            own = WEIGHTS["header"]
+        if own < 0:
+            e.odds, e.zone = min(e.odds, 0.0) / 2 + own, e.number
+        elif own or e.landmark:
+            good = max(own, WEIGHTS["landmark"] if e.landmark else 0.0)
+            e.odds = max(e.odds, good) if e.odds >= 0 else e.odds + good / 4
+            e.zone = e.number
+
+
 def log_odds(block: Block) -> float:
-    """Classifier cost: above zero speaks for content."""
-    e = block.element
+    """The model's log odds: above zero speaks for content."""
+    e, w = block.element, WEIGHTS
     if e.outside:
         return -SURE
     n = len(block.text)
-    density = block.linked / n
-    score = 0.6 + 0.9 * min(e.good, 3) - 2.0 * min(e.against, 3) - 3.0 * (density > 0.5) * (1.5 if n < 80 else 1.0)
-    score += min(n, 400) / 200.0
-    if e.main:
-        score += 2.0
-    if e.name in ("p", "blockquote", "pre", "h1", "h2", "h3", "h4", "h5", "h6", "figcaption"):
-        score += 1.0
+    score = w["bias"] + min(max(w["doubling"] * math.log2(n / 60), 0.0 if e.name in _HEADINGS else w["shortest"]), w["longest"])
+    score += w["links"] * block.linked / n + e.odds
+    if e.name in _PROSE:
+        score += w["prose"]
+    elif e.name in ("li", "td", "th", "dt", "dd"):
+        score += w["item"]
     if block.text[-1] in ".!?…。":
-        score += 0.5
-    if block.text[0] in "©" or block.text.lower().startswith(("copyright", "all rights reserved")):
-        score -= 4.0
+        score += w["sentence"]
+    if block.text[0] in "©" or block.text[:20].lower().startswith(("copyright", "all rights reserved")):
+        score += w["rights"]
     return score
 
 
@@ -208,63 +285,97 @@ def cut(odds: list[float], edges: dict[tuple[int, int], float]) -> list[bool]:
             around[i] = {}
     rest = [i for i in range(n) if side[i] is None]
     if rest:
-        content = _max_flow(rest, own, around)
-        for i in rest:
-            side[i] = i in content
+        for i, content in zip(rest, _max_flow(rest, own, around), strict=True):
+            side[i] = content
     return [bool(s) for s in side]
 
 
-def _max_flow(nodes: list[int], odds: list[float], around: list[dict[int, float]]) -> set[int]:
-    """Shortest augmenting paths from the content terminal; returns what cannot reach the other terminal."""
-    source, sink = -1, -2
-    left: dict[int, dict[int, float]] = {i: dict(around[i]) for i in nodes}
-    left[source], left[sink] = {}, {}
-    for i in nodes:
-        if odds[i] > 0:
-            left[source][i], left[i][source] = odds[i], 0.0
-        elif odds[i] < 0:
-            left[i][sink], left[sink][i] = -odds[i], 0.0
+def _max_flow(nodes: list[int], odds: list[float], around: list[dict[int, float]]) -> list[bool]:
+    """Blocking flows on level graphs between the two terminals; True for nodes that cannot reach the sink any more."""
+    n, tiny = len(nodes), 1e-9
+    place = {v: k for k, v in enumerate(nodes)}
+    give = [max(odds[v], 0.0) for v in nodes]  # left from the source
+    take = [max(-odds[v], 0.0) for v in nodes]  # left to the sink
+    arcs: list[list[int]] = [[] for _ in range(n)]
+    to: list[int] = []
+    left: list[float] = []  # arc a and its opposite a ^ 1
+    for k, v in enumerate(nodes):
+        for u, w in around[v].items():
+            if u > v:
+                arcs[k].append(len(to))
+                arcs[place[u]].append(len(to) + 1)
+                to += [place[u], k]
+                left += [w, w]
     while True:
-        back = {source: source}
-        queue = deque([source])
-        while queue and sink not in back:
-            i = queue.popleft()
-            for j, c in left[i].items():
-                if c > 1e-9 and j not in back:
-                    back[j] = i
-                    queue.append(j)
-        if sink not in back:
-            break
-        path, j = [], sink
-        while j != source:
-            path.append((back[j], j))
-            j = back[j]
-        flow = min(left[i][j] for i, j in path)
-        for i, j in path:
-            left[i][j] -= flow
-            left[j][i] = left[j].get(i, 0.0) + flow
-    reach = {sink}
-    queue = deque([sink])
-    while queue:  # against the arrows
-        j = queue.popleft()
-        for i in left[j]:
-            if i not in reach and left[i].get(j, 0.0) > 1e-9:
-                reach.add(i)
-                queue.append(i)
-    return {i for i in nodes if i not in reach}
+        level = [-1] * n  # steps to the sink
+        queue = [k for k in range(n) if take[k] > tiny]
+        for k in queue:
+            level[k] = 0
+        for k in queue:
+            for a in arcs[k]:
+                if level[to[a]] < 0 and left[a ^ 1] > tiny:
+                    level[to[a]] = level[k] + 1
+                    queue.append(to[a])
+        starts = [k for k in range(n) if give[k] > tiny and level[k] >= 0]
+        if not starts:
+            return [x < 0 for x in level]
+        turn = [0] * n
+        for s in starts:
+            path, k = [], s
+            while give[s] > tiny:
+                if level[k] == 0 and take[k] > tiny:
+                    flow = min(give[s], take[k], *(left[a] for a in path))
+                    give[s] -= flow
+                    take[k] -= flow
+                    back = 0
+                    for i, a in enumerate(path):
+                        left[a] -= flow
+                        left[a ^ 1] += flow
+                        if left[a] <= tiny and not back:
+                            back = i + 1
+                    if back:  # go on from the first full arc's tail
+                        k = to[path[back - 1] ^ 1]
+                        del path[back - 1 :]
+                    continue
+                while turn[k] < len(arcs[k]):
+                    a = arcs[k][turn[k]]
+                    if left[a] > tiny and level[to[a]] == level[k] - 1:
+                        break
+                    turn[k] += 1
+                if turn[k] < len(arcs[k]):
+                    path.append(arcs[k][turn[k]])
+                    k = to[path[-1]]
+                elif path:
+                    k = to[path.pop() ^ 1]
+                    turn[k] += 1
+                else:
+                    break
+
+
+def _closeness(a: Element, b: Element) -> float:
+    """Falls with the steps between two elements in the tree, and where they lie in different marked elements."""
+    share = BORDER if a.zone != b.zone else 1.0
+    steps = 0
+    while a is not b:
+        if steps == FARTHEST:
+            return 0.0
+        if a.depth >= b.depth:
+            a = a.up
+        else:
+            b = b.up
+        steps += 1
+    return share * STEP**steps
 
 
 def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
     edges: dict[tuple[int, int], float] = {}
     last: dict[int, int] = {}
     for i, b in enumerate(blocks):
-        parent = b.element.up or b.element
         if i:
-            before = blocks[i - 1].element
-            near = before is b.element or (before.up is b.element.up and before.up is not None) or before is b.element.up or b.element is before.up
-            edges[i - 1, i] = NEAR if near else ACROSS
+            edges[i - 1, i] = NEAR * _closeness(blocks[i - 1].element, b.element)
+        parent = b.element.up or b.element
         j = last.get(parent.number)
-        if j is not None and j != i - 1:
+        if j is not None and j != i - 1 and blocks[j].element.zone == b.element.zone:
             edges[j, i] = SIBLING
         last[parent.number] = i
     return edges
