@@ -255,3 +255,54 @@ def test_mined_rules_match_brute_force(spark):
         verdict, confidence = got[i]
         assert verdict == ("block" if fit else "allow")
         assert not fit or abs(confidence - max(fit)) < 1e-9
+
+
+def test_long_and_repeated_urls_are_mined_whole(spark):
+    """30-token URLs, alone and repeated, with every row a possible rule; verdicts as by brute force over rules of three tokens."""
+    import time
+    from itertools import combinations
+
+    rng = random.Random(6)
+    words = [f"t{k}" for k in range(40)]
+    urls = ["http://bad.long.net/" + "/".join(words[:30])] * 12
+    urls += [f"http://{rng.choice(['bad', 'ok'])}.net/" + "/".join(rng.sample(words, rng.randint(1, 6))) for _ in range(60)]
+    urls += ["http://bad.net/" + "/".join(rng.sample(words, 30)) for _ in range(8)]
+    bad = ["bad" in u and rng.random() < 0.9 for u in urls]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame(list(enumerate(bad)), "page_id long, block boolean")
+    began = time.time()
+    got = {r.page_id: (r.verdict, r.confidence) for r in url_filter.url_filter(pages, labels, min_support=0.0, min_confidence=0.8, min_rows=6).collect()}
+    assert time.time() - began < 60
+    tokens = [frozenset({f"host:{x}" for x in brute_url(u)[0].split(".")} | {f"path:{x}" for x in brute_url(u)[1].split("/") if x}) for u in urls]
+    rules = {}
+    for t in set(tokens):
+        for n in (1, 2, 3):
+            for c in combinations(sorted(t), n):
+                if c not in rules:
+                    own = [b for t2, b in zip(tokens, bad, strict=True) if t2.issuperset(c)]
+                    rules[c] = sum(own) / len(own) if sum(own) >= 6 and sum(own) >= 0.8 * len(own) else 0.0
+    for i, t in enumerate(tokens):
+        best = max(rules[c] for n in (1, 2, 3) for c in combinations(sorted(t), n))
+        assert got[i][0] == ("block" if best else "allow")
+        assert not best or abs(got[i][1] - best) < 1e-9
+
+
+def test_one_long_url_takes_no_time(spark):
+    import time
+
+    urls = [f"http://h{k}.net/p{k % 7}/q" for k in range(100)] + ["http://x.net/" + "/".join(f"w{k}" for k in range(30))]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, int(i % 3 == 0 or i == 100)) for i in range(101)], "doc_id long, quality int, toxic int")
+    began = time.time()
+    assert url_filter.contract(pages, labels).count() == 101
+    assert url_filter.url_filter(pages, labels.selectExpr("doc_id as page_id", "toxic = 1 as block")).count() == 101
+    assert time.time() - began < 40
+
+
+def test_fixed_rules_need_floor_of_rows(spark):
+    pages = spark.createDataFrame([(i, f"http://spam.net/x{i}") for i in range(19)], "page_id long, url string")
+    labels = spark.createDataFrame([(i, 0, 1) for i in range(19)], "doc_id long, quality int, toxic int")
+    assert {r.verdict for r in url_filter.contract(pages, labels).collect()} == {"allow"}
+    more = pages.union(spark.createDataFrame([(19, "http://spam.net/x19")], pages.schema))
+    marks = labels.union(spark.createDataFrame([(19, 0, 1)], labels.schema))
+    assert {r.verdict for r in url_filter.contract(more, marks).collect()} == {"block"}
