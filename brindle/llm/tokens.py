@@ -33,6 +33,14 @@ def vocabulary_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _whole(data: bytes) -> bool:
+    try:
+        data.decode()
+    except UnicodeDecodeError:
+        return False
+    return True
+
+
 class ByteBpe(dict):
     """Byte-level BPE; maps a unit (bytes after a cut, without its space) to little-endian 32-bit ids."""
 
@@ -55,6 +63,8 @@ class ByteBpe(dict):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.read_bytes().splitlines())}
         coder = tiktoken.Encoding(path.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole, self.single = coder._core_bpe.encode_ordinary, coder._core_bpe.encode_single_piece
+        self.is_part = np.zeros(max(ranks.values()) + 1, bool)  # tokens that are no whole characters
+        self.is_part[[i for data, i in ranks.items() if not data.isascii() and not _whole(data)]] = True
 
     def __missing__(self, unit: bytes) -> bytes:
         if len(self) >= STORE:
