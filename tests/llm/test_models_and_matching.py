@@ -306,3 +306,72 @@ def test_fixed_rules_need_floor_of_rows(spark):
     more = pages.union(spark.createDataFrame([(19, "http://spam.net/x19")], pages.schema))
     marks = labels.union(spark.createDataFrame([(19, 0, 1)], labels.schema))
     assert {r.verdict for r in url_filter.contract(more, marks).collect()} == {"block"}
+
+
+def _edited(rng, words, vocabulary, lost, scattered):
+    """A copy with about so many of its five-word shingles lost, by single words or by one run."""
+    words = list(words)
+    n = len(words)
+    if scattered:
+        for at in rng.sample(range(2, n - 2), max(1, int(lost * (n - 4)) // 5)):
+            words[at] = rng.choice(vocabulary)
+    else:
+        run = max(1, int(lost * (n - 4)) - 4)
+        at = rng.randrange(0, n - run + 1)
+        words[at : at + run] = [rng.choice(vocabulary) for _ in range(run)]
+    return words
+
+
+def test_the_multi_index_selects_and_keeps_the_recall(spark):
+    """Recall against brute force on edits near the threshold, and the share of random pairs that become candidates."""
+    rng = random.Random(12)
+    vocabulary = [f"v{i}" for i in range(2000)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(rng.choice([30, 45, 60, 90, 120])))) for k in range(60)]
+    rows = []
+    for i in range(600):
+        words = _edited(rng, items[i % 60][1].split(), vocabulary, rng.uniform(0.05, 0.2), i % 2 == 0)
+        rows.append((i, " ".join([*(rng.choice(vocabulary) for _ in range(rng.randint(0, 30))), *words, *(rng.choice(vocabulary) for _ in range(30))])))
+    index = decontamination.Index([(i, t.encode()) for i, t in items])
+    got = set()
+    for r, keys, grams, hits in decontamination._hits([t.encode() for _, t in rows], index):
+        got |= {(r, x[0]) for x in index.search(keys, grams, hits)}
+    want = set()
+    for n, (_, text) in enumerate(rows):
+        words, own = plain(text), plain(items[n % 60][1])
+        target = bag(own)
+        if max(sum((bag(words[i : i + len(own)]) & target).values()) / sum(target.values()) for i in range(len(words) - len(own) + 1)) >= 0.8:
+            want.add((n, n % 60))
+    assert len(want) > 400 and got <= want | (got - want) and not got - want
+    assert len(got & want) >= 0.97 * len(want)
+    some = np.random.default_rng(1).integers(0, 2**63, (400, decontamination.HASHES)).astype(np.uint64) * np.uint64(2)
+    size = decontamination.Size(list(range(200)), [{}] * 200, some[:200])
+    assert len(size.candidates(some[200:], decontamination.RADIUS)[0]) < 0.05 * 200 * 200
+
+
+def test_short_documents_and_short_items(spark):
+    """A document that is an item less some words; items under five words in a long text without a loop over words."""
+    import time
+
+    rng = random.Random(2)
+    body = [f"u{i}" for i in range(40)]
+    items = [(1, " ".join(body)), (2, "three word item"), (3, "three word item"), (4, "one"), (5, "w1 w2 w3 w4")]
+    long = " ".join(f"x{rng.randrange(9999)}" for _ in range(20_000))
+    rows = [(1, " ".join(body[:36]), "x"), (2, " ".join(body[4:]), "x"), (3, " ".join(body[:20]), "x"), (4, long + " Three, word item", "x"), (5, "w1 w2 w3 w4", "x"), (6, "w1 w2 w3", "x")]
+    index = decontamination.Index([(i, t.encode()) for i, t in items])
+    began = time.process_time()
+    for _ in range(10):
+        list(decontamination._hits([rows[3][1].encode()], index))
+    assert time.process_time() - began < 1.5
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    got = sorted((r.doc_id, r.item_id, round(r.similarity, 6)) for r in decontamination.contaminated(make(spark, rows), bench).collect())
+    assert got == [(1, 1, round(32 / 34, 6)), (2, 1, round(32 / 34, 6)), (4, 2, 1.0), (4, 3, 1.0), (5, 5, 1.0)]
+
+
+def test_many_items_of_one_length(spark):
+    rng = random.Random(5)
+    vocabulary = [f"v{i}" for i in range(500)]
+    items = [(k, " ".join(rng.choice(vocabulary) for _ in range(25))) for k in range(4000)]
+    index = decontamination.Index([(i, t.encode()) for i, t in items])
+    text = " ".join(rng.choice(vocabulary) for _ in range(200)) + " " + items[77][1] + " " + " ".join(rng.choice(vocabulary) for _ in range(200))
+    found = [x for r, k, g, h in decontamination._hits([text.encode()], index) for x in index.search(k, g, h)]
+    assert [(x[0], x[1], x[3]) for x in found] == [(77, 200, 1.0)]
