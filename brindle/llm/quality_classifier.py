@@ -8,14 +8,16 @@ usual for such models. Margins become probabilities by a logistic fit on labelle
 rows that the model did not see.
 
 The log-count ratios cover every labelled training row. Only the margin model is
-fitted on a bounded sample: at most ``docs_per_class`` rows a class in
-expectation, chosen by a hash of the id and text. What reaches the driver is
-bounded by the number of cells and by that sample.
+fitted on a bounded sample: the ``docs_per_class`` rows of each class with the
+least hashes of id and text, exactly so many at most, however often rows repeat.
+What reaches the driver is bounded by the number of cells and by that sample.
 
 Null texts are empty; an empty text scores by the model's bias. Rows with a null
 id or label are not learned from, and a null id is never held out. An id with
 several labels counts once for each. Without labels of both classes every score
-is the share of good labels (0.5 without any). Ids may repeat in the documents.
+is the share of good labels (0.5 without any). Ids may repeat in the documents,
+each row is scored by itself; a score of exactly 0.5 predicts 1; very long texts
+are scored whole; other columns are ignored; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -134,9 +136,19 @@ def logistic(margins: np.ndarray, labels: np.ndarray, share: float = 0.5, rounds
     return (a, b) if a > 0 else (1.0, 0.0)
 
 
-def fit(labelled: DataFrame, text: str = "text", label: str = "quality", cells: int = CELLS, docs_per_class: int = DOCS_PER_CLASS) -> Model:
+def _least(rows: DataFrame, k: int, n: int) -> DataFrame:
+    """The k of n rows with the least lot; of equal ones (repeated rows) as many as there is room for."""
+    if n <= k:
+        return rows
+    bar, place = rows.select("lot").orderBy("lot").limit(k).agg(F.max("lot"), F.count("*")).first()
+    below = rows.where(F.col("lot") < bar)
+    return below.union(rows.where(F.col("lot") == bar).limit(place - below.count()))
+
+
+def fit(labelled: DataFrame, text: str = "text", label: str = "quality", cells: int = CELLS, docs_per_class: int = DOCS_PER_CLASS, doc_id: str | None = None) -> Model:
     """Learns from rows with a text and a label (1 good, 0 bad)."""
-    rows = labelled.select(F.col(text).alias("text"), (F.col(label) > 0).cast("byte").alias("label")).where("text is not null and label is not null")
+    lot = F.xxhash64(*[F.col(c) for c in (doc_id, text) if c], F.lit(11))
+    rows = labelled.select(F.col(text).alias("text"), (F.col(label) > 0).cast("byte").alias("label"), lot.alias("lot")).where("text is not null and label is not null")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features(cells)
@@ -150,7 +162,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", cells:
         if sum(docs):
             yield pa.RecordBatch.from_arrays([pa.array(np.r_[-1, at]), pa.array(np.r_[docs[0], found[0, at]]), pa.array(np.r_[docs[1], found[1, at]])], names=["cell", "bad", "good"])
 
-    counted = rows.mapInArrow(count, "cell long, bad long, good long").groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
+    counted = rows.select("text", "label").mapInArrow(count, "cell long, bad long, good long").groupBy("cell").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good")).toArrow()
     cell, bad, good = (counted.column(c).to_numpy() for c in ("cell", "bad", "good"))
     docs = cell == -1
     n_bad, n_good = int(bad[docs].sum()), int(good[docs].sum())
@@ -164,9 +176,10 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", cells:
     logs = np.log(counts / counts.sum(axis=1, keepdims=True))
     values = logs[1] - logs[0]
 
-    bars = [int(min(1.0, docs_per_class / n) * (1 << 30)) for n in (n_bad, n_good)]
-    lot = F.pmod(F.xxhash64("text", F.lit(11)), F.lit(1 << 30))
-    sample = rows.where(lot < F.when(F.col("label") == 1, bars[1]).otherwise(bars[0]))
+    sample = None
+    for kind in (0, 1):
+        part = _least(rows.where(F.col("label") == kind), docs_per_class, (n_bad, n_good)[kind])
+        sample = part if sample is None else sample.union(part)
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         made = Features(cells)
@@ -174,7 +187,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", cells:
             own = made.of(as_bytes(batch.column("text")))
             yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array([np.sort(x).astype("<u4").tobytes() for x in own], pa.binary())], names=["label", "cells"])
 
-    taken = sorted(zip(*sample.mapInArrow(featured, "label byte, cells binary").toArrow().to_pydict().values(), strict=True), key=lambda x: (xxhash.xxh64_intdigest(x[1]), x[0]))
+    taken = sorted(zip(*sample.select("text", "label").mapInArrow(featured, "label byte, cells binary").toArrow().to_pydict().values(), strict=True), key=lambda x: (xxhash.xxh64_intdigest(x[1]), x[0]))
     labels = np.array([x[0] for x in taken])
     own = [np.frombuffer(x[1], "<u4").astype(np.int64) for x in taken]
     apart = np.arange(len(own)) % 5 == 0  # for the logistic fit
@@ -193,7 +206,7 @@ def fit(labelled: DataFrame, text: str = "text", label: str = "quality", cells:
 
 def quality_scores(docs: DataFrame, labelled: DataFrame, doc_id: str = "doc_id", text: str = "text", label: str = "quality", **bounds: int) -> DataFrame:
     """doc_id, score (0 to 1), predicted of every row; the model is fitted on labelled (text and label)."""
-    model = fit(labelled, text, label, **bounds)
+    model = fit(labelled, text, label, doc_id=doc_id if doc_id in labelled.columns else None, **bounds)
     shared = docs.sparkSession.sparkContext.broadcast(model)  # two floats a cell
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -213,6 +226,6 @@ def contract(docs: DataFrame, labels: DataFrame) -> DataFrame:
     known = labels.select("doc_id", "quality").where(remainder != 1)
     if known.count() <= BROADCAST_ROWS:  # 12 bytes a row; more labels are joined by a shuffle
         known = F.broadcast(known)
-    labelled = docs.select("doc_id", "text").join(known, "doc_id").select("text", "quality")
+    labelled = docs.select("doc_id", "text").join(known, "doc_id").select("doc_id", "text", "quality")
     found = quality_scores(docs, labelled)
     return found.select("doc_id", F.coalesce(remainder == 1, F.lit(False)).alias("held_out"), "score", "predicted")
