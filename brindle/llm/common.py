@@ -17,12 +17,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def ensure_checkpoint_dir(spark: SparkSession) -> None:
-    """Use the session's shared folder; set one of our own only where none is configured (tests)."""
+    """Use the session's shared folder, spark.checkpoint.dir. Where it is unset, a session on one machine (tests) takes one of its own; a cluster may not."""
     sc = spark.sparkContext
     if sc._jsc.sc().getCheckpointDir().isDefined():
         return
-    configured = sc.getConf().get("spark.checkpoint.dir")
-    sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="brindle-checkpoint-"))
+    folder = sc.getConf().get("spark.checkpoint.dir")
+    if not folder:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
+        folder = tempfile.mkdtemp(prefix="spark-checkpoint-")
+    sc.setCheckpointDir(folder)
 
 
 def materialize(df: DataFrame) -> DataFrame:

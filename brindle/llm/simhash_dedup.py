@@ -16,7 +16,7 @@ expanded into pairs: see ``_large_bucket``.
 Null texts and texts without a word have the fingerprint zero, which links like
 any other; null ids are kept, and a component's id is its smallest non-null id
 (null if there is none); repeated rows stay repeated; an empty table gives an
-empty result; other columns are ignored.
+empty result; very long texts are hashed whole; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -188,25 +188,31 @@ def links(distinct_fps: DataFrame, partitions: int | None = None) -> DataFrame:
     rows = _variants(distinct_fps.select("fp").repartition(n, "fp")).repartition(n, "view", "key").sortWithinPartitions("view", "key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [np.zeros(0, np.int8), np.zeros(0, np.uint64), np.zeros(0, np.uint64)]
+        parts: list[tuple] = []  # of the bucket that may go on in the next batch
 
         def out(v, k, f):
             a, b = _bucket_links(v, k, f)
             return pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
+        def joined():
+            return [np.concatenate(x) for x in zip(*parts, strict=True)]
+
         for batch in batches:
-            v, k, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("view", "key", "fp"))
-            held = [np.concatenate([x, y]) for x, y in zip(held, (v, k.view(np.uint64), f.view(np.uint64)), strict=True)]
-            v, k, f = held
-            if not len(k):
+            if not batch.num_rows:
                 continue
+            v, k, f = (batch.column(c).to_numpy(zero_copy_only=False) for c in ("view", "key", "fp"))
+            k, f = k.view(np.uint64), f.view(np.uint64)
             other = np.flatnonzero((k != k[-1]) | (v != v[-1]))
-            whole = int(other[-1]) + 1 if len(other) else 0  # the last bucket may go on in the next batch
-            if whole:
-                yield out(v[:whole], k[:whole], f[:whole])
-                held = [v[whole:], k[whole:], f[whole:]]
-        if len(held[1]):
-            yield out(*held)
+            last = int(other[-1]) + 1 if len(other) else 0  # where the batch's last bucket begins
+            if parts and (last or (parts[0][1][0], parts[0][0][0]) != (k[0], v[0])):
+                parts.append((v[:last], k[:last], f[:last]))
+                yield out(*joined())
+                parts = []
+            elif last:
+                yield out(v[:last], k[:last], f[:last])
+            parts.append((v[last:], k[last:], f[last:]))
+        if parts:
+            yield out(*joined())
 
     return rows.mapInArrow(run, "a long, b long").distinct()
 
