@@ -5,16 +5,18 @@ of the free spaces in use finds the tightest bin that still holds an item in a
 few machine instructions. When a new bin is needed and all places are taken, the
 fullest open bin closes. Memory is the open bins, whatever the input.
 
-Items are dealt by hash into groups of a bounded size, and each group is packed
-by itself, the longest items first, ties by hash, so the result depends on the
-rows alone, not on the cluster, and a lost executor only repeats its groups. The
-short items at the end fill what the long ones left; what a group leaves in its
-last bins is lost space, and groups are large enough for that to be about one
-part in a thousand.
+Items are dealt by hash into groups of a bounded size, and each group is a stream
+that is packed by itself, so a lost executor only repeats its groups. A stream
+comes in windows of about twice as many items as there are open bins, the longest
+items of a window first (ties by hash): the short items at a window's end fill
+what its long ones left, so that hardly more sequences are made than by sorting
+the whole group, which no bounded number of open bins could follow.
 
 Null texts are empty and give a piece of one token (the end id); ids may repeat
-or be null, every row is packed; an empty table gives no rows; other columns are
-ignored. Pieces longer than a sequence do not occur.
+or be null, every row is packed; equal rows are spread over the groups by their
+place in the tokenised table; a text of any length is cut into pieces; an empty
+table gives no rows; other columns are ignored. Of equally tight bins the one
+filed last is taken. Pieces longer than a sequence do not occur.
 """
 
 from __future__ import annotations
@@ -32,7 +34,7 @@ from .tokens import ByteBpe
 
 LENGTH = 1024
 END_ID = 2
-OPEN_BINS = 65_536
+OPEN_BINS = 1_024
 GROUP_ITEMS = 50_000
 
 PIECES = "doc_id {kind}, piece int, start long, length long, ids_crc32 long"
@@ -111,10 +113,12 @@ class BestFit:
 def pack(items: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, group_items: int = GROUP_ITEMS) -> DataFrame:
     """items (a column length of 1 up to the sequence's) with sequence_id and offset appended."""
     items = materialize(items)
-    groups = max(1, -(-items.count() // group_items))
-    key = F.xxhash64(*[F.col(f"`{c}`") for c in items.columns])
-    dealt = items.withColumn("_key", key).withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups)))
-    dealt = dealt.repartition(groups, "_group").sortWithinPartitions("_group", F.desc("length"), "_key", *items.columns)
+    n, short = items.agg(F.count("*"), F.count_if(F.col("length") < length)).first()
+    groups = max(1, -(-n // group_items))
+    windows = max(1, -(-short // (2 * open_bins * groups)))
+    key = F.xxhash64(*[F.col(f"`{c}`") for c in items.columns], F.monotonically_increasing_id())  # a written table has fixed places
+    dealt = items.withColumn("_key", key).withColumn("_group", F.pmod(F.xxhash64("_key"), F.lit(groups))).withColumn("_window", F.pmod(F.xxhash64("_key", F.lit(1)), F.lit(windows)))
+    dealt = dealt.repartition(groups, "_group").sortWithinPartitions("_group", "_window", F.desc("length"), "_key")
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in items.schema.fields), "sequence_id long", "offset long"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -127,7 +131,7 @@ def pack(items: DataFrame, length: int = LENGTH, open_bins: int = OPEN_BINS, gro
                 number, offset = fit.place(n)
                 numbers.append(group << 36 | number)
                 offsets.append(offset)
-            kept = [c for c in batch.schema.names if c not in ("_key", "_group")]
+            kept = [c for c in batch.schema.names if c not in ("_key", "_group", "_window")]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in kept), pa.array(numbers, pa.int64()), pa.array(offsets, pa.int64())], names=[*kept, "sequence_id", "offset"])
 
     return dealt.mapInArrow(run, schema)

@@ -162,3 +162,50 @@ def test_best_fit_takes_the_tightest_and_closes_the_fullest():
             best = number
         assert plain[number] == plain[best] and offset == 100 - plain[number]
         plain[number] -= n
+
+
+def test_the_closing_rule_is_in_force_through_the_query(spark):
+    """With few open bins every sequence is what a plain list of open bins makes of the same stream, and bins do close."""
+    rng = random.Random(8)
+    items = spark.createDataFrame([(i, rng.randint(1, 60)) for i in range(2000)] + [(5, 30)] * 500, "doc_id long, length int")
+    by_bins = {}
+    for open_bins in (3, 40, 1024):
+        rows = packing.pack(items, length=100, open_bins=open_bins, group_items=10**6).collect()
+        assert len(rows) == 2500
+        open_, closed = {}, 0
+        for r in rows:  # one group: the rows come in the stream's order
+            number, n = r.sequence_id & (1 << 36) - 1, r.length
+            fits = [left for left in open_.values() if left >= n]
+            if fits:
+                assert open_[number] == min(fits) and r.offset == 100 - min(fits)
+            else:
+                assert number not in open_ and r.offset == 0
+                if len(open_) >= open_bins:
+                    least = min(open_.values())
+                    gone = [k for k, left in open_.items() if left == least]
+                    again = {x.sequence_id & (1 << 36) - 1 for x in rows[rows.index(r) :]} if len(gone) > 1 else set()
+                    del open_[next((k for k in gone if k not in again), gone[-1])]
+                    closed += 1
+                open_[number] = 100
+            open_[number] -= n
+            if not open_[number]:
+                del open_[number]
+            assert len(open_) <= open_bins
+        by_bins[open_bins] = len({r.sequence_id for r in rows}), closed
+    assert by_bins[3][1] > 0 and by_bins[40][1] > 0
+    assert by_bins[3][0] >= by_bins[40][0] >= by_bins[1024][0]
+
+
+def test_repeated_rows_spread_over_the_groups(spark):
+    items = spark.createDataFrame([(1, 7)] * 6000, "doc_id long, length int")
+    groups = {}
+    for r in packing.pack(items, length=100, open_bins=16, group_items=1000).collect():
+        groups[r.sequence_id >> 36] = groups.get(r.sequence_id >> 36, 0) + 1
+    assert len(groups) == 6 and max(groups.values()) < 1300
+
+
+def test_few_sequences_on_the_table(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    got = packing.best_fit_packing(docs).agg({"length": "sum", "sequence_id": "count"}).first()
+    made = packing.best_fit_packing(docs).select("sequence_id").distinct().count()
+    assert made <= 1.002 * got["sum(length)"] / 1024
