@@ -1,23 +1,30 @@
-"""Language-model scoring by deleted interpolation of n-grams (n = 2).
-
-P(w | u) = L(b) c(u w) / c(u) + (1 - L(b)) P1(w), where b is the context-frequency
-bucket of u (binary orders of c(u)) and P1 the add-one unigram estimate, which
-keeps a share for unseen words. The weights L are learned by expectation-
-maximisation on held-out counts: a tenth of the training rows is deleted from the
-counts for that, its tokens are scored with the counts of the rest, and they
-return to the counts before the final scores.
-
-Counts never meet in one place. Rows are dealt by hash into blocks of a bounded
-number of bytes, and travel as compressed bundles. A block sends each of its
-distinct n-grams once (hashed keys, sorted and compressed, cut by key range; words
-have 63 bits, word pairs 20 bits more than it takes to number all tokens), a key range adds up what all blocks
-sent it and answers each block with the totals in the order of its keys. A block
-then scores its own rows. What is shuffled grows with the text; no table of
-counts is broadcast, and a frequent n-gram is one entry a block.
+"""Language-model scoring by deleted interpolation of n-grams (n = 3 or 2).
+
+    P(w | u v) = L3(b(u v)) c(u v w) / c(u v) + (1 - L3) P(w | v)
+    P(w | v)   = L2(b(v)) c(v w) / c(v) + (1 - L2) P1(w)
+
+b is the context-frequency bucket (binary orders of the context's count) and P1 the
+add-one unigram estimate, which keeps a share for unseen words. The weights L are
+learned by expectation-maximisation on held-out counts, the lower order first: a
+tenth of the training rows is deleted from the counts for that, its tokens are
+scored with the counts of the rest, and they return to the counts before the final
+scores. The first token of a text has the beginning as its only context.
+
+Counts never meet in one place. Tasks cut their rows into blocks of a bounded
+number of bytes as they come, written once to the shared folder. A block sends
+each of its distinct n-grams once: hashed keys (words 63 bits, longer n-grams
+``MARGIN`` bits more than it takes to number all tokens, so that about one in
+2^MARGIN shares a key), sorted, cut by key range, one compressed frame a range. A
+key range adds up what all blocks sent it and answers each block with the totals
+in the order of its keys. A block then scores its own rows. What is shuffled grows
+with the text: a frame's own bytes (about 40) count only where a block has few
+keys in a range, and there are never more frames than keys. No table of counts is
+broadcast, and a frequent n-gram is one entry a block.
 
 Null texts are empty: one end token. Rows with a null id are scored but not
-learned from. Ids may repeat; other columns are ignored; an empty table gives no
-rows. A text longer than a block makes a block larger, nothing else.
+learned from. Ids and rows may repeat, each row is scored; other columns are
+ignored; an empty table gives no rows. A text longer than a block makes a block
+larger, nothing else.
 """
 
 from __future__ import annotations
@@ -29,6 +36,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
@@ -36,17 +44,15 @@ from pyspark.sql.pandas.types import to_arrow_type
 from .common import as_bytes, bounded_slices, crc_mod, materialize, mix64
 
 BLOCK_BYTES = 4 << 20
-BUNDLE_BYTES = 12 << 20
-PART_KEYS = 1 << 20
+PART_KEYS = 1 << 21
+MARGIN = 14
 DELETED = 10
 BUCKETS = 48
-STEPS = 8  # histogram steps per unit of the natural log of a ratio of estimates
+STEPS = 32  # histogram steps per unit of the natural log of a ratio of estimates
 NEVER = -10_000
 STORE = 400_000
 END, BEGIN = np.uint64(0x656E64) << np.uint64(1), np.uint64(0x626567696E) << np.uint64(1)
-_ONE = np.uint64(1)
-_SENT = ["words", "words_kept", "words_away", "pairs", "pairs_kept", "pairs_away"]
-_BACK = ["words_kept", "words_away", "pairs_kept", "pairs_away"]
+_ONE, _ODD = np.uint64(1), np.uint64(0x9E3779B97F4A7C15)
 
 _words: dict[bytes, int] = {}
 
@@ -62,9 +68,9 @@ def _hashed(words: list[bytes]) -> np.ndarray:
 
 
 class Block:
-    """The tokens of a block's rows as keys: even ones of words, then odd ones of word pairs."""
+    """The tokens of a block's rows, and for each order the distinct keys, the place of each token's n-gram, and its context's."""
 
-    def __init__(self, texts: list[bytes], pair_bits: int = 63):
+    def __init__(self, texts: list[bytes], order: int = 2, key_bits: int = 63):
         words = [t.lower().split() for t in texts]
         sizes = np.array([len(w) + 1 for w in words], np.int64)
         self.ends = np.cumsum(sizes)
@@ -76,20 +82,31 @@ class Block:
         token[body] = _hashed(list(chain.from_iterable(words)))
         context = np.r_[BEGIN, token[:-1]][:n]
         context[self.starts] = BEGIN
-        blank = np.uint64(64 - pair_bits)
-        pair = (mix64(mix64(context) + token) >> blank << blank) | _ONE
-        first = context == BEGIN
-        self.words, self.token = np.unique(token, return_inverse=True)
-        self.pairs, self.pair = np.unique(pair, return_inverse=True)
-        self.blank = int(blank)
-        previous = np.r_[0, self.token[:-1]][:n]
-        self.context = np.where(first, self.token[-1] if n else 0, previous)  # there are as many begins as ends
+        blank = np.uint64(64 - key_bits)
+        first = np.zeros(n, bool)
+        first[self.starts] = True
+        values, self.token = np.unique(token, return_inverse=True)
+        self.keys, self.shift = [values], [0]
+        before = np.r_[0, self.token[:-1]][:n]
+        #: For each order above one: (tokens that have such an n-gram, place of the n-gram, place of its context one order below).
+        self.grams = []
+        whole = mix64(mix64(context) + token)
+        values, place = np.unique(whole >> blank, return_inverse=True)
+        self.keys.append(values)
+        self.shift.append(int(blank))
+        self.grams.append((np.arange(n), place, np.where(first, self.token[-1] if n else 0, before)))  # there are as many begins as ends
+        if order > 2:
+            at = np.flatnonzero(~first)
+            values, third = np.unique(mix64(mix64(whole[at - 1]) * _ODD + token[at]) >> blank, return_inverse=True)
+            self.keys.append(values)
+            self.shift.append(int(blank))
+            self.grams.append((at, third, place[at - 1]))
 
     def count(self, role: np.ndarray) -> list[list[np.ndarray]]:
-        """For words and pairs, the counts of each key in rows with role 1 and 2."""
+        """For each order, the counts of each key in rows with role 1 and 2."""
         of = np.repeat(role, self.ends - self.starts)
-        sides = ((self.token, len(self.words)), (self.pair, len(self.pairs)))
-        return [[np.bincount(inverse[of == r], minlength=size).astype(np.uint32) for r in (1, 2)] for inverse, size in sides]
+        places = [(np.arange(len(self.token)), self.token), *((at, place) for at, place, _ in self.grams)]
+        return [[np.bincount(place[of[at] == r], minlength=len(keys)).astype(np.uint32) for r in (1, 2)] for (at, place), keys in zip(places, self.keys, strict=True)]
 
     def total(self, values: np.ndarray) -> np.ndarray:
         run = np.r_[0.0, np.cumsum(values)]
@@ -103,55 +120,35 @@ def _bundle(rows: pa.Table | pa.RecordBatch) -> bytes:
     return sink.getvalue().to_pybytes()
 
 
-def _unbundle(rows: pa.Table) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x).read_all() for x in rows.column("rows").to_pylist()]).combine_chunks()
+def _unbundle(data: bytes) -> pa.RecordBatch:
+    return pa.ipc.open_stream(data).read_all().combine_chunks().to_batches()[0]
 
 
-def _bundles(dealt: DataFrame, columns: list[str]) -> DataFrame:
-    """(block, rows): the rows of each partition's share of a block, compressed."""
+def _frame(arrays: list[np.ndarray]) -> bytes:
+    """Arrays of whole numbers in one compressed piece; bytes of equal weight stand together."""
+    head = np.array([len(arrays), *(len(a) for a in arrays), *(a.dtype.itemsize for a in arrays)], np.uint32).tobytes()
+    planes = [np.ascontiguousarray(a.view(np.uint8).reshape(len(a), a.dtype.itemsize).T).tobytes() for a in arrays if len(a)]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join([head, *planes]))
 
-    def flush(held: list[pa.RecordBatch]) -> pa.RecordBatch:
-        rows = pa.Table.from_batches(held).sort_by("block").combine_chunks()
-        block = rows.column("block").to_numpy()
-        starts = np.flatnonzero(np.r_[True, block[1:] != block[:-1]])
-        ends = [*starts[1:].tolist(), len(block)]
-        made = [_bundle(rows.slice(a, b - a).select(columns)) for a, b in zip(starts.tolist(), ends, strict=True)]
-        return pa.RecordBatch.from_arrays([pa.array(block[starts]), pa.array(made, pa.binary())], names=["block", "rows"])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, size = [], 0
-        for batch in bounded_slices(batches, "text"):
-            held.append(batch)
-            size += batch.nbytes
-            if size >= BUNDLE_BYTES:
-                yield flush(held)
-                held, size = [], 0
-        if held:
-            yield flush(held)
-
-    return dealt.select("block", *columns).mapInArrow(run, "block long, rows binary")
-
-
-def _squeeze(x: np.ndarray) -> bytes:
-    """Bytes of equal weight stand together, then zstandard."""
-    planes = np.ascontiguousarray(x.view(np.uint8).reshape(len(x), x.dtype.itemsize).T)
-    return zstandard.ZstdCompressor(level=1).compress(planes.tobytes())
-
-
-def _swell(data: bytes, kind) -> np.ndarray:
-    if not data:
-        return np.zeros(0, kind)
+def _unframe(data: bytes) -> list[np.ndarray]:
     raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
-    size = np.dtype(kind).itemsize
-    return np.ascontiguousarray(raw.reshape(size, -1).T).view(kind).ravel()
-
-
-def _ranges(keys: np.ndarray, bits: int) -> list[tuple[int, int, int]]:
-    """(part, from, to) of the non-empty key ranges of sorted keys."""
-    if not bits:
-        return [(0, 0, len(keys))] if len(keys) else []
-    part = (keys >> np.uint64(64 - bits)).astype(np.int64)
-    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]]) if len(part) else np.zeros(0, np.int64)
+    n = int(raw[:4].view(np.uint32)[0])
+    head = raw[4 : 4 + 8 * n].view(np.uint32).tolist()
+    out, at = [], 4 + 8 * n
+    for length, size in zip(head[:n], head[n:], strict=True):
+        end = at + length * size
+        out.append(np.ascontiguousarray(raw[at:end].reshape(size, length).T).view(f"u{size}").ravel() if length else np.zeros(0, f"u{size}"))
+        at = end
+    return out
+
+
+def _ranges(keys: np.ndarray, shift: int) -> list[tuple[int, int, int]]:
+    """(part, from, to) of the non-empty key ranges of sorted keys; the part is what is left of the shift."""
+    if not len(keys):
+        return []
+    part = (keys >> np.uint64(shift)).astype(np.int64) if shift < 64 else np.zeros(len(keys), np.int64)
+    starts = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
     return list(zip(part[starts].tolist(), starts.tolist(), [*starts[1:].tolist(), len(part)], strict=True))
 
 
@@ -178,106 +175,168 @@ def _bucket(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.log2(np.maximum(counts, 1)).astype(np.int64), BUCKETS - 1)
 
 
-def deleted_interpolation(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS) -> DataFrame:
+def _blocks(docs: DataFrame, block_bytes: int) -> DataFrame:
+    """(block, size, rows): compressed blocks of rows as they come; blocks of deleted rows have numbers below zero."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[list[pa.RecordBatch]] = [[], []]
+        sizes, made = [0, 0], 0
+        own = TaskContext.get().partitionId() << 32
+
+        def flush(away: int) -> pa.RecordBatch:
+            nonlocal made
+            rows = pa.Table.from_batches(held[away]).combine_chunks()
+            made += 1
+            number = own + made
+            out = [pa.array([-number if away else number]), pa.array([sizes[away]]), pa.array([_bundle(rows)], pa.binary())]
+            held[away], sizes[away] = [], 0
+            return pa.RecordBatch.from_arrays(out, names=["block", "size", "rows"])
+
+        for batch in bounded_slices(batches, "text", block_bytes):
+            role = batch.column("role").to_numpy(zero_copy_only=False)
+            for away in (0, 1):
+                part = batch.filter(pa.array((role == 2) == bool(away)))
+                if not part.num_rows:
+                    continue
+                size = sum(map(len, as_bytes(part.column("text")))) + 8 * part.num_rows
+                if sizes[away] and sizes[away] + size > block_bytes:
+                    yield flush(away)
+                held[away].append(part)
+                sizes[away] += size
+        for away in (0, 1):
+            if held[away]:
+                yield flush(away)
+
+    return docs.mapInArrow(run, "block long, size long, rows binary")
+
+
+def deleted_interpolation(docs: DataFrame, train: Column, doc_id: str = "doc_id", text: str = "text", block_bytes: int = BLOCK_BYTES, part_keys: int = PART_KEYS, order: int = 2) -> DataFrame:
     """doc_id, trained, n_tokens, n_known, train_tokens, base_score, score of every row; learned where train holds."""
+    if order not in (2, 3):
+        raise ValueError("order is 2 or 3")
     kind = docs.schema[doc_id].dataType.simpleString()
     id_type = to_arrow_type(docs.schema[doc_id].dataType)
-    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), F.coalesce(train, F.lit(False)).alias("trained"))
-    amount = slim.agg(F.coalesce(F.sum(F.octet_length("text") + 8), F.lit(0))).first()[0]
-    blocks = max(1, -(-amount // block_bytes))
+    deleted = F.pmod(F.xxhash64(doc_id, F.lit("deleted")), F.lit(DELETED)) == 0
+    trained = F.coalesce(train, F.lit(False))
+    role = F.when(~trained, 0).when(deleted, 2).otherwise(1).cast("byte")
+    slim = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), trained.alias("trained"), role.alias("role"))
+    blocks = materialize(_blocks(slim, block_bytes))
+    n_blocks, amount = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(0, int(amount // 4 // part_keys).bit_length())
-    pair_bits = min(63, max(32, int(amount).bit_length() + 20))
-    lot = F.xxhash64("doc_id", "text")
-    deleted = F.col("trained") & (F.pmod(F.xxhash64("doc_id", F.lit("deleted")), F.lit(DELETED)) == 0)
-    role = F.when(~F.col("trained"), 0).when(deleted, 2).otherwise(1).cast("byte")
-    dealt = slim.withColumn("role", role).withColumn("block", F.when(F.col("role") == 2, -1 - F.pmod(lot, F.lit(max(1, blocks // DELETED)))).otherwise(F.pmod(lot, F.lit(blocks))))
-
-    def send(key, rows):
-        rows = _unbundle(rows)
-        block = Block(as_bytes(rows.column("text").combine_chunks()), pair_bits)
-        out: dict[int, list] = {}
-        for at, (keys, counts) in enumerate(zip((block.words, block.pairs), block.count(rows.column("role").to_numpy()), strict=True)):
-            for part, a, b in _ranges(keys, bits):
-                own = keys[a:b] >> np.uint64(block.blank) if at else keys[a:b]
-                out.setdefault(part, [b""] * 6)[3 * at : 3 * at + 3] = [_squeeze(np.r_[own[0], np.diff(own)]), _squeeze(counts[0][a:b]), _squeeze(counts[1][a:b])]
-        columns = list(zip(*out.values(), strict=True)) if out else [[]] * 6
-        blobs = [pa.array(c, pa.binary()) for c in columns]
-        return pa.table([pa.array(list(out), pa.int64()), pa.array([key[0].as_py()] * len(out), pa.int64()), *blobs], names=["part", "block", *_SENT])
+    key_bits = min(63, max(40, int(amount).bit_length() + MARGIN))
+    # tasks of the exchanges: a few blocks or ranges each, more of them as the input grows
+    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (max(n_blocks, 1 << bits)) // 4)
+
+    def block_of(rows: pa.RecordBatch) -> Block:
+        return Block(as_bytes(rows.column("text")), order, key_bits)
+
+    def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for number, data in zip(batch.column("block").to_pylist(), batch.column("rows").to_pylist(), strict=True):
+                rows = _unbundle(data)
+                block = block_of(rows)
+                out: dict[int, list] = {}
+                for at, (keys, counts) in enumerate(zip(block.keys, block.count(rows.column("role").to_numpy(zero_copy_only=False)), strict=True)):
+                    for part, a, b in _ranges(keys, 64 - block.shift[at] - bits):
+                        own = keys[a:b]
+                        empty = [np.zeros(0, np.uint64), np.zeros(0, np.uint32), np.zeros(0, np.uint32)] * order
+                        out.setdefault(part, empty)[3 * at : 3 * at + 3] = [np.r_[own[:1], np.diff(own)], counts[0][a:b], counts[1][a:b]]
+                yield pa.RecordBatch.from_arrays([pa.array(list(out), pa.int64()), pa.array([number] * len(out), pa.int64()), pa.array([_frame(x) for x in out.values()], pa.binary())], names=["part", "block", "frame"])
 
     def answer(key, rows):
-        n = rows.num_rows
-        back, figures = [], [0, 0, 0]
-        for at in (0, 1):
-            names = _SENT[3 * at : 3 * at + 3]
-            steps = [np.cumsum(_swell(x, np.uint64)) for x in rows.column(names[0]).to_pylist()]
-            ends = np.cumsum([len(x) for x in steps]).tolist()
-            keys, inverse = np.unique(np.concatenate(steps), return_inverse=True)
-            totals = []
-            for name in names[1:]:
-                counts = np.concatenate([_swell(x, np.uint32) for x in rows.column(name).to_pylist()])
-                totals.append(np.bincount(inverse, weights=counts, minlength=len(keys)).astype(np.uint64))
-            back += [[_squeeze(t[inverse[a:e]]) for a, e in zip([0, *ends], ends, strict=False)] for t in totals]
+        """Totals of a range, for each block in the order of its keys: kept and deleted rows apart for deleted blocks, together for others."""
+        numbers = rows.column("block").to_pylist()
+        frames = [_unframe(x) for x in rows.column("frame").to_pylist()]
+        back: list[list[np.ndarray]] = [[] for _ in numbers]
+        figures = [0, 0, 0]
+        for at in range(order):
+            own = [np.cumsum(f[3 * at], dtype=np.uint64) for f in frames]
+            ends = np.cumsum([len(x) for x in own]).tolist()
+            keys, inverse = np.unique(np.concatenate(own), return_inverse=True)
+            kept, away = (np.bincount(inverse, weights=np.concatenate([f[3 * at + k] for f in frames]), minlength=len(keys)).astype(np.uint64) for k in (1, 2))
+            both = kept + away
+            for k, (a, e) in enumerate(zip([0, *ends], ends, strict=False)):
+                back[k] += [kept[inverse[a:e]], away[inverse[a:e]]] if numbers[k] < 0 else [both[inverse[a:e]]]
             if not at:
-                both = totals[0] + totals[1]
-                figures = [int(both.sum()), int((both > 0).sum()), int(totals[0].sum())]
-        columns = [pa.array([*rows.column("block").to_pylist(), None], pa.int64()), pa.array([key[0].as_py()] * (n + 1), pa.int64())]
-        columns += [pa.array([*x, None], pa.binary()) for x in back] + [pa.array([None] * n + [x], pa.int64()) for x in figures]
-        return pa.table(columns, names=["block", "part", *_BACK, "tokens", "types", "kept_tokens"])
-
-    blobs = lambda names: ", ".join(f"{x} binary" for x in names)
-    sent = _bundles(dealt, ["role", "text"]).groupBy("block").applyInArrow(send, f"part long, block long, {blobs(_SENT)}")
-    answers = materialize(sent.groupBy("part").applyInArrow(answer, f"block long, part long, {blobs(_BACK)}, tokens long, types long, kept_tokens long"))
-    n, v, n_kept = (int(x or 0) for x in answers.where("block is null").agg(F.sum("tokens"), F.sum("types"), F.sum("kept_tokens")).first())
-    answers = answers.where("block is not null").select("block", "part", *_BACK)
+                figures = [int(both.sum()), int((both > 0).sum()), int(kept.sum())]
+        n = len(numbers)
+        columns = [pa.array([*numbers, None], pa.int64()), pa.array([key[0].as_py()] * (n + 1), pa.int64()), pa.array([*map(_frame, back), None], pa.binary())]
+        return pa.table(columns + [pa.array([None] * n + [x], pa.int64()) for x in figures], names=["block", "part", "frame", "tokens", "types", "kept_tokens"])
 
-    def totals_of(rows):
-        """Totals of the kept and the deleted rows for words, then for pairs, in the order of a block's keys."""
-        rows = rows.sort_by("part")
-        return [np.concatenate([_swell(x, np.uint64) for x in rows.column(c).to_pylist()]).astype(np.float64) for c in _BACK]
-
-    def held_out(rows, found):
-        names = ["bucket", "step", "n"]
-        if not rows.num_rows:
-            return pa.table([pa.array([], pa.int64())] * 3, names=names)
-        block = Block(as_bytes(_unbundle(rows).column("text").combine_chunks()), pair_bits)
-        words, _, pairs, _ = totals_of(found)
-        context, pair = words[block.context], pairs[block.pair]
-        use = context > 0
-        one = (words[block.token][use] + 1) / (n_kept + v + 1)
-        two = pair[use] / context[use]
-        with np.errstate(divide="ignore"):
-            step = np.where(two > 0, np.round(np.log(np.maximum(two, 1e-300) / one) * STEPS), NEVER).astype(np.int64)
-        cells, counts = np.unique(_bucket(context[use]) * 100_000 + (step + 20_000), return_counts=True)
-        return pa.table([pa.array(cells // 100_000), pa.array(cells % 100_000 - 20_000), pa.array(counts.astype(np.int64))], names=names)
-
-    away = _bundles(dealt.where("block < 0"), ["text"]).groupBy("block").cogroup(answers.where("block < 0").groupBy("block"))
-    cells = away.applyInArrow(held_out, "bucket long, step long, n long").groupBy("bucket", "step").agg(F.sum("n").alias("n")).collect()  # a bounded grid
-    weights = fit_weights([(c["bucket"], c["step"], c["n"]) for c in cells])
+    sent = blocks.mapInArrow(send, "part long, block long, frame binary").repartition(tasks, "part")
+    answers = materialize(sent.groupBy("part").applyInArrow(answer, "block long, part long, frame binary, tokens long, types long, kept_tokens long"))
+    n, v, n_kept = (int(x or 0) for x in answers.where("block is null").agg(F.sum("tokens"), F.sum("types"), F.sum("kept_tokens")).first())
+    answers = answers.where("block is not null").select("block", "part", "frame")
+
+    def totals_of(rows, away: bool) -> list[list[np.ndarray]]:
+        """For each order the totals in the order of a block's keys: [kept, deleted] for deleted blocks, else [both]."""
+        frames = [_unframe(x) for x in rows.sort_by("part").column("frame").to_pylist()]
+        width = 2 if away else 1
+        return [[np.concatenate([f[at * width + k] for f in frames]).astype(np.float64) for k in range(width)] for at in range(order)]
+
+    def estimates(block: Block, counts: list[np.ndarray], unigram: np.ndarray, weights: list[np.ndarray]) -> np.ndarray:
+        """Mixed estimate of every token by the orders that have weights."""
+        mixed = unigram
+        for k, weight in enumerate(weights):
+            at, place, context = block.grams[k]
+            seen = counts[k][context]
+            share = np.where(seen > 0, weight[_bucket(seen)], 0.0)
+            mixed = mixed.copy()
+            mixed[at] = share * counts[k + 1][place] / np.maximum(seen, 1) + (1 - share) * mixed[at]
+        return mixed
+
+    def held_out(weights: list[np.ndarray]):
+        """Cells of the next order's ratio to the estimate below it, over deleted rows by the counts of the kept ones."""
+
+        def run(rows, found):
+            names = ["bucket", "step", "n"]
+            if not rows.num_rows:
+                return pa.table([pa.array([], pa.int64())] * 3, names=names)
+            block = block_of(_unbundle(rows.column("rows")[0].as_py()))
+            counts = [x[0] for x in totals_of(found, True)]
+            below = estimates(block, counts, (counts[0][block.token] + 1) / (n_kept + v + 1), weights)
+            at, place, context = block.grams[len(weights)]
+            seen, own = counts[len(weights)][context], counts[len(weights) + 1][place]
+            use = seen > 0
+            ratio = own[use] / seen[use] / below[at][use]
+            with np.errstate(divide="ignore"):
+                step = np.where(ratio > 0, np.round(np.log(np.maximum(ratio, 1e-300)) * STEPS), NEVER).astype(np.int64)
+            cells, many = np.unique(_bucket(seen[use]) * 100_000 + (step + 20_000), return_counts=True)
+            return pa.table([pa.array(cells // 100_000), pa.array(cells % 100_000 - 20_000), pa.array(many.astype(np.int64))], names=names)
+
+        return run
+
+    weights: list[np.ndarray] = []
+    some = max(1, tasks // DELETED)
+    away = blocks.where("block < 0").select("block", "rows").repartition(some, "block").groupBy("block")
+    away_answers = answers.where("block < 0").repartition(some, "block").groupBy("block")
+    for _ in range(order - 1):
+        cells = away.cogroup(away_answers).applyInArrow(held_out(weights), "bucket long, step long, n long").groupBy("bucket", "step").agg(F.sum("n").alias("n")).collect()  # a bounded grid
+        weights = [*weights, fit_weights([(c["bucket"], c["step"], c["n"]) for c in cells])]
 
     def score(rows, found):
         names = ["doc_id", "trained", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
         if not rows.num_rows:
             return pa.table([pa.array([], id_type), pa.array([], pa.bool_()), *[pa.array([], pa.int64())] * 3, *[pa.array([], pa.float64())] * 2], names=names)
-        rows = _unbundle(rows)
-        block = Block(as_bytes(rows.column("text").combine_chunks()), pair_bits)
-        kept_words, away_words, kept_pairs, away_pairs = totals_of(found)
-        words = kept_words + away_words
-        own, context, pair = words[block.token], words[block.context], (kept_pairs + away_pairs)[block.pair]
+        number = rows.column("block")[0].as_py()
+        rows = _unbundle(rows.column("rows")[0].as_py())
+        block = block_of(rows)
+        counts = [sum(x[1:], x[0]) for x in totals_of(found, number < 0)]
+        own = counts[0][block.token]
         one = (own + 1) / (n + 1 * (v + 1))
-        weight = np.where(context > 0, weights[_bucket(context)], 0.0)
-        mixed = weight * pair / np.maximum(context, 1) + (1 - weight) * one
+        mixed = estimates(block, counts, one, weights)
         known = block.total((own > 0).astype(np.float64)).astype(np.int64)
         return pa.table(
             [rows.column("doc_id"), rows.column("trained"), pa.array(block.ends - block.starts), pa.array(known), pa.array(np.full(rows.num_rows, n)), pa.array(block.total(np.log10(one))), pa.array(block.total(np.log10(mixed)))], names=names
         )
 
-    both = _bundles(dealt, ["doc_id", "text", "trained"]).groupBy("block").cogroup(answers.groupBy("block"))
+    both = blocks.select("block", "rows").repartition(tasks, "block").groupBy("block").cogroup(answers.repartition(tasks, "block").groupBy("block"))
     return both.applyInArrow(score, f"doc_id {kind}, trained boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
-def contract(docs: DataFrame) -> DataFrame:
+def contract(docs: DataFrame, order: int = 2) -> DataFrame:
     """Learned from rows whose crc32 of the id is not 2 modulo 7."""
     remainder = crc_mod("doc_id", 7)
-    found = deleted_interpolation(docs, remainder != 2)
+    found = deleted_interpolation(docs, remainder != 2, order=order)
     held_out = F.coalesce(remainder == 2, F.lit(False)).alias("held_out")
     return found.select("doc_id", held_out, "n_tokens", "n_known", "train_tokens", "base_score", "score")

@@ -39,7 +39,7 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_lm_scoring(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return lm_scoring.contract(table(spark, sf_dir, "documents"))
+    return lm_scoring.contract(table(spark, sf_dir, "documents"), order=3)
 
 
 def op8_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
