@@ -39,12 +39,12 @@ def local_moving(edges: DataFrame, resolution: float = 1.0, max_sweeps: int = 50
     for sweep in range(max_sweeps):
         sigma = labels.join(degree, "node").groupBy("label").agg(F.sum("k").alias("sigma"))
         near = between.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("inside"))
-        own = labels.join(degree, "node").join(sigma, "label").select("node", F.col("label").alias("old"), "k", (F.col("sigma") - F.col("k")).alias("sigma_old"))
-        stay = near.select("node", F.col("label").alias("old"), F.col("inside").alias("inside_old"))
-        known = own.join(stay, ["node", "old"], "left")
-        offers = near.join(known, "node").where("label <> old").join(sigma, "label")
-        gain = (F.col("inside") - F.coalesce("inside_old", F.lit(0))) / m2 - resolution * F.col("k") * (F.col("sigma") - F.col("sigma_old")) / (m2 * m2)
-        best = offers.withColumn("gain", gain).where(F.col("gain") > GAIN).groupBy("node").agg(F.max_by("label", F.struct("gain", -F.col("label"))).alias("to"))
+        own = labels.join(degree, "node").join(sigma, "label").select("node", F.col("label").alias("old"), "k", (-resolution * F.col("k") * (F.col("sigma") - F.col("k")) / (m2 * m2)).alias("alone"))
+        offers = near.join(sigma, "label").join(own, "node")
+        here = F.col("label") == F.col("old")
+        value = F.col("inside") / m2 - resolution * F.col("k") * (F.col("sigma") - F.when(here, F.col("k")).otherwise(0)) / (m2 * m2)
+        offers = offers.select("node", "alone", F.when(here, value).alias("stay"), F.when(~here, F.struct(value.alias("value"), (-F.col("label")).alias("least"))).alias("go"))
+        best = offers.groupBy("node").agg(F.max("go").alias("go"), F.coalesce(F.max("stay"), F.max("alone")).alias("stay")).where(F.col("go.value") > F.col("stay") + GAIN).select("node", (-F.col("go.least")).alias("to"))
         turn = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(part)) == 0
         moved = materialize(labels.join(best, "node", "left").select("node", F.when(turn, F.coalesce("to", "label")).otherwise(F.col("label")).alias("label"), F.col("to").isNotNull().alias("wants")))
         score = _score(edges, moved, m2, resolution)

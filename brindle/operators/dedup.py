@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from itertools import combinations
+
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
@@ -15,28 +17,37 @@ def exact_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.groupBy(tx.canonical_hash(F.col(text)).alias("hash")).agg(F.min(key).alias("keeper"), F.count("*").alias("copies")).where("copies > 1")
 
 
+def _masks(bits: int, most: int) -> list[int]:
+    """All masks of at most so many of the bits."""
+    return [sum(1 << p for p in c) for k in range(most + 1) for c in combinations(range(bits), k)]
+
+
 def hamming_pairs(rows: DataFrame, key: str, bits: str, radius: int = 5) -> DataFrame:
     """(a, b, distance), a < b, of 64-bit values within the radius.
 
-    The bits are cut into radius + 1 bands; values within the radius agree on one
-    band at least. Equal values are folded before the join and pairs are taken in
-    their first common band.
+    The bits are cut into four blocks of sixteen; of values within the radius one block
+    has a quarter of the differences at most. One side of the join lists its blocks with
+    all of half those flips, the other side with the other half, so that the two meet in
+    the middle: under one in a thousand random pairs meet at radius 5, one in twenty at 12.
+    Equal values are folded before the join.
     """
-    bands = radius + 1
-    width, values = -(-64 // bands), []
+    if not 0 <= radius < 20:
+        raise ValueError("radius is 0 to 19: beyond that the blocks select nothing")
+    flips = radius // 4
     one = rows.groupBy(F.col(bits).alias("v")).agg(F.min(key).alias("k"))
-    for i in range(bands):
-        mask = (1 << min(width, 64 - i * width)) - 1
-        values.append(F.struct(F.lit(i).alias("band"), F.shiftrightunsigned(F.col("v"), i * width).bitwiseAND(F.lit(mask)).alias("part")))
-    cut = one.select("k", "v", F.explode(F.array(*values)).alias("x")).select("k", "v", "x.band", "x.part")
-    a, b = (cut.select("band", "part", F.col("k").alias(p + "k"), F.col("v").alias(p + "v")) for p in "ab")
-    near = a.join(b, ["band", "part"]).where("ak < bk").withColumn("distance", vx.hamming(F.col("av"), F.col("bv"))).where(F.col("distance") <= radius)
-    earlier = F.lit(False)
-    for i in range(bands):
-        mask = ((1 << min(width, 64 - i * width)) - 1) << (i * width)
-        mask = mask - (1 << 64) if mask >> 63 else mask
-        earlier = earlier | ((F.col("band") > i) & (F.col("av").bitwiseXOR(F.col("bv")).bitwiseAND(F.lit(mask)) == 0))
-    return near.where(~earlier).select(F.col("ak").alias("a"), F.col("bk").alias("b"), "distance")
+
+    def blocks(prefix: str, most: int) -> DataFrame:
+        masks = F.array(*[F.lit(m).cast("long") for m in _masks(16, most)])
+
+        def block(i: int) -> Column:
+            own = F.shiftrightunsigned("v", 16 * i).bitwiseAND(F.lit(0xFFFF))
+            return F.transform(masks, lambda m: F.struct(F.lit(i).alias("block"), own.bitwiseXOR(m).alias("part")))
+
+        parts = [block(i) for i in range(4)]
+        return one.select(F.col("k").alias(prefix + "k"), F.col("v").alias(prefix + "v"), F.explode(F.concat(*parts)).alias("x")).select("x.block", "x.part", prefix + "k", prefix + "v")
+
+    near = blocks("a", flips - flips // 2).join(blocks("b", flips // 2), ["block", "part"]).where("ak <> bk").withColumn("distance", vx.hamming(F.col("av"), F.col("bv"))).where(F.col("distance") <= radius)
+    return near.select(F.least("ak", "bk").alias("a"), F.greatest("ak", "bk").alias("b"), "distance").distinct()
 
 
 def hamming_members(rows: DataFrame, key: str, bits: str) -> DataFrame:

@@ -24,12 +24,13 @@ def bm25(docs: DataFrame, terms: list[str], doc_id: str = "doc_id", text: str =
 
     The query's few terms are counted inside each row, so documents are neither
     exploded nor shuffled; one global aggregate gives sizes and document frequencies.
+    The counts, a few numbers a document, are kept, so that texts are read once.
     """
     terms = sorted({t.lower() for t in terms})
     if not terms:
         raise ValueError("a query needs a term")
     words = docs.select(F.col(doc_id).alias("doc_id"), tx.tokens(F.col(text)).alias("words"))
-    counted = words.select("doc_id", F.size("words").alias("n"), *[count_of("words", t).alias(f"tf{i}") for i, t in enumerate(terms)])
+    counted = materialize(words.select("doc_id", F.size("words").alias("n"), *[count_of("words", t).alias(f"tf{i}") for i, t in enumerate(terms)]))
     stats = counted.agg(F.count("*").alias("total"), F.avg("n").alias("mean"), *[F.count_if(F.col(f"tf{i}") > 0).alias(f"df{i}") for i in range(len(terms))])
     both = counted.crossJoin(F.broadcast(stats))  # the statistics are one row
     score: Column = F.lit(0.0)
@@ -50,26 +51,23 @@ def top_k(df: DataFrame, k: int, score: str, key: str) -> DataFrame:
     return df.orderBy(F.desc(score), F.asc(key)).limit(k)
 
 
-def ranked(df: DataFrame, score: str, key: str, buckets: int = 64) -> DataFrame:
+def ranked(df: DataFrame, score: str, key: str, buckets: int | None = None) -> DataFrame:
     """df with its 1-based rank by score (descending, ties by key), without a single-partition sort.
 
-    Rows are cut into score ranges at approximate quantiles; each range is numbered
-    by itself and shifted by the sizes of the ranges above it. Scores are kept once,
-    as they are read three times.
+    Rows are cut into ranges of (score, key), so that many equal scores are cut too; each
+    range is sorted by itself and its rows are numbered as they lie, shifted by the sizes
+    of the ranges before it. The rows are kept once before and once after the cut.
     """
-    df = materialize(df)
-    cuts = df.agg(F.percentile_approx(score, [i / buckets for i in range(1, buckets)], 1000)).first()[0] or []
-    cuts = sorted(set(cuts))
-    at = F.lit(len(cuts))
-    if cuts:
-        at = F.aggregate(F.array(*[F.lit(float(c)) for c in cuts]), F.lit(0), lambda s, c: s + F.when(F.col(score) > c, 0).otherwise(1))
-    cut = df.withColumn("_range", at)
-    sizes = {r["_range"]: r["count"] for r in cut.groupBy("_range").count().collect()}  # one row a range
+    n = buckets or int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.desc(score), F.asc(key)]
+    lying = materialize(materialize(df).repartitionByRange(n, *order).sortWithinPartitions(*order).withColumn("_at", F.monotonically_increasing_id()))
+    part = F.shiftright("_at", 33)
+    sizes = {r["p"]: r["count"] for r in lying.groupBy(part.alias("p")).count().collect()}  # one row a range
     before, total = {}, 0
     for r in sorted(sizes):
         before[r], total = total, total + sizes[r]
-    shift = F.coalesce(*[F.when(F.col("_range") == r, F.lit(n)) for r, n in before.items()], F.lit(0)) if before else F.lit(0)
-    return cut.withColumn("rank", F.row_number().over(W.partitionBy("_range").orderBy(F.desc(score), F.asc(key))) + shift).drop("_range")
+    shift = F.coalesce(*[F.when(part == r, F.lit(c)) for r, c in before.items()], F.lit(0)) if before else F.lit(0)
+    return lying.withColumn("rank", (F.col("_at").bitwiseAND(F.lit((1 << 33) - 1)) + 1 + shift).cast("long")).drop("_at")
 
 
 def rrf(lists: list[DataFrame], key: str, k: int = 60, weights: list[float] | None = None) -> DataFrame:

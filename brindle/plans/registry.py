@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("retrieval", "texts", "relational", "signal_queries", "graph_queries", "dedup_queries", "web_queries", "store_queries", "stream_queries", "more", "scoring", "section_queries", "graph_rag_queries", "judgement_queries")
+_MODULES = ("retrieval", "texts", "relational", "signal_queries", "graph_queries", "dedup_queries", "web_queries", "store_queries", "stream_queries", "more", "scoring", "section_queries", "graph_rag_queries", "judgement_queries", "choice_queries")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
@@ -24,6 +24,11 @@ def query(sql: str | None = None):
     return register
 
 
+def oracle_text(f) -> str:
+    """The SQL of a registered query, to build another on."""
+    return _SQL[f.__name__]
+
+
 def _load() -> None:
     for name in _MODULES:
         import_module(f"{__package__}.{name}")

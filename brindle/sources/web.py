@@ -5,6 +5,7 @@ from __future__ import annotations
 import io
 import ipaddress
 import zipfile
+import zlib
 from collections.abc import Iterator
 from urllib.parse import urlsplit
 
@@ -99,8 +100,12 @@ def url_is_blocked(urls: pd.Series) -> pd.Series:
 PREFERRED = [".txt", ".html", ".htm", ".md"]
 
 
-def read_archives(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
-    """(path, entry, text) of the best text entry of every ZIP under path; larger entries and broken files give no row."""
+def archive_entries(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
+    """(path, entry, text, status) of the best text entry of every ZIP under path.
+
+    Every file gives a row. The status is ok, no text (no entry of a preferred kind), too
+    large (all such entries are above most_bytes; the largest is named) or broken.
+    """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
@@ -108,16 +113,24 @@ def read_archives(spark: SparkSession, path: str, most_bytes: int = 50 << 20) ->
             for p, content in zip(pdf["path"], pdf["content"], strict=True):
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as z:
-                        fit = [(PREFERRED.index(e), -i.file_size, i.filename) for i in z.infolist() if (e := next((x for x in PREFERRED if i.filename.lower().endswith(x)), None)) and i.file_size <= most_bytes]
+                        kinds = [(PREFERRED.index(e), -i.file_size, i.filename) for i in z.infolist() if (e := next((x for x in PREFERRED if i.filename.lower().endswith(x)), None))]
+                        fit = [k for k in kinds if -k[1] <= most_bytes]
                         if fit:
                             name = min(fit)[2]
-                            out.append((p, name, z.read(name).decode("utf-8", "replace")))
-                except zipfile.BadZipFile:
-                    continue
-            yield pd.DataFrame(out, columns=["path", "entry", "text"])
+                            out.append((p, name, z.read(name).decode("utf-8", "replace"), "ok"))
+                        else:
+                            out.append((p, min(kinds, key=lambda k: k[1])[2], None, "too large") if kinds else (p, None, None, "no text"))
+                except (zipfile.BadZipFile, EOFError, NotImplementedError, RuntimeError, zlib.error):
+                    out.append((p, None, None, "broken"))
+            yield pd.DataFrame(out, columns=["path", "entry", "text", "status"])
 
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.zip").option("recursiveFileLookup", True).load(path)
-    return files.select("path", "content").mapInPandas(run, "path string, entry string, text string")
+    return files.select("path", "content").mapInPandas(run, "path string, entry string, text string, status string")
+
+
+def read_archives(spark: SparkSession, path: str, most_bytes: int = 50 << 20) -> DataFrame:
+    """(path, entry, text) of the archives that could be read; archive_entries has a row with its status for every file."""
+    return archive_entries(spark, path, most_bytes).where("status = 'ok'").drop("status")
 
 
 def read_markdown(spark: SparkSession, path: str) -> DataFrame:

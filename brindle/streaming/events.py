@@ -42,15 +42,18 @@ def running_average(events: DataFrame, alpha: float = 0.3) -> DataFrame:
 
 
 def drain(stream: DataFrame, target: str, checkpoint: str, mode: str = "append", good=None, quarantine: str | None = None):
-    """Writes a stream as Parquet until all that is available is done; rows that fail good go to quarantine."""
+    """Writes a stream as Parquet until all that is available is done; rows that fail good go to quarantine.
+
+    A micro-batch is a folder of its own (batch=number) that a retry overwrites, so no row is written twice.
+    """
 
     def put(batch: DataFrame, batch_id: int) -> None:
         if good is None:
-            batch.write.mode("append").parquet(target)
+            batch.write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
             return
         marked = batch.withColumn("_good", F.coalesce(good, F.lit(False)))
-        marked.where("_good").drop("_good").write.mode("append").parquet(target)
+        marked.where("_good").drop("_good").write.mode("overwrite").parquet(f"{target}/batch={batch_id}")
         if quarantine:
-            marked.where("not _good").drop("_good").write.mode("append").parquet(quarantine)
+            marked.where("not _good").drop("_good").write.mode("overwrite").parquet(f"{quarantine}/batch={batch_id}")
 
     return stream.writeStream.outputMode(mode).option("checkpointLocation", checkpoint).trigger(availableNow=True).foreachBatch(put).start()
