@@ -15,7 +15,7 @@ from pathlib import Path
 
 import numpy as np
 
-STORE = 600_000
+STORE = 200_000
 _LONG = 256
 #: A space next to other white space, by bytes; Unicode's white space beyond ASCII by its first bytes.
 _CONTROLS = [bytes([c]) for c in (9, 10, 11, 12, 13, 28, 29, 30, 31)]
