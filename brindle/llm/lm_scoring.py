@@ -224,8 +224,7 @@ def deleted_interpolation(docs: DataFrame, train: Column, doc_id: str = "doc_id"
     n_blocks, amount = blocks.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
     bits = max(0, int(amount // 4 // part_keys).bit_length())
     key_bits = min(63, max(40, int(amount).bit_length() + MARGIN))
-    # tasks of the exchanges: a few blocks or ranges each, more of them as the input grows
-    tasks = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), (max(n_blocks, 1 << bits)) // 4)
+    tasks = max(8, max(n_blocks, 1 << bits) // 2)  # of the exchanges: two blocks or ranges each, so that a task reads as much at any size
 
     def block_of(rows: pa.RecordBatch) -> Block:
         return Block(as_bytes(rows.column("text")), order, key_bits)
