@@ -162,13 +162,7 @@ def judge(texts: list[bytes], pieces: WordPieces, bands: dict = BANDS, bpe: Byte
         symbols[i] = len(w) - len(w.translate(None, SYMBOLS))
         scripts[i] = 1 if w[:1].isalpha() else script_code(w.decode("utf-8", "replace"))
     size = np.array([len(x) >> 2 for x in coded], np.int64)
-    byte_size = np.zeros(len(unique), np.int64)
-    broken = np.zeros(len(unique), np.int64)  # tokens of the byte-level vocabulary that are parts of a character
-    for i, w in enumerate(unique):
-        tokens = bpe[w]
-        byte_size[i] = len(tokens) >> 2
-        if not ascii_word[i]:
-            broken[i] = int(bpe.is_part[np.frombuffer(tokens, "<u4")].sum())
+    byte_size, broken = bpe.counts(unique)  # broken: tokens of the byte-level vocabulary that are parts of a character
     all_tokens = np.frombuffer(b"".join(coded), "<u4").astype(np.int64)
     first = np.cumsum(size) - size
     fallback = np.r_[0, np.cumsum(pieces.is_byte[all_tokens])]

@@ -63,8 +63,10 @@ class ByteBpe(dict):
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, path.read_bytes().splitlines())}
         coder = tiktoken.Encoding(path.stem, pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.whole, self.single = coder._core_bpe.encode_ordinary, coder._core_bpe.encode_single_piece
-        self.is_part = np.zeros(max(ranks.values()) + 1, bool)  # tokens that are no whole characters
-        self.is_part[[i for data, i in ranks.items() if not data.isascii() and not _whole(data)]] = True
+        self.counted: dict[bytes, int] = {}
+        self.is_part = bytearray(max(ranks.values()) + 1)  # tokens that are no whole characters
+        for data, i in ranks.items():
+            self.is_part[i] = not data.isascii() and not _whole(data)
 
     def __missing__(self, unit: bytes) -> bytes:
         if len(self) >= STORE:
@@ -76,6 +78,22 @@ class ByteBpe(dict):
             self[unit] = ids
         return ids
 
+    def counts(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens, tokens that are parts of a character) of words after a space; only these numbers are kept."""
+        if len(self.counted) > STORE:
+            self.counted.clear()
+        seen, part = self.counted, self.is_part
+        for w in words:
+            if w not in seen:
+                text = w.decode("utf-8", "replace")
+                ids = self.single(b" " + w) if text.isalpha() else self.whole(" " + text)
+                seen[w] = len(ids) if text.isascii() else len(ids) | sum(map(part.__getitem__, ids)) << 32
+        both = np.fromiter(map(seen.__getitem__, words), np.int64, len(words))
+        for w in words:
+            if len(w) > _LONG:
+                seen.pop(w, None)
+        return both & 0xFFFFFFFF, both >> 32
+
     def ids(self, data: bytes) -> bytes:
         """The ids of a text as little-endian 32-bit integers."""
         if not data:
