@@ -18,14 +18,15 @@ DOCUMENT_TYPES = {
 }
 
 
-def document_type(text: Column, headings: Column) -> Column:
-    """struct(type, confidence): every type's weighted pattern counts, at most three a pattern, and half a weight for a pattern in the headings.
-
-    Unknown below .5 or below .3 of all scores; ties go to the type declared first.
-    """
+def document_scores(text: Column, headings: Column) -> Column:
+    """array of struct(score, at, type): every type's weighted pattern counts, at most three a pattern, and half a weight for a pattern in the headings."""
     low, heads = F.lower(text), F.lower(headings)
     scores = [sum((F.lit(w) * F.least(F.regexp_count(low, F.lit(p)), F.lit(3)) + F.when(heads.rlike(p), F.lit(w * 0.5)).otherwise(0.0) for p, w in patterns), F.lit(0.0)) for patterns in DOCUMENT_TYPES.values()]
-    rows = F.array(*[F.struct(F.round(s, 9).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("type")) for i, (name, s) in enumerate(zip(DOCUMENT_TYPES, scores, strict=True))])
+    return F.array(*[F.struct(F.round(s, 9).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("type")) for i, (name, s) in enumerate(zip(DOCUMENT_TYPES, scores, strict=True))])
+
+
+def document_type(rows: Column) -> Column:
+    """struct(type, confidence) of document_scores, a column of its own that is computed once: Unknown below .5 or below .3 of all scores; ties go to the type declared first."""
     best, total = F.array_max(rows), F.aggregate(rows, F.lit(0.0), lambda a, x: a + x["score"])
     share = F.when(total > 0, best["score"] / total).otherwise(0.0)
     unclear = (best["score"] < 0.5) | (share < 0.3)

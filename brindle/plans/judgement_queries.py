@@ -34,8 +34,8 @@ def _type_sql():
 def c1_document_types(spark, d):
     """All seven document types over whole texts."""
     phrase = F.element_at(F.array(*[F.lit(p) for p in _PHRASES]), (F.col("doc_id") % 8 + 1).cast("int"))
-    found = table(spark, d, "documents").where("text is not null").select("doc_id", jd.document_type(F.concat("text", F.lit(" "), phrase), phrase).alias("t"))
-    return found.select("doc_id", "t.type", F.round("t.confidence", 6).alias("confidence"))
+    found = table(spark, d, "documents").where("text is not null").select("doc_id", jd.document_scores(F.concat("text", F.lit(" "), phrase), phrase).alias("r"))
+    return found.select("doc_id", jd.document_type(F.col("r")).alias("t")).select("doc_id", "t.type", F.round("t.confidence", 6).alias("confidence"))
 
 
 _NAMES = ["his brother", "The town", "Anna", "anna ", "**Bold Name**", "[chunk-3]", "12th", "unknown man", "no one", "They", "young Tom", "London (city)", "N/A", "a", "as mentioned", "Mr. Darcy`"]
