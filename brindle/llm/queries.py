@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, language_id, license_scan, lm_scoring, packing, quality_classifier, quality_rules, simhash_dedup, url_filter
+from . import decontamination, html_extract, language_id, license_scan, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, url_filter
 from .common import table
 
 
@@ -54,9 +54,13 @@ def op10_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash_dedup.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_html_extraction, op9_best_fit_packing, op10_simhash_near_dedup)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_html_extraction, op9_best_fit_packing, op10_simhash_near_dedup, op11_source_mixing)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op11_source_mixing": mixing.SQL}
