@@ -141,7 +141,7 @@ def emit(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_repeats: int =
 #: The same in DuckDB; the shares are found in order of size by weight, where each source that stops leaves more to the others.
 SQL = r"""
 WITH sized AS (
-  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^ 	-]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k
+  SELECT doc_id, source, CAST(coalesce(len(regexp_extract_all(text, '[^\x20\x09-\x0D]+')), 0) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '') || ':' || coalesce(text, '')) AS k
   FROM documents),
 drawn AS (SELECT doc_id, source, size, CAST('0x' || substr(k, 1, 8) AS BIGINT) AS first, CAST('0x' || substr(k, 9, 8) AS BIGINT) AS step FROM sized),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
