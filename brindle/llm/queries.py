@@ -10,7 +10,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import decontamination, html_extract, language_id, license_scan, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, url_filter
+from . import decontamination, hard_negatives, html_extract, language_id, license_scan, lm_scoring, mixing, packing, quality_classifier, quality_rules, simhash_dedup, spelling, url_filter
 from .common import table
 
 
@@ -58,9 +58,17 @@ def op11_source_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(table(spark, sf_dir, "documents"))
 
 
+def op12_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return hard_negatives.contract(table(spark, sf_dir, "embeddings"))
+
+
+def op13_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.contract(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_html_extraction, op9_best_fit_packing, op10_simhash_near_dedup, op11_source_mixing)}
+    return {f.__name__: f for f in (op1_quality_rules, op2_license_scan, op3_language_id, op4_url_filter, op5_decontamination, op6_quality_classifier, op7_lm_scoring, op8_html_extraction, op9_best_fit_packing, op10_simhash_near_dedup, op11_source_mixing, op12_hard_negatives, op13_spelling_variants)}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op11_source_mixing": mixing.SQL}
+    return {"op11_source_mixing": mixing.SQL, "op12_hard_negatives": hard_negatives.SQL}
