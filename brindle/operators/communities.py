@@ -1,15 +1,77 @@
-"""Community detection by modularity, in rounds of joins."""
+"""Community detection by modularity: rounds of joins on a large graph, one ordered fold on a small one."""
 
 from __future__ import annotations
 
+import random
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialize
 
 GAIN = 1e-9
-#: A sweep that adds less ends the level, as is usual for the method.
-LEAST_GAIN = 1e-3
+#: Up to so many edges (both ways) one task holds the graph: some 100 MB.
+FOLD_EDGES = 500_000
+
+
+def _moved(near: list[dict[int, float]], m2: float, resolution: float) -> list[int]:
+    """Labels of nodes 0..n-1 after local moving in a fixed shuffled order, sweep after sweep until no node gains."""
+    degree = [sum(x.values()) for x in near]
+    sigma, label = degree[:], list(range(len(near)))
+    order = list(range(len(near)))
+    random.Random(42).shuffle(order)
+    going = True
+    while going:
+        going = False
+        for v in order:
+            inside: dict[int, float] = {}
+            for w, weight in near[v].items():
+                if w != v:
+                    inside[label[w]] = inside.get(label[w], 0.0) + weight
+            own = label[v]
+            sigma[own] -= degree[v]
+            value = lambda c: inside.get(c, 0.0) / m2 - resolution * degree[v] * sigma[c] / (m2 * m2)  # noqa: B023, E731
+            best, most = own, value(own) + GAIN
+            for c in sorted(inside):
+                if value(c) > most:
+                    best, most = c, value(c)
+            sigma[best] += degree[v]
+            if best != own:
+                label[v], going = best, True
+    return label
+
+
+def _fold(edges: DataFrame, resolution: float, levels: int) -> DataFrame:
+    """(node, label) of a graph of at most FOLD_EDGES edges, all levels in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "weight")] for b in batches if b.num_rows]
+        if not parts:
+            return
+        a, b, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
+        names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+        edges = sorted(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), weight.astype(float).tolist(), strict=True))
+        place = list(range(len(names)))  # of each node, in the level at hand
+        m2 = sum(w for _, _, w in edges)
+        for _ in range(levels if m2 else 0):
+            near: list[dict[int, float]] = [{} for _ in range(max(place) + 1)]
+            for x, y, w in edges:
+                near[x][y] = near[x].get(y, 0.0) + w
+            label = _moved(near, m2, resolution)
+            if label == list(range(len(near))):
+                break
+            number = {c: i for i, c in enumerate(dict.fromkeys(label))}
+            label = [number[c] for c in label]
+            place = [label[p] for p in place]
+            edges = [(label[x], label[y], w) for x, y, w in edges]
+        least = np.full(max(place) + 1, names.max())
+        np.minimum.at(least, place, names)
+        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(least[place])], names=["node", "label"])
+
+    return materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double")).coalesce(1).mapInArrow(run, "node long, label long"))
 
 
 def _score(edges: DataFrame, labels: DataFrame, m2: float, resolution: float) -> float:
@@ -19,14 +81,15 @@ def _score(edges: DataFrame, labels: DataFrame, m2: float, resolution: float) ->
     return per.agg(F.sum(F.col("inside") / m2 - resolution * F.pow(F.col("total") / m2, F.lit(2)))).first()[0] or 0.0
 
 
-def local_moving(edges: DataFrame, resolution: float = 1.0, max_sweeps: int = 50) -> DataFrame:
-    """(node, label): nodes move to the neighbouring community with the best gain in modularity until none gains.
+def local_moving(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+    """(node, label): nodes move to the neighbouring community with the best gain in modularity, until none gains.
 
-    All nodes look for their best move at once and a part of them, chosen by hash anew
-    each sweep, makes it: half at first. A sweep that would lower the modularity, since
-    its moves did not know of each other, is taken back and repeated with half as many.
-    Every kept sweep raises the modularity, so the loop ends; max_sweeps is the usual
-    bound of the method. Ties go to the smallest label.
+    All nodes look for their best move at once and half of them, chosen by hash anew each
+    sweep, make it. Where that lowers the modularity, since moves did not know of each
+    other, it is taken back, and one sweep moves only nodes whose gain is the greatest
+    of all that leave or enter their two communities: such moves touch different
+    communities, so their gains add up. Every kept sweep raises the modularity, so the
+    loop ends, and it ends only where no node gains. Ties go to the smallest label.
     """
     edges = materialize(edges)
     m2 = edges.agg(F.sum("weight")).first()[0]
@@ -34,48 +97,64 @@ def local_moving(edges: DataFrame, resolution: float = 1.0, max_sweeps: int = 50
     labels = materialize(degree.select("node", F.col("node").alias("label")))
     if not m2:
         return labels
-    now, part, still = _score(edges, labels, m2, resolution), 2, 0
+    now, sweep, alone = _score(edges, labels, m2, resolution), 0, False
     between = edges.where("a <> b")
-    for sweep in range(max_sweeps):
-        sigma = labels.join(degree, "node").groupBy("label").agg(F.sum("k").alias("sigma"))
+    while True:
+        sweep += 1
+        placed = labels.join(degree, "node")
+        sigma = placed.groupBy("label").agg(F.sum("k").alias("sigma"))
         near = between.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("inside"))
-        own = labels.join(degree, "node").join(sigma, "label").select("node", F.col("label").alias("old"), "k", (-resolution * F.col("k") * (F.col("sigma") - F.col("k")) / (m2 * m2)).alias("alone"))
+        own = placed.join(sigma, "label").select("node", F.col("label").alias("old"), "k", (-resolution * F.col("k") * (F.col("sigma") - F.col("k")) / (m2 * m2)).alias("alone"))
         offers = near.join(sigma, "label").join(own, "node")
         here = F.col("label") == F.col("old")
         value = F.col("inside") / m2 - resolution * F.col("k") * (F.col("sigma") - F.when(here, F.col("k")).otherwise(0)) / (m2 * m2)
-        offers = offers.select("node", "alone", F.when(here, value).alias("stay"), F.when(~here, F.struct(value.alias("value"), (-F.col("label")).alias("least"))).alias("go"))
-        best = offers.groupBy("node").agg(F.max("go").alias("go"), F.coalesce(F.max("stay"), F.max("alone")).alias("stay")).where(F.col("go.value") > F.col("stay") + GAIN).select("node", (-F.col("go.least")).alias("to"))
-        turn = F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(part)) == 0
-        moved = materialize(labels.join(best, "node", "left").select("node", F.when(turn, F.coalesce("to", "label")).otherwise(F.col("label")).alias("label"), F.col("to").isNotNull().alias("wants")))
+        offers = offers.select("node", "old", "alone", F.when(here, value).alias("stay"), F.when(~here, F.struct(value.alias("value"), (-F.col("label")).alias("least"))).alias("go"))
+        best = offers.groupBy("node", "old").agg(F.max("go").alias("go"), F.coalesce(F.max("stay"), F.max("alone")).alias("stay")).where(F.col("go.value") > F.col("stay") + GAIN)
+        best = materialize(best.select("node", "old", (-F.col("go.least")).alias("to"), (F.col("go.value") - F.col("stay")).alias("gain")))
+        if best.isEmpty():
+            return labels
+        if alone:
+            claims = best.select("node", "gain", F.explode(F.array("old", "to")).alias("community"))
+            first = claims.groupBy("community").agg(F.max(F.struct("gain", "node"))["node"].alias("node"))
+            winners = first.groupBy("node").agg(F.count("*").alias("n")).where("n = 2").select("node")
+            movers = best.join(winners, "node")
+        else:
+            movers = best.where(F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0)
+        moved = materialize(labels.join(movers.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")))
         score = _score(edges, moved, m2, resolution)
-        if score > now + GAIN:
-            added, labels, now, part, still = score - now, moved.select("node", "label"), score, 2, 0
-            if added < LEAST_GAIN:
-                break
+        if score > now:
+            labels, now, alone = moved, score, False
+        elif alone:
+            return labels  # what is left to gain is below the sums' rounding
         else:
-            part, still = part * 2, still + 1
-            if still > 4 or moved.where("wants").isEmpty():
-                break
+            alone = True
+
+
+def _levels(edges: DataFrame, resolution: float, levels: int) -> DataFrame:
+    edges = materialize(edges)
+    if edges.count() <= FOLD_EDGES:
+        return _fold(edges, resolution, levels)
+    labels = local_moving(edges, resolution)
+    if levels > 1 and not labels.where("node <> label").isEmpty():
+        up = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
+        folded = edges.join(up[0], "a").join(up[1], "b").groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("weight").alias("weight"))
+        higher = _levels(folded, resolution, levels - 1).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        labels = materialize(labels.join(higher, "label").select("node", F.col("to").alias("label")))
     return labels
 
 
-def louvain(edges: DataFrame, resolution: float = 1.0, max_sweeps: int = 50, levels: int = 10, least: int = 2) -> DataFrame:
-    """(node, community): local moving, then again between the communities found, until the levels add nothing.
+def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 1_000, least: int = 2) -> DataFrame:
+    """(node, community): local moving, then again between the communities found, until a level adds nothing.
 
-    edges are (a, b, weight), both ways. Communities of fewer than least nodes are left
-    out; the rest are numbered ``c_0_i`` by size, ties by their smallest node.
+    edges are (a, b, weight), both ways, nodes longs. A graph of at most FOLD_EDGES edges
+    (counted) is folded in one task, node by node; a larger one moves in rounds of joins,
+    and the graph of its communities is folded as soon as it is small. Communities of
+    fewer than least nodes are left out; the rest are numbered ``c_0_i`` by size, ties by
+    their smallest node. levels=1 is a single level.
     """
-    labels = local_moving(edges, resolution, max_sweeps)
-    for _ in range(levels - 1):
-        up = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
-        folded = materialize(edges.join(up[0], "a").join(up[1], "b").groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("weight").alias("weight")))
-        higher = local_moving(folded, resolution, max_sweeps)
-        if higher.where("node <> label").isEmpty():
-            break
-        labels = materialize(labels.join(higher.select(F.col("node").alias("label"), F.col("label").alias("to")), "label").select("node", F.col("to").alias("label")))
+    labels = _levels(edges, resolution, levels)
     sizes = materialize(labels.groupBy("label").agg(F.count("*").alias("size"), F.min("node").alias("first")).where(F.col("size") >= least))
-    ids = numbered(sizes)
-    return labels.join(ids, "label").select("node", "community")
+    return labels.join(numbered(sizes), "label").select("node", "community")
 
 
 def numbered(sizes: DataFrame) -> DataFrame:

@@ -133,3 +133,25 @@ def link_relations(pages: DataFrame, page_id: str = "page_id", html: str = "html
     repository = F.regexp_extract("href", r"^[^/]*//[^/?#]*/([^/?#]+/[^/?#]+)", 1)
     away = F.when((domain == "github.com") & (repository != ""), F.concat(F.lit("github:"), repository)).otherwise(F.concat(F.lit("site:"), domain))
     return found.where(inside | outside & (domain != "")).select("page_id", "href", F.when(outside, away).otherwise(F.col("href")).alias("target"), F.when(outside, "links_to").otherwise("references").alias("relation"))
+
+
+def components(edges: DataFrame, a: str = "a", b: str = "b") -> DataFrame:
+    """(node, root): the smallest node that each node of an edge can reach; nodes of any ordered type, loops allowed, nulls left out.
+
+    Each round hooks every node to the smallest node around it and then to that node's
+    own; a round is kept in the shared folder, and the loop ends when none moves. A node
+    with very many edges is pre-aggregated where its edges lie.
+    """
+    both = edges.select(F.col(a).alias("x"), F.col(b).alias("y")).dropna()
+    both = materialize(both.union(both.select("y", "x")).distinct())
+    roots = materialize(both.groupBy("x").agg(F.least(F.min("y"), F.col("x")).alias("root")).withColumnRenamed("x", "node"))
+    while True:
+        around = both.join(roots.select(F.col("node").alias("y"), "root"), "y").groupBy(F.col("x").alias("node")).agg(F.min("root").alias("near"))
+        hooked = roots.join(around, "node").select("node", F.col("root").alias("was"), F.least("root", "near").alias("to"))
+        lower = hooked.groupBy(F.col("was").alias("node")).agg(F.min("to").alias("down"))  # what a root's members have found, the root follows
+        moved = hooked.join(lower, "node", "left").select("node", "was", F.least("to", "down").alias("to"))
+        jump = moved.select(F.col("node").alias("to"), F.col("to").alias("far"))
+        now = materialize(moved.join(jump, "to", "left").select("node", "was", F.least("to", "far").alias("root")))
+        roots = now.select("node", "root")
+        if now.where("root <> was").isEmpty():
+            return roots

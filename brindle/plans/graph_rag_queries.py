@@ -149,5 +149,5 @@ def p3_graph_pipeline(spark, d):
     mentions, relations, _ = _graph(spark, d)
     ids = relations.select(F.col("source").alias("entity")).union(relations.select("target")).distinct().withColumn("node", F.xxhash64("entity"))
     edges = gr.undirected(relations.select(F.xxhash64("source").alias("src"), F.xxhash64("target").alias("dst"), "weight"))
-    found = cm.louvain(edges, max_sweeps=6, levels=1).join(ids, "node").select("community", "entity")
+    found = cm.louvain(edges).join(ids, "node").select("community", "entity")
     return rag.summaries(found, mentions).groupBy("community", "summary").agg(F.count("*").alias("size"))

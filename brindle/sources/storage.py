@@ -4,15 +4,21 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def materialize(df: DataFrame) -> DataFrame:
-    """Checkpoints df in the session's shared folder, spark.checkpoint.dir. Where that is unset, a session on one machine (tests) takes a folder of its own; a cluster may not."""
-    sc = df.sparkSession.sparkContext
+def shared_folder(spark: SparkSession) -> str:
+    """The session's shared folder, spark.checkpoint.dir. Where that is unset, a session on one machine (tests) takes a folder of its own; a cluster may not."""
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
         folder = sc.getConf().get("spark.checkpoint.dir")
         if not folder and not sc.master.startswith("local"):
             raise RuntimeError("spark.checkpoint.dir is not set: it has to name a folder that all executors share")
         sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="spark-checkpoint-"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Checkpoints df in the session's shared folder."""
+    shared_folder(df.sparkSession)
     return df.checkpoint(eager=True)

@@ -58,7 +58,7 @@ def test_communities_are_as_good_as_a_sequential_search(spark):
     few = spark.conf.get("spark.sql.shuffle.partitions")
     spark.conf.set("spark.sql.shuffle.partitions", "2")  # tiny joins, many of them
     try:
-        found = communities.louvain(both, max_sweeps=10, levels=2, least=1).cache()
+        found = communities.louvain(both, least=1).cache()
         found.count()
     finally:
         spark.conf.set("spark.sql.shuffle.partitions", few)
