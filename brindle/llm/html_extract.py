@@ -14,7 +14,12 @@ settle it beforehand, which makes the flow's graph smaller and the cut no other.
 Only elements that never hold article text (scripts, styles, nav, footer, aside,
 dialogs, elements with the attribute hidden) are certain. Class words are odds:
 the nearest marked element counts most, and a marked element (or form) that wraps
-an article or main element and most of the page is a layout and says nothing.
+an article or main element and most of the page is a layout and says nothing. Nor does
+one that holds nearly all unlinked prose of a page without an article elsewhere. Words
+that texts are also about (comment, social, widget) count only where they name the part.
+If nothing is left although a page has prose outside structural elements, names are
+left aside. Short notices on cookies and newsletters, and what follows a heading of
+readers' comments, are known by their words.
 
 Character references are decoded; white space inside a block becomes one space;
 blocks are joined by one newline. An unfinished last tag, comment or raw element
@@ -50,7 +55,12 @@ OUTSIDE = frozenset("nav footer aside menu dialog search".split())
 RAW = "script|style|noscript|template|textarea|title|iframe|svg|math|object|canvas|audio|video|select|xmp|noembed|noframes"
 
 #: Words of class, id, role and itemprop that mark boilerplate wherever they stand; fixed values.
-AGAINST = frozenset("ad ads advert adverts advertisement advertisements advertising sponsor sponsored sponsors promo promos banner banners menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars widget widgets footer masthead topbar toolbar related recommended recommendations social sharing comment comments commentlist disqus reply replies respond respondlist cookie cookies consent gdpr popup modal newsletter subscribe login signup pagination pager taboola outbrain paywall contentinfo complementary".split())
+AGAINST = frozenset("ad ads advert adverts advertisement advertisements menu menus nav navbar navigation breadcrumb breadcrumbs sidebar sidebars masthead topbar toolbar comments commentlist disqus respondlist gdpr popup modal pagination pager taboola outbrain contentinfo complementary".split())
+#: Words that do so as the last word of a name but for words that say what kind of part it is (PARTS), since they are also what texts are about; fixed values.
+AGAINST_PART = frozenset("advertising sponsor sponsored sponsors promo promos banner banners widget widgets footer related recommended recommendations social sharing comment reply replies respond cookie cookies consent newsletter subscribe login signup paywall".split())
+PARTS = frozenset("list lists area box boxes link links icon icons button buttons bar section form wrapper wrap container inner outer block blocks item items thread row panel region zone slot unit notice message dialog overlay media nav post posts articles stories reading content top bottom left right header title body text count meta author".split())
+#: Names that begin so are a page builder's layout; of their words only those of AGAINST count; fixed values.
+BUILDERS = frozenset("elementor wpb vc et fl fusion siteorigin brxe kt avia tatsu oxy".split())
 #: Words that do so only as the last word of a name, and not beside a word of FOR; fixed values.
 AGAINST_LAST = frozenset("header head legal notice notices alert search tags toc skip copyright disclaimer share follow discussion promotion subscription signin paging side rail overlay dialog tagcloud".split())
 #: Words that speak for content; fixed values.
@@ -64,11 +74,15 @@ UNSEEN = frozenset("hidden is-hidden visually-hidden visuallyhidden sr-only scre
 #: rather content (bias); odds double with each doubling of the length about 60 characters, within limits and but for
 #: headings; a block that is all link text is content once in fifty times (-4); an author's own class names are wrong
 #: about once in a hundred times (-4.5), an article or main element about once in twenty (3).
-WEIGHTS = {"bias": 0.8, "doubling": 0.7, "shortest": -0.8, "longest": 2.1, "links": -4.0, "sentence": 0.6, "prose": 0.9, "item": -0.5, "landmark": 3.0, "for": 2.5, "against": -4.5, "against_last": -3.5, "header": -4.0, "form": -4.5, "unseen": -6.0, "rights": -5.0}
+WEIGHTS = {"bias": 0.8, "doubling": 0.7, "shortest": -0.8, "longest": 2.1, "links": -4.0, "sentence": 0.6, "prose": 0.9, "item": -0.5, "landmark": 3.0, "for": 2.5, "against": -4.5, "against_last": -3.5, "header": -4.0, "form": -4.5, "unseen": -6.0, "rights": -5.0, "notice": -5.0, "talk": -4.5}
 SURE = 1000.0
 #: Smoothness: neighbours in one element, share kept by each step of tree distance, by each border of a marked element; next block of the parent.
 NEAR, STEP, BORDER, SIBLING, FARTHEST = 2.6, 0.75, 0.2, 0.5, 12
 WRAPS = 0.5
+#: An element with this share of the page's prose is the page, whatever its name says, unless an article stands outside it.
+WHOLE = 0.8
+#: Unlinked prose: so many characters, linked for less than half.
+PROSE_CHARS = 60
 
 _TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})(?=[\s/>])(?P<rest>[^>]*)>.*?(?:</(?P=raw)\s*>|\Z)|<![^>]*(?:>|\Z)|<\?[^>]*(?:>|\Z)|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*)(?P<attributes>(?:[^<>\"']|\"[^\"]*\"|'[^']*')*)>|<(?P<close2>/?)(?P<name2>[a-zA-Z][^\s/>]*)(?P<attributes2>[^>]*)(?:>|\Z)", re.DOTALL | re.IGNORECASE)
 _ATTRIBUTE = re.compile(r"""([^\s=/>"']+)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>"']+)))?""")
@@ -80,6 +94,10 @@ _CLOSES = {"p": ("p",), "li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "
 _STOP = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table",), "td": ("tr", "table"), "th": ("tr", "table")}
 _HOLDS_P = frozenset("td th article section div li blockquote main aside nav header footer form".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
+#: Short blocks that are notices by what they say, and headings that readers' comments follow, in the languages of the tables; fixed values.
+_NOTICE = re.compile(r"(?=.*\bcookies?\b)(?=.*\b(?:we use|uses?|accept|agree|consent|browsing|utilis|accepte|verwende|akzeptier|zustimm|usamos|utiliza|acepta))|(?=.*\bnewsletters?\b|.*\binbox\b|.*\bboletín\b)(?=.*\b(?:subscribe|sign up|e-?mail|join|abonne|inscri|anmeld|abonnier|suscr))", re.IGNORECASE | re.DOTALL)
+_NOTICE_CHARS = 400
+_TALK = re.compile(r"(?:\d+\s+)?(?:readers?['’]?s?['’]?\s+)?(?:comments?|responses|replies|commentaires?|kommentare?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?|(?:leave|post|write) a (?:comment|reply)\W*|join the (?:discussion|conversation)\W*|laisser un commentaire\W*|deja un comentario\W*", re.IGNORECASE)
 _PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 figcaption".split())
 
 
@@ -91,8 +109,13 @@ def name_odds(names: str) -> float:
             return WEIGHTS["unseen"]
         words = [w.lower() for w in _PART.findall(name)]
         good = not FOR.isdisjoint(words)
+        last = len(words) - 1
+        while last > 0 and words[last] in PARTS:
+            last -= 1
         if any(w in AGAINST and not (i and words[i - 1] in BEFORE) for i, w in enumerate(words)):
             worst = min(worst, WEIGHTS["against"])
+        elif words and words[last] in AGAINST_PART and words[0] not in BUILDERS and not (last and words[last - 1] in BEFORE):
+            worst = min(worst, WEIGHTS["against"])
         elif words and words[-1] in AGAINST_LAST and not good:
             worst = min(worst, WEIGHTS["against_last"])
         elif good:
@@ -103,13 +126,13 @@ def name_odds(names: str) -> float:
 class Element:
     """An open element. ``odds`` is what it and its ancestors say of a block inside, ``zone`` its nearest marked element."""
 
-    __slots__ = ("name", "up", "depth", "number", "own", "landmark", "outside", "odds", "zone", "chars", "holds")
+    __slots__ = ("name", "up", "depth", "number", "own", "landmark", "outside", "odds", "zone", "chars", "holds", "prose")
 
     def __init__(self, name: str, up: Element | None, attributes: str, number: int):
         self.name, self.up, self.number = name, up, number
         self.depth = up.depth + 1 if up else 0
         self.outside = name in OUTSIDE or bool(up and up.outside)
-        self.own, self.odds, self.zone, self.chars, self.holds = 0.0, 0.0, 0, 0, False
+        self.own, self.odds, self.zone, self.chars, self.holds, self.prose = 0.0, 0.0, 0, 0, False, 0
         role = ""
         if attributes and not attributes.isspace() and name not in ("html", "body"):
             for key, a, b, c in _ATTRIBUTE.findall(attributes):
@@ -122,16 +145,16 @@ class Element:
                     self.outside = True
                 elif (key == "aria-hidden" and value.lower() == "true") or (key == "style" and _NO_DISPLAY.search(value)):
                     self.own = WEIGHTS["unseen"]
-        self.landmark = (name in ("article", "main") or role in ("main", "article")) and self.own >= 0
+        self.landmark = (name in ("article", "main") or role in ("main", "article")) and (self.own >= 0 or name == "main")
         if name in ("form", "fieldset"):
             self.own = min(self.own, WEIGHTS["form"])
 
 
 class Block:
-    __slots__ = ("text", "element", "linked", "order")
+    __slots__ = ("text", "element", "linked", "order", "talk")
 
     def __init__(self, text: str, element: Element, linked: int, order: int):
-        self.text, self.element, self.linked, self.order = text, element, linked, order
+        self.text, self.element, self.linked, self.order, self.talk = text, element, linked, order, False
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -215,26 +238,48 @@ def blocks_of(page: str) -> list[Block]:
         parts.append(tail)
     flush()
     _mark(elements, out)
+    _talk(out)
     return out
 
 
-def _mark(elements: list[Element], blocks: list[Block]) -> None:
-    """odds and zone of every element, from the page's whole tree."""
-    whole = 0
+def is_prose(b: Block) -> bool:
+    """Unlinked text outside structural elements that is long enough for prose and no notice."""
+    return not b.element.outside and len(b.text) >= PROSE_CHARS and 2 * b.linked < len(b.text) and not _is_notice(b.text)
+
+
+def _is_notice(text: str) -> bool:
+    return len(text) <= _NOTICE_CHARS and bool(_NOTICE.search(text))
+
+
+def _mark(elements: list[Element], blocks: list[Block], names: bool = True) -> None:
+    """odds and zone of every element, from the page's whole tree; names=False takes no name against the text in it."""
+    whole = prose = 0
+    for e in elements:
+        e.chars = e.prose = 0
+        e.holds = False
     for b in blocks:
         if not b.element.outside:
             b.element.chars += len(b.text)
             whole += len(b.text)
+            if is_prose(b):
+                b.element.prose += len(b.text)
+                prose += len(b.text)
     for e in reversed(elements):  # children come after their parents
         if e.up:
             e.up.chars += e.chars
+            e.up.prose += e.prose
             e.up.holds |= e.holds or e.landmark
+    apart = any(e.landmark and e.prose for e in elements)
     for e in elements:
         up = e.up
         e.odds, e.zone = (up.odds, up.zone) if up else (0.0, 0)
         own = e.own
         if own < 0 and e.chars > WRAPS * whole and (e.holds or e.name == "form" and own == WEIGHTS["form"]):
             own = 0.0  # a layout around the article
+        if own < 0 and prose and e.prose > WHOLE * prose and (e.holds or not apart) and own != WEIGHTS["unseen"]:
+            own = 0.0  # the page's text itself
+        if own < 0 and not names and own != WEIGHTS["unseen"]:
+            own = 0.0
         if e.name == "header" and own >= 0 and e.odds < WEIGHTS["landmark"] and not e.holds:
             own = WEIGHTS["header"]
         if own < 0:
@@ -245,6 +290,24 @@ def _mark(elements: list[Element], blocks: list[Block]) -> None:
             e.zone = e.number
 
 
+def _talk(blocks: list[Block]) -> None:
+    """Marks what stands under a heading of readers' comments: the rest of the element that holds the heading, if prose came before."""
+    under: Element | None = None
+    seen = False
+    for b in blocks:
+        e = b.element
+        while under is not None and e is not None and e is not under:
+            e = e.up
+        b.talk = under is not None and e is under
+        if not b.talk:
+            under = None
+            if seen and b.element.name in _HEADINGS and len(b.text) <= 60 and _TALK.fullmatch(b.text):
+                b.talk, under = True, b.element.up
+                while under.name in ("header", "hgroup") and under.up is not None:
+                    under = under.up
+        seen = seen or is_prose(b)
+
+
 def log_odds(block: Block) -> float:
     """The model's log odds: above zero speaks for content."""
     e, w = block.element, WEIGHTS
@@ -261,6 +324,10 @@ def log_odds(block: Block) -> float:
         score += w["sentence"]
     if block.text[0] in "©" or block.text[:20].lower().startswith(("copyright", "all rights reserved")):
         score += w["rights"]
+    if _is_notice(block.text):
+        score += w["notice"]
+    if block.talk:
+        score += w["talk"]
     return score
 
 
@@ -381,11 +448,27 @@ def smoothness(blocks: list[Block]) -> dict[tuple[int, int], float]:
     return edges
 
 
+def _elements(blocks: list[Block]) -> list[Element]:
+    """The elements around the blocks, parents first."""
+    found = {}
+    for b in blocks:
+        e = b.element
+        while e is not None and e.number not in found:
+            found[e.number] = e
+            e = e.up
+    return [found[n] for n in sorted(found)]
+
+
 def main_text(page: str) -> str:
     blocks = blocks_of(page)
     if not blocks:
         return ""
     kept = cut([log_odds(b) for b in blocks], smoothness(blocks))
+    if not any(kept) and any(is_prose(b) and not b.talk for b in blocks):  # some name was taken for more than it says
+        _mark(_elements(blocks), blocks, names=False)
+        kept = cut([log_odds(b) for b in blocks], smoothness(blocks))
+        if not any(kept):
+            kept = [is_prose(b) and not b.talk for b in blocks]
     return "\n".join(b.text for b, k in zip(blocks, kept, strict=True) if k)
 
 

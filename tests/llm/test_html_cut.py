@@ -108,3 +108,39 @@ def test_long_odd_pages_are_linear():
     page = "<div>" * 50_000 + "<li>x</section>" * 50_000 + "<p>Some last words of it.</p>"
     H.main_text(page)
     assert time.process_time() - began < 20
+
+
+TOLD = "<p>The council met on Tuesday to discuss the new bridge, and members spoke for two hours about its cost.</p><p>After the debate, a vote was held and the plan was accepted by a narrow margin of three votes.</p>"
+MENU = '<ul><li><a href="/">Home</a></li><li><a href="/n">News</a></li></ul>'
+WRAPPERS = "elementor-widget-container|promo-story|social-policy|widget-content|entry-content|wp-block-group|et_pb_text_inner|field--name-body node__content|region region-content|vc_column-inner wpb_wrapper|elementor elementor-kit-5 elementor-page|elementor-widget-wrap|fl-rich-text|site-content|td-post-content|post-body entry-content|comment-on-the-law|newsletter-archive-issue|cookies-recipe|banner-history|related-work-analysis|login-systems-explained|sponsored-content-analysis|block-system-main-block|views-row|paywall-economics|the-sidebar-effect|modal-logic|nav-history"
+
+
+@pytest.mark.parametrize("name", WRAPPERS.split("|"))
+def test_wrappers_with_usual_names_keep_the_text(name):
+    want = TOLD.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
+    for page in (f'<body>{MENU}<div class="{name}">{TOLD}</div></body>', f'<html><body><div id="{name}">{TOLD}</div>{MENU}</body></html>', f'<body><article class="{name}">{TOLD}</article></body>'):
+        assert H.main_text(page) == want
+
+
+@pytest.mark.parametrize(
+    "extra",
+    [
+        "<div><p>We use cookies to improve your experience. By browsing you accept this.</p></div>", "<div><p>Subscribe to our newsletter and get the best stories in your inbox.</p></div>",
+        "<div><h3>Comments (2)</h3><p>Anna: I think that the bridge is far too expensive for a town like ours, really.</p><p>Karl: It will pay for itself in a few years, you will see how it goes.</p></div>",
+        "<section><header><h2>Readers' comments</h2></header><div><p>It will pay for itself in a few years, you will see how it goes.</p></div></section>",
+        '<div class="comment-list"><p>I think that the bridge is far too expensive for a town like ours, really.</p></div>', '<div class="social-icons">Share this on all the networks that you like to use today.</div>',
+        '<div class="related-posts"><p>Another story about a bridge that was built long ago here.</p></div>', '<div class="sidebar-widget"><p>About the author who has written many stories over the years.</p></div>', '<div class="newsletter-box"><p>Get it each week, all the stories that matter to you and yours.</p></div>',
+    ],
+)
+def test_unmarked_notices_and_comments_go(extra):
+    want = TOLD.replace("</p><p>", "\n").replace("<p>", "").replace("</p>", "")
+    assert H.main_text(f"<body>{MENU}<div>{TOLD}</div>{extra}</body>") == want
+    assert H.main_text(f"<body>{MENU}<article>{TOLD}</article>{extra}</body>") == want
+
+
+def test_prose_outside_structure_is_never_lost():
+    for names in ("comments", "sidebar", "ad", "navbar"):
+        assert "narrow margin" in H.main_text(f'<body><div class="{names}">{TOLD}</div></body>')
+    assert H.main_text(f'<body><div class="{"x"}">{MENU}</div><div class="comments"><p>Short.</p></div></body>') in ("", "Short.")
+    assert H.main_text("<body><div><h1>12 Comments</h1>" + TOLD + "</div></body>").count("council") == 1
+    assert H.main_text(f"<body><nav>{TOLD}</nav><footer>{TOLD}</footer></body>") == ""
