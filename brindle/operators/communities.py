@@ -122,7 +122,7 @@ def local_moving(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
             movers = best.where(F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0)
         moved = materialize(labels.join(movers.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")))
         score = _score(edges, moved, m2, resolution)
-        if score > now:
+        if score > now + GAIN / 2:
             labels, now, alone = moved, score, False
         elif alone:
             return labels  # what is left to gain is below the sums' rounding

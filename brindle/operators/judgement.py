@@ -223,3 +223,37 @@ def context_scores(texts: DataFrame, bigrams: DataFrame, key: str, text: str, un
     n = F.col("words") - 1
     perplexity = F.when(n < 1, 0.0).when(F.col("bad") > 0, 1000.0 * F.col("bad")).when(F.col("known") > F.floor(n / 2), F.exp(-F.col("log") / n)).otherwise(50.0)
     return per.select(key, "words", perplexity.alias("perplexity"), (perplexity < 100).alias("valid"), F.col("unusual"))
+
+
+# Fixed values of the content type.
+SPEECH = r"\b(said|replied|asked|answered|cried|shouted|whispered|muttered|exclaimed|remarked|observed)\b"
+NARRATIVE = r"\b(he|she|they|i)\s+(walked|ran|looked|felt|thought|saw|heard|went|came|stood|sat)\b"
+TITLED = r"\b(Mr\.|Mrs\.|Miss|Dr\.|Captain|Inspector)\s+[A-Z][a-z]+"
+TECHNICAL = ["function", "class", "method", "api", "http", "json", "install", "configure", "docker", "kubernetes", "database", "server", "client"]
+CODE_LIKE = r"\b[a-z]+[A-Z][a-z]+\b|[a-z]+_[a-z]+|\(\)|\[\]|\{\}|=>|->"
+STRUCTURE = ["introduction", "conclusion", "overview", "requirements"]
+MARGIN = 3
+
+
+def content_type(sentences: Column, code_blocks: Column) -> tuple[Column, Column, Column, Column]:
+    """(fiction, technical, dialogue, type) of a text's sentences and number of code blocks.
+
+    Fiction: the share of sentences that open with a quote (ten times), a third of the
+    speech tags and half of the pronouns with a verb (five at most each), chapters (3)
+    and titled names (2). Technical: code blocks (five at most), technical words that
+    occur, a fifth of what looks like code (five at most), words of structure (2). The
+    higher one wins by more than the margin; else dialogue of over 15 % or more than
+    two code blocks decide. All sentences are read.
+    """
+    text = F.regexp_replace(F.array_join(sentences, " "), r"[^\x00-\x7F]", "x")  # a letter to every regular expression engine
+    low = F.lower(text)
+    has = lambda words: sum((F.contains(low, F.lit(w)).cast("int") for w in words), F.lit(0))
+    n = F.size(sentences)
+    opened = F.size(F.filter(sentences, lambda x: x.rlike("^[\"'“”]")))
+    dialogue = F.when(n > 0, opened / n).otherwise(0.0)
+    five = F.lit(5.0)
+    fiction = dialogue * 10 + F.least(five, F.regexp_count(low, F.lit(SPEECH)) / 3) + F.least(five, F.regexp_count(low, F.lit(NARRATIVE)) / 2)
+    fiction = fiction + F.when(F.contains(low, F.lit("chapter")), 3).otherwise(0) + F.when(text.rlike(TITLED), 2).otherwise(0)
+    technical = F.least(five, code_blocks.cast("double")) + has(TECHNICAL) + F.least(five, F.regexp_count(text, F.lit(CODE_LIKE)) / 5) + F.when(has(STRUCTURE) > 0, 2).otherwise(0)
+    kind = F.when(fiction > technical + MARGIN, "narrative").when(technical > fiction + MARGIN, "expository").when(dialogue > 0.15, "narrative").when(code_blocks > 2, "expository").otherwise("unknown")
+    return fiction, technical, dialogue, kind

@@ -70,9 +70,9 @@ def r13_adaptive_search(spark, d):
 
 @query()
 def r15_mmr_sentences(spark, d):
-    """Marginal relevance to a target of five a label, in rounds over all labels at once."""
+    """Marginal relevance to each label's target, in rounds over all labels at once."""
     e = table(spark, d, "embeddings").where("embedding is not null").withColumn("w", F.when(F.col("vec_id") % 5 == 0, 1.2).otherwise(1.0))
-    return mv.mmr_top(e, "label", "vec_id", "embedding", "w", most=5)
+    return mv.mmr_top(e, "label", "vec_id", "embedding", "w")
 
 
 _STOP = "[" + ", ".join(f"'{w}'" for w in mv.STOP) + "]"

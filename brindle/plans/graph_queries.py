@@ -20,12 +20,6 @@ def kg1_kg2_candidates(spark, d):
     return gr.significant(gr.candidates(table(spark, d, "documents"), "doc_id", "text")).select("name", "mentions", F.round("confidence", 6).alias("confidence"), "kind")
 
 
-@query("SELECT page_id, regexp_extract(html, 'href=\"(/[^\"]*)\"', 1) AS href, 'references' AS relation FROM pages WHERE regexp_matches(html, 'href=\"/')")
-def kg3_link_relations(spark, d):
-    """The first root-relative link of each page, as its SQL has it; kg3_all_links has every link."""
-    return table(spark, d, "pages").where(F.col("html").rlike('href="/')).select("page_id", F.regexp_extract("html", 'href="(/[^"]*)"', 1).alias("href"), F.lit("references").alias("relation"))
-
-
 @query(r"""WITH q AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*'')', 1)) AS q FROM pages), h AS (SELECT page_id, trim(substr(q, 2, length(q) - 2)) AS href FROM q), u AS (SELECT *, regexp_matches(href, '(?i)^(https?:)?//') AS outside, regexp_replace(lower(regexp_extract(href, '^[^/]*//(?:[^/?#@]*@)?([^/?#:]*)', 1)), 'www\.', '', 'g') AS domain, regexp_extract(href, '^[^/]*//[^/?#]*/([^/?#]+/[^/?#]+)', 1) AS repository FROM h) SELECT page_id, href, CASE WHEN NOT outside THEN href WHEN domain = 'github.com' AND repository <> '' THEN 'github:' || repository ELSE 'site:' || domain END AS target, CASE WHEN outside THEN 'links_to' ELSE 'references' END AS relation FROM u WHERE CASE WHEN outside THEN domain <> '' ELSE NOT regexp_matches(href, '^(#|$|[a-zA-Z][a-zA-Z0-9+.-]*:)') END""")
 def kg3_all_links(spark, d):
     return gr.link_relations(table(spark, d, "pages"))

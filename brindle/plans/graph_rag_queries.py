@@ -95,15 +95,15 @@ def kg12_community_context(spark, d):
 
 
 @query(
-    r"""WITH q AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*'')', 1)) AS q FROM pages), h AS (SELECT page_id, trim(substr(q, 2, length(q) - 2)) AS href FROM q), l AS (SELECT DISTINCT page_id, 'p' || page_id % 50 AS source, CASE WHEN regexp_matches(href, '^/[a-m]') THEN 'blog:' || substr(href, 2) WHEN regexp_matches(href, '^/[n-s]') THEN substr(href, 2) ELSE 'site:' || href END AS target FROM h WHERE regexp_matches(href, '^/')),
- k AS (SELECT DISTINCT 'nd' AS name UNION SELECT 'of' UNION SELECT 'p7'), g AS (SELECT source, target, count(DISTINCT page_id) AS chunks FROM l GROUP BY 1, 2), e AS (SELECT * FROM g WHERE regexp_matches(target, '^(blog|github|site):') OR lower(target) IN (SELECT name FROM k)), n AS (SELECT DISTINCT target AS name, CASE WHEN starts_with(target, 'blog:') THEN 'document' ELSE 'website' END AS type FROM e WHERE regexp_matches(target, '^(blog|github|site):') UNION SELECT DISTINCT source, 'concept' FROM e WHERE lower(source) NOT IN (SELECT name FROM k))
+    r"""WITH q AS (SELECT page_id, unnest(regexp_extract_all(html, '(?i)<a\s(?:[^>]*?\s)?href\s*=\s*("[^"]*"|''[^'']*'')', 1)) AS q FROM pages), h AS (SELECT page_id, trim(substr(q, 2, length(q) - 2)) AS href FROM q), l AS (SELECT DISTINCT page_id, 'p' || page_id % 50 AS source, CASE WHEN regexp_matches(href, '^/[a-m]') THEN 'blog:' || substr(href, 2) WHEN regexp_matches(href, '^/[n-s]') THEN substr(href, 2) WHEN contains(href, 'github.com/') THEN 'github:' || href ELSE 'site:' || href END AS target FROM h WHERE href <> ''),
+ k AS (SELECT DISTINCT 'nd' AS name UNION SELECT 'of' UNION SELECT 'p7'), g AS (SELECT source, target, count(DISTINCT page_id) AS chunks FROM l GROUP BY 1, 2), e AS (SELECT * FROM g WHERE regexp_matches(target, '^(blog|github|site):') OR lower(target) IN (SELECT name FROM k)), n AS (SELECT DISTINCT target AS name, CASE WHEN starts_with(target, 'blog:') THEN 'document' WHEN starts_with(target, 'github:') THEN 'repository' ELSE 'website' END AS type FROM e WHERE regexp_matches(target, '^(blog|github|site):') UNION SELECT DISTINCT source, 'concept' FROM e WHERE lower(source) NOT IN (SELECT name FROM k))
  SELECT 'edge' AS what, 'e_' || regexp_replace(lower(source), '[^a-z0-9]', '_', 'g') AS id, 'e_' || regexp_replace(lower(target), '[^a-z0-9]', '_', 'g') AS other, 'references' AS kind, chunks FROM e UNION ALL SELECT 'entity', 'e_' || regexp_replace(lower(name), '[^a-z0-9]', '_', 'g'), name, type, NULL FROM n"""
 )
 def kg6_link_edges(spark, d):
     """Edges from links, with the entities that they bring about."""
-    links = gr.link_relations(table(spark, d, "pages")).where(F.col("href").rlike("^/"))
+    links = gr.link_relations(table(spark, d, "pages")).where("href <> ''")
     name = F.substring("href", F.lit(2), F.length("href"))
-    target = F.when(F.col("href").rlike("^/[a-m]"), F.concat(F.lit("blog:"), name)).when(F.col("href").rlike("^/[n-s]"), name).otherwise(F.concat(F.lit("site:"), "href"))
+    target = F.when(F.col("href").rlike("^/[a-m]"), F.concat(F.lit("blog:"), name)).when(F.col("href").rlike("^/[n-s]"), name).when(F.contains("href", F.lit("github.com/")), F.concat(F.lit("github:"), "href")).otherwise(F.concat(F.lit("site:"), "href"))
     rows = links.select(F.col("page_id").alias("chunk_id"), F.concat(F.lit("p"), (F.col("page_id") % 50).cast("string")).alias("source"), target.alias("target"), F.lit("references").alias("relation"))
     edges, new = rag.link_edges(rows, spark.createDataFrame([("nd",), ("of",), ("p7",)], "name string"))
     return edges.select(F.lit("edge").alias("what"), F.col("source_id").alias("id"), F.col("target_id").alias("other"), F.col("relation").alias("kind"), "chunks").union(new.select(F.lit("entity"), "entity_id", "name", "type", F.lit(None).cast("long")))

@@ -199,3 +199,23 @@ def m14_context_scores(spark, d):
     bigrams = pairs.join(pairs.groupBy("prev").agg(F.sum("n").alias("all")), "prev").select("prev", "cur", (F.col("n") / F.col("all")).alias("prob"))
     found = jd.context_scores(c.select((F.col("conv_id") * 1000 + F.col("turn")).alias("k"), "text"), bigrams, "k", "text")
     return found.withColumn("perplexity", F.round("perplexity", 5))
+
+
+_PROSE = "pr AS (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN '\"Come,\" said Mr. Ellis. He looked away. ' || coalesce(text, '') || ' \"No.\" she cried. Chapter two begins.' WHEN 1 THEN 'Install the server and configure the client API. It calls getName() -> my_value. ' || coalesce(text, '') ELSE coalesce(text, '') END AS text, CASE WHEN doc_id % 7 = 1 THEN 3 ELSE doc_id % 2 END AS blocks FROM documents)"
+_ONE = lambda words: " + ".join(f"contains(lo, '{w}')::INT" for w in words)
+
+
+@query(
+    rf"""WITH {_PROSE}, st AS (SELECT doc_id, blocks, list_filter(list_transform(string_split(regexp_replace(text, '([.!?])[ \t\n\v\f\r]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x)), lambda x: x <> '') AS s FROM pr),
+ tx AS (SELECT *, regexp_replace(array_to_string(s, ' '), '[^\x00-\x7F]', 'x', 'g') AS t, CASE WHEN len(s) > 0 THEN len(list_filter(s, lambda x: regexp_matches(x, '^["''“”]'))) / len(s) ELSE 0 END AS dialogue FROM st), lw AS (SELECT *, lower(t) AS lo FROM tx),
+ sc AS (SELECT doc_id, blocks, dialogue, dialogue * 10 + least(5, len(regexp_extract_all(lo, '{jd.SPEECH}')) / 3) + least(5, len(regexp_extract_all(lo, '{jd.NARRATIVE}')) / 2) + CASE WHEN contains(lo, 'chapter') THEN 3 ELSE 0 END + CASE WHEN regexp_matches(t, '{jd.TITLED}') THEN 2 ELSE 0 END AS fiction,
+   least(5, blocks) + {_ONE(jd.TECHNICAL)} + least(5, len(regexp_extract_all(t, '{jd.CODE_LIKE}')) / 5) + CASE WHEN {_ONE(jd.STRUCTURE)} > 0 THEN 2 ELSE 0 END AS technical FROM lw)
+ SELECT doc_id, round(fiction, 6) AS fiction, round(technical, 6) AS technical, CASE WHEN fiction > technical + 3 THEN 'narrative' WHEN technical > fiction + 3 THEN 'expository' WHEN dialogue > 0.15 THEN 'narrative' WHEN blocks > 2 THEN 'expository' ELSE 'unknown' END AS type FROM sc"""
+)
+def r21_content_type(spark, d):
+    """Narrative or expository, by the scores of the whole text; a fifth of the texts each are set in a story or a manual."""
+    i, own = F.col("doc_id"), F.coalesce("text", F.lit(""))
+    text = F.when(i % 5 == 0, F.concat(F.lit('"Come," said Mr. Ellis. He looked away. '), own, F.lit(' "No." she cried. Chapter two begins.'))).when(i % 5 == 1, F.concat(F.lit("Install the server and configure the client API. It calls getName() -> my_value. "), own)).otherwise(own)
+    docs = table(spark, d, "documents").select("doc_id", tx.sentences(text).alias("s"), F.when(i % 7 == 1, 3).otherwise(i % 2).alias("blocks"))
+    fiction, technical, _, kind = jd.content_type(F.col("s"), F.col("blocks"))
+    return docs.select("doc_id", F.round(fiction, 6).alias("fiction"), F.round(technical, 6).alias("technical"), kind.alias("type"))

@@ -12,19 +12,19 @@ _MARKS = {0: "# ", 3: "## ", 5: "- ", 6: "> ", 8: "### "}
 
 
 def _markdown(spark, d):
-    """doc_id, text: headings are the first forty characters of their line; a fence about every eleventh line but one."""
+    """doc_id, text: a fence about every eleventh line but one."""
 
     def mark(line, i):
         at = i % 11
         out = F.when(at == 9, F.concat(F.lit("```\n"), line, F.lit("\n```"))).when(at == 2, F.lit(""))
         for k, m in _MARKS.items():
-            out = out.when(at == k, F.concat(F.lit(m), F.substring(line, 1, 40) if m.startswith("#") else line))
+            out = out.when(at == k, F.concat(F.lit(m), line))
         return out.otherwise(line)
 
     return table(spark, d, "documents").where("text is not null").select("doc_id", F.array_join(F.transform(F.split("text", "\n"), mark), "\n").alias("text"))
 
 
-_MD = """md AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE (i - 1) % 11 WHEN 9 THEN '```' || chr(10) || l || chr(10) || '```' WHEN 2 THEN '' WHEN 0 THEN '# ' || substr(l, 1, 40) WHEN 3 THEN '## ' || substr(l, 1, 40) WHEN 5 THEN '- ' || l WHEN 6 THEN '> ' || l WHEN 8 THEN '### ' || substr(l, 1, 40) ELSE l END), chr(10)) AS text FROM documents WHERE text IS NOT NULL),
+_MD = """md AS (SELECT doc_id, array_to_string(list_transform(string_split(text, chr(10)), lambda l, i: CASE (i - 1) % 11 WHEN 9 THEN '```' || chr(10) || l || chr(10) || '```' WHEN 2 THEN '' WHEN 0 THEN '# ' || l WHEN 3 THEN '## ' || l WHEN 5 THEN '- ' || l WHEN 6 THEN '> ' || l WHEN 8 THEN '### ' || l ELSE l END), chr(10)) AS text FROM documents WHERE text IS NOT NULL),
  li AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM md)"""
 _STRIP = r"regexp_replace({}, '^[ \t\r\n]+|[ \t\r\n]+$', '', 'g')"
 _SECTIONS = f"""{_MD}, lv AS (SELECT *, CASE WHEN regexp_matches(line, '^#{{1,2}} ') THEN length(regexp_extract(line, '^(#+) ', 1)) ELSE 0 END AS lv FROM li WHERE NOT regexp_matches(line, '<!-- PAGE:[0-9]+(-[0-9]+)? -->')),

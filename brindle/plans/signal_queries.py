@@ -95,15 +95,6 @@ def m5_hamming(spark, d):
     return table(spark, d, "events").select("event_id", F.bit_count((F.col("event_id") * 2654435761).bitwiseXOR(F.col("user_id") * 40503)).alias("d"))
 
 
-@query("WITH c AS (SELECT doc_id, pos, substr(text, pos, 1) AS ch, 1 + doc_id % 3 AS conf FROM documents, range(1, 13) r(pos) WHERE length(text) >= pos), v AS (SELECT pos, ch, sum(conf) AS w FROM c GROUP BY ALL), t AS (SELECT pos, sum(w) AS t FROM v GROUP BY 1) SELECT pos, ch, round(w / t, 6) AS share FROM v JOIN t USING (pos) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY w DESC, ch) = 1")
-def tv_temporal_voting(spark, d):
-    """Confidence-weighted majority of characters by place, over the first twelve places as its SQL has it; tv_whole_texts votes on all."""
-    chars = table(spark, d, "documents").select(F.posexplode(F.split(F.substring("text", 1, 12), "")).alias("p", "ch"), (1 + F.col("doc_id") % 3).alias("conf")).where("ch <> ''")
-    votes = chars.groupBy((F.col("p").cast("long") + 1).alias("pos"), "ch").agg(F.sum("conf").alias("w"))
-    best = votes.groupBy("pos").agg(F.sum("w").alias("t"), F.max("w").alias("top"))
-    return votes.join(best, "pos").where("w = top").groupBy("pos", "w", "t").agg(F.min("ch").alias("ch")).select("pos", "ch", F.round(F.col("w") / F.col("t"), 6).alias("share"))
-
-
 @query("WITH c AS (SELECT generate_subscripts(l, 1) AS pos, unnest(l) AS ch, conf FROM (SELECT string_split(text, '') AS l, 1 + doc_id % 3 AS conf FROM documents)), v AS (SELECT pos, ch, sum(conf) AS w FROM c GROUP BY ALL), t AS (SELECT pos, sum(w) AS t FROM v GROUP BY 1) SELECT pos, ch, round(w / t, 6) AS share FROM v JOIN t USING (pos) QUALIFY row_number() OVER (PARTITION BY pos ORDER BY w DESC, ch) = 1")
 def tv_whole_texts(spark, d):
     """Confidence-weighted majority of characters at every place of the texts."""

@@ -106,10 +106,10 @@ def a4_a5_document_frequency(spark, d):
     return both.select("term", "df", kind.alias("importance"), F.round(F.log((F.col("total") - F.col("df") + 0.5) / (F.col("df") + 0.5) + 1), 6).alias("bm25_idf"), F.round(F.log(F.col("total") / F.col("df")), 6).alias("idf"))
 
 
-@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '\b(may|might|perhaps|possibly|the)\b')) AS hedges, round(greatest(0, 1 - 0.05 * len(regexp_extract_all(lower(text), '\b(may|might|perhaps|possibly|the)\b'))), 6)::DOUBLE AS score FROM documents WHERE lang = 'en'")
+@query(r"SELECT doc_id, len(regexp_extract_all(lower(text), '\b(may|might|perhaps|possibly|the)\b')) AS hedges, round(greatest(0, 1 - 0.05 * len(regexp_extract_all(lower(text), '\b(may|might|perhaps|possibly|the)\b'))), 6)::DOUBLE AS score FROM documents")
 def x22_hedging_penalty(spark, d):
     n = F.regexp_count(F.lower("text"), F.lit(r"\b(may|might|perhaps|possibly|the)\b"))
-    return table(spark, d, "documents").where("lang = 'en'").select("doc_id", n.cast("long").alias("hedges"), F.round(F.greatest(F.lit(0.0), 1 - 0.05 * n), 6).alias("score"))
+    return table(spark, d, "documents").select("doc_id", n.cast("long").alias("hedges"), F.round(F.greatest(F.lit(0.0), 1 - 0.05 * n), 6).alias("score"))
 
 
 @query(r"WITH c AS (SELECT doc_id, list_transform(regexp_extract_all(text || ' [chunk-' || doc_id % 5 || '] x [chunk-9] [note]', '\[chunk-(\d+)\]', 1), lambda x: x::INT) AS ids FROM documents) SELECT doc_id, len(ids) AS total, len(list_filter(ids, lambda x: x > 3)) AS invalid, len(list_filter(ids, lambda x: x > 3)) = 0 AND len(ids) > 0 AS valid FROM c")
@@ -151,12 +151,6 @@ def r20_content_weight(spark, d):
     return table(spark, d, "documents").select("doc_id", F.when(first.isin("code", "function", "class", "api"), 0.2).otherwise(curve).alias("weight"))
 
 
-@query(r"WITH s AS (SELECT doc_id, least(3, len(regexp_extract_all(lower(text), '\b(he|she|the|der|la)\b'))) AS fiction, least(3, len(regexp_extract_all(lower(text), '\b(api|code|data|in)\b'))) AS technical FROM documents WHERE lang = 'en') SELECT doc_id, fiction, technical, CASE WHEN fiction = 0 AND technical = 0 THEN 'Unknown' WHEN fiction >= technical THEN 'Fiction' ELSE 'Technical' END AS kind FROM s")
-def c1_r21_document_type(spark, d):
-    rules = [("Fiction", r"\b(he|she|the|der|la)\b", 1.0, 3), ("Technical", r"\b(api|code|data|in)\b", 1.0, 3)]
-    return ops.rule_scores(table(spark, d, "documents").where("lang = 'en'"), rules).select("doc_id", F.col("Fiction").cast("long").alias("fiction"), F.col("Technical").cast("long").alias("technical"), "kind")
-
-
 @query("WITH b AS (SELECT text AS t, lead(text) OVER (PARTITION BY conv_id ORDER BY turn) AS n, conv_id, turn FROM conversations) SELECT conv_id, turn, length(n) - length(t) AS step FROM b WHERE n IS NOT NULL")
 def m14_adjacent_context(spark, d):
     from pyspark.sql import Window as W

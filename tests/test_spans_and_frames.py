@@ -237,12 +237,14 @@ def test_communities_with_the_default_arguments(spark, monkeypatch, fold_edges):
             if rng.random() < (0.6 if a // 12 == b // 12 else 0.04):
                 edges[b, a] = rng.choice([1.0, 2.0])
     both = graph.undirected(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, weight double"))
-    few = spark.conf.get("spark.sql.shuffle.partitions")
-    spark.conf.set("spark.sql.shuffle.partitions", "2")
+    kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
+    for k, v in zip(kept, ("2", "false"), strict=True):  # tiny joins, many of them
+        spark.conf.set(k, v)
     try:
         label = {r.node: r.community for r in communities.louvain(both, least=1).collect()}
     finally:
-        spark.conf.set("spark.sql.shuffle.partitions", few)
+        for k, v in kept.items():
+            spark.conf.set(k, v)
     assert set(label) == set(range(60))
     assert modularity(edges, label) >= modularity(edges, sequential(edges, rng)) - 1e-9
 
