@@ -7,6 +7,8 @@ weight), communities (community, entity, summary).
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -145,3 +147,72 @@ def link_edges(links: DataFrame, entities: DataFrame) -> tuple[DataFrame, DataFr
     kind = F.when(F.col("prefix") == "blog", "document").when(F.col("prefix") == "github", "repository").otherwise("website")
     new = held.where("prefix <> ''").select(F.col("target").alias("name"), kind.alias("type")).union(held.where("known is null").select("source", F.lit("concept"))).distinct()
     return edges, new.select(entity_id(F.col("name")).alias("entity_id"), "name", "type")
+
+
+#: Words of a question that are not looked for, besides the usual ones; fixed values.
+ASKING = "what how why who which when where are is was does did the and for with between main theme themes topics overview summarize compare relate connect there".split()
+CHUNK_WORDS = 50
+
+
+def chunks_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words: int = CHUNK_WORDS) -> DataFrame:
+    """(chunk_id, doc_id, text): texts cut after so many words; chunk_id is ``<doc_id>:<number>``. Texts without words give none."""
+    parts = F.filter(F.split(F.coalesce(F.col(text), F.lit("")), r"\s+"), lambda w: w != "")
+    each = docs.select(F.col(doc_id).alias("doc_id"), parts.alias("w")).where(F.size("w") > 0)
+    starts = F.sequence(F.lit(0), F.floor((F.size("w") - 1) / words).cast("int"))
+    cut = each.select("doc_id", F.explode(F.transform(starts, lambda k: F.struct(k.alias("k"), F.array_join(F.slice("w", k * words + 1, words), " ").alias("text")))).alias("c"))
+    return cut.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("c.k").cast("string")).alias("chunk_id"), "doc_id", "c.text")
+
+
+def graph_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 2) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
+    """(chunks, mentions, relations, communities) of documents, each materialised once.
+
+    Entities are the significant candidates; a mention is a chunk that holds one as a
+    token; two entities of a chunk are related, from ``least`` common chunks on. Chunks
+    are short, so a chunk's pairs are bounded. Communities are those of the relations'
+    graph, with the entities of most mentions as summary.
+    """
+    from ..functions import text as tx
+    from ..sources.storage import materialize
+    from . import communities as cm
+    from . import graph as gr
+
+    chunks = materialize(chunks_of(docs, doc_id, text))
+    names = gr.significant(gr.candidates(docs, doc_id, text)).select(F.col("name").alias("entity"))
+    words = chunks.select("chunk_id", F.explode(F.array_distinct(tx.tokens(F.col("text"), 3))).alias("entity"))
+    mentions = materialize(words.join(names, "entity"))
+    own = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_list("entity")).alias("own")).where(F.size("own") > 1)
+    ends = own.select("own", F.posexplode("own").alias("at", "source")).select("source", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("target"))
+    related = ends.groupBy("source", "target").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
+    relations = materialize(related.select("source", F.lit("related_to").alias("relation"), "target", "weight"))
+    ids = relations.select(F.col("source").alias("entity")).union(relations.select("target")).distinct().withColumn("node", F.xxhash64("entity"))
+    edges = gr.undirected(relations.select(F.xxhash64("source").alias("src"), F.xxhash64("target").alias("dst"), "weight"))
+    found = cm.louvain(edges).join(ids, "node").select("community", "entity")
+    return chunks, mentions, relations, materialize(summaries(found, mentions))
+
+
+def asked_words(question: str) -> list[str]:
+    """The words that a question is searched by: three letters at least, none of the usual ones, each once in their order."""
+    from .multivector import STOP
+
+    return [w for w in dict.fromkeys(re.findall(r"\w{3,}", question.lower())) if w not in STOP and w not in ASKING]
+
+
+def ask(question: str, index: tuple[DataFrame, DataFrame, DataFrame, DataFrame], top: int = 5) -> DataFrame:
+    """One row: question, mode, answer, sources, entities, communities_used; found by the question's own words in the mode that they choose.
+
+    A question without words to look for finds nothing.
+    """
+    from .rank import bm25, top_k
+
+    chunks, mentions, relations, communities = index
+    mode = chunks.sparkSession.range(1).select(mode_of(F.lit(question)).alias("m")).first()["m"]
+    words = asked_words(question)
+    if mode == "global":
+        found = global_search(words or ["\x00"], communities)
+    else:
+        scored = bm25(chunks, words, "chunk_id", "text") if words else chunks.select("chunk_id", F.lit(0.0).alias("score")).limit(0)
+        scored = scored.withColumnRenamed("doc_id", "chunk_id")
+        hits = top_k(scored.select("chunk_id", F.round("score", 6).alias("score")), top, "score", "chunk_id")
+        found = local_search(hits, chunks.select("chunk_id", "text"), mentions, relations)
+        found = drift_search(found, communities) if mode == "drift" else found
+    return found.select(F.lit(question).alias("question"), F.lit(mode).alias("mode"), "answer", F.transform("sources", lambda s: s.cast("string")).alias("sources"), "entities", "communities_used")

@@ -145,9 +145,17 @@ def kg10_louvain(spark, d):
 
 @query()
 def p3_graph_pipeline(spark, d):
-    """Documents to entities, relations, communities and their summaries: community, size, summary."""
-    mentions, relations, _ = _graph(spark, d)
-    ids = relations.select(F.col("source").alias("entity")).union(relations.select("target")).distinct().withColumn("node", F.xxhash64("entity"))
-    edges = gr.undirected(relations.select(F.xxhash64("source").alias("src"), F.xxhash64("target").alias("dst"), "weight"))
-    found = cm.louvain(edges).join(ids, "node").select("community", "entity")
-    return rag.summaries(found, mentions).groupBy("community", "summary").agg(F.count("*").alias("size"))
+    """Documents to entity candidates, co-occurrences, communities and their summaries: community, size, summary."""
+    communities = rag.graph_index(table(spark, d, "documents"))[3]
+    return communities.groupBy("community", "summary").agg(F.count("*").alias("size"))
+
+
+@query()
+def kg13_question_answers(spark, d):
+    """Questions answered by their own words over the documents' graph, one in each mode."""
+    index = rag.graph_index(table(spark, d, "documents"))
+    out = None
+    for question in ("What is edoution of the verein?", "Give an overview of threlyes, édoution and ciónción", "How does edoution relate to ciónción?"):
+        row = rag.ask(question, index)
+        out = row if out is None else out.unionByName(row)
+    return out
