@@ -95,7 +95,10 @@ _STOP = {"li": ("ul", "ol", "menu"), "dt": ("dl",), "dd": ("dl",), "tr": ("table
 _HOLDS_P = frozenset("td th article section div li blockquote main aside nav header footer form".split())
 _HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 #: Short blocks that are notices by what they say, and headings that readers' comments follow, in the languages of the tables; fixed values.
-_NOTICE = re.compile(r"(?=.*\bcookies?\b)(?=.*\b(?:we use|uses?|accept|agree|consent|browsing|utilis|accepte|verwende|akzeptier|zustimm|usamos|utiliza|acepta))|(?=.*\bnewsletters?\b|.*\binbox\b|.*\bboletín\b)(?=.*\b(?:subscribe|sign up|e-?mail|join|abonne|inscri|anmeld|abonnier|suscr))", re.IGNORECASE | re.DOTALL)
+_NOTICES = [
+    (("cookie",), re.compile(r"\b(?:we use|uses?|accept|agree|consent|browsing|utilis|accepte|verwende|akzeptier|zustimm|usamos|utiliza|acepta)")),
+    (("newsletter", "inbox", "boletín"), re.compile(r"\b(?:subscribe|sign up|e-?mail|join|abonne|inscri|anmeld|abonnier|suscr)")),
+]
 _NOTICE_CHARS = 400
 _TALK = re.compile(r"(?:\d+\s+)?(?:readers?['’]?s?['’]?\s+)?(?:comments?|responses|replies|commentaires?|kommentare?|comentarios?)(?:\s*\(?\d+\)?)?\s*:?|(?:leave|post|write) a (?:comment|reply)\W*|join the (?:discussion|conversation)\W*|laisser un commentaire\W*|deja un comentario\W*", re.IGNORECASE)
 _PROSE = frozenset("p blockquote pre h1 h2 h3 h4 h5 h6 figcaption".split())
@@ -151,10 +154,10 @@ class Element:
 
 
 class Block:
-    __slots__ = ("text", "element", "linked", "order", "talk")
+    __slots__ = ("text", "element", "linked", "order", "talk", "notice")
 
     def __init__(self, text: str, element: Element, linked: int, order: int):
-        self.text, self.element, self.linked, self.order, self.talk = text, element, linked, order, False
+        self.text, self.element, self.linked, self.order, self.talk, self.notice = text, element, linked, order, False, _is_notice(text)
 
 
 def blocks_of(page: str) -> list[Block]:
@@ -244,11 +247,14 @@ def blocks_of(page: str) -> list[Block]:
 
 def is_prose(b: Block) -> bool:
     """Unlinked text outside structural elements that is long enough for prose and no notice."""
-    return not b.element.outside and len(b.text) >= PROSE_CHARS and 2 * b.linked < len(b.text) and not _is_notice(b.text)
+    return not b.element.outside and len(b.text) >= PROSE_CHARS and 2 * b.linked < len(b.text) and not b.notice
 
 
 def _is_notice(text: str) -> bool:
-    return len(text) <= _NOTICE_CHARS and bool(_NOTICE.search(text))
+    if len(text) > _NOTICE_CHARS:
+        return False
+    low = text.lower()
+    return any(any(w in low for w in words) and verbs.search(low) for words, verbs in _NOTICES)
 
 
 def _mark(elements: list[Element], blocks: list[Block], names: bool = True) -> None:
@@ -324,7 +330,7 @@ def log_odds(block: Block) -> float:
         score += w["sentence"]
     if block.text[0] in "©" or block.text[:20].lower().startswith(("copyright", "all rights reserved")):
         score += w["rights"]
-    if _is_notice(block.text):
+    if block.notice:
         score += w["notice"]
     if block.talk:
         score += w["talk"]
