@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import claims as cl
 from ..operators import multivector as mv
+from ..operators import prefilter as pf
 from ..operators import sections as sc
 from .registry import oracle_text, query, table
 from .retrieval import QUERY, _Q
@@ -94,6 +95,12 @@ def r17_prefilter(spark, d):
     return mv.prefilter(sc.segments(_markdown(spark, d)), 12)
 
 
+@query()
+def r17_semantic_prefilter(spark, d):
+    """Guaranteed and sampled segments of the Markdown documents, then the best by BM25 in each section, then the most alike: sixty a document."""
+    return pf.semantic_prefilter(sc.segments(_markdown(spark, d)), 60, 30)
+
+
 _CLAIMS = "va AS (SELECT item_id * 3 + v AS claim_id, CASE v WHEN 0 THEN text WHEN 1 THEN substr(text, 1, greatest(length(text) - 40, 1)) ELSE substr(text, 20) END AS text, 't' || (item_id % 3) AS topic, 1 + (item_id + v) % 3 AS weight, CASE v WHEN 2 THEN [item_id, item_id + 1] ELSE [item_id + v] END AS evidence FROM benchmark, range(3) r(v) WHERE text IS NOT NULL)"
 
 
