@@ -275,7 +275,7 @@ def _mark(elements: list[Element], blocks: list[Block], names: bool = True) -> N
             e.up.chars += e.chars
             e.up.prose += e.prose
             e.up.holds |= e.holds or e.landmark
-    apart = any(e.landmark and e.prose for e in elements)
+    apart = any(e.landmark and e.chars for e in elements)
     for e in elements:
         up = e.up
         e.odds, e.zone = (up.odds, up.zone) if up else (0.0, 0)

@@ -144,3 +144,8 @@ def test_prose_outside_structure_is_never_lost():
     assert H.main_text(f'<body><div class="{"x"}">{MENU}</div><div class="comments"><p>Short.</p></div></body>') in ("", "Short.")
     assert H.main_text("<body><div><h1>12 Comments</h1>" + TOLD + "</div></body>").count("council") == 1
     assert H.main_text(f"<body><nav>{TOLD}</nav><footer>{TOLD}</footer></body>") == ""
+
+
+def test_an_advert_longer_than_a_short_article_goes():
+    page = f'<body>{MENU}<div class="ad">A long advert that has more words than all of the short article has, by far, it seems.</div><article><h1>A title here.</h1><p>Short text.</p></article></body>'
+    assert H.main_text(page) == "A title here.\nShort text."
