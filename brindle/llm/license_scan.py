@@ -46,6 +46,13 @@ SENTENCES = {
     "mit-as-is": 'THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT.',
     "mit-liability": "IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
     "isc-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "isc-grant-and": "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "0bsd-grant": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted.",
+    "mit0-title": "MIT No Attribution",
+    "mit0-grant": 'Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the "Software"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so.',
+    "json-good": "The Software shall be used for Good, not Evil.",
+    "x11-liability": "IN NO EVENT SHALL {} BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    "x11-except": "Except as contained in this notice, the name of {} shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from {}.",
     "apache2-licensed": "Licensed under the Apache License, Version 2.0.",
     "apache2-header": 'Licensed under the Apache License, Version 2.0 (the "License");',
     "apache2-compliance": "you may not use this file except in compliance with the License.",
@@ -96,7 +103,14 @@ CLASSES = {
     "no-derivatives": "CC-BY-ND-4.0",
     "public-domain": "CC0-1.0 Unlicense WTFPL",
 }
-CLASS_OF = {licence: kind for kind, some in CLASSES.items() for licence in some.split()}
+CLASS_OF = {licence: kind for kind, some in CLASSES.items() for licence in some.split()} | {"JSON": "permissive", "GPL-1.0-or-later": "copyleft"}
+#: The Creative Commons family: kind, spoken name, class; fixed values.
+CC = [("BY", "attribution", "permissive"), ("BY-SA", "attribution-sharealike", "copyleft"), ("BY-NC", "attribution-noncommercial", "non-commercial"), ("BY-ND", "attribution-noderivatives", "no-derivatives"), ("BY-NC-SA", "attribution-noncommercial-sharealike", "non-commercial"), ("BY-NC-ND", "attribution-noncommercial-noderivatives", "non-commercial")]
+CC_VERSIONS = ("1.0", "2.0", "2.5", "3.0", "4.0")
+for _kind, _, _class in CC:
+    CLASS_OF |= {f"CC-{_kind}-{v}": _class for v in CC_VERSIONS}
+#: Of several licences of which one may be chosen the first class of this order counts, of those that hold together the last.
+ORDER = ["public-domain", "permissive", "weak-copyleft", "copyleft", "no-derivatives", "non-commercial"]
 
 #: Names of licences in notices, as normalised words, fixed values.
 NAMES = {
@@ -139,6 +153,19 @@ SENTENCES |= _GNU_SENTENCES
 NAMES |= _GNU_NAMES
 
 
+def _cc_names() -> dict[str, str]:
+    out = {}
+    for kind, spoken, _ in CC:
+        for v in CC_VERSIONS:
+            for name in (f"cc {kind.lower()} {v}", f"cc-{kind.lower()}-{v}", f"cc-{kind.lower()} {v}", *(f"creative commons {said} {v}{where}" for said in {spoken, spoken.replace("-", " ")} for where in ("", " international", " unported", " generic"))):
+                out[name] = out[f"{name} license"] = out[f"{name} licence"] = f"CC-{kind}-{v}"
+    return out
+
+
+NAMES |= _cc_names() | {"apache license version 2.0": "Apache-2.0", "apache 2": "Apache-2.0", "0bsd": "0BSD", "mit-0": "MIT-0", "isc": "ISC", "gpl": "GPL-1.0-or-later", "gnu gpl": "GPL-1.0-or-later", "gnu general public license": "GPL-1.0-or-later"}
+NAMES |= {f"{name} licenses": licence for name, licence in list(NAMES.items()) if not name.endswith(("license", "licence"))}
+
+
 def _rule(name: str, licence: str, *identifiers: str) -> tuple:
     return name, licence, CLASS_OF[licence], identifiers
 
@@ -147,10 +174,19 @@ def _rule(name: str, licence: str, *identifiers: str) -> tuple:
 RULES = [
     _rule("mit-full-title", "MIT", "mit-title", "mit-grant", "mit-notice", "mit-as-is", "mit-liability"),
     _rule("mit-full-short", "MIT", "mit-title-short", "mit-grant", "mit-notice", "mit-as-is", "mit-liability"),
+    *(_rule(f"x11-{end}", "X11", "mit-grant", "mit-notice", "mit-as-is", end, "x11-except") for end in ("x11-liability", "mit-liability")),
+    _rule("json", "JSON", "mit-grant", "mit-notice", "json-good", "mit-as-is", "mit-liability"),
+    _rule("json-good", "JSON", "mit-grant", "mit-notice", "json-good"),
+    _rule("mit0-title-full", "MIT-0", "mit0-title", "mit0-grant", "mit-as-is", "mit-liability"),
+    _rule("mit0-full", "MIT-0", "mit0-grant", "mit-as-is", "mit-liability"),
+    _rule("mit0", "MIT-0", "mit0-grant"),
     _rule("mit-full", "MIT", "mit-grant", "mit-notice", "mit-as-is", "mit-liability"),
+    _rule("mit-full-holder", "MIT", "mit-grant", "mit-notice", "mit-as-is", "x11-liability"),
     _rule("mit-no-notice", "MIT", "mit-grant", "mit-as-is", "mit-liability"),
     _rule("mit-grant-notice", "MIT", "mit-grant", "mit-notice"),
     _rule("isc", "ISC", "isc-grant"),
+    _rule("isc-and", "ISC", "isc-grant-and"),
+    _rule("0bsd", "0BSD", "0bsd-grant"),
     _rule("apache2-full", "Apache-2.0", "apache2-header", "apache2-compliance", "apache2-copy", "apache2-unless", "apache2-see"),
     _rule("apache2-notice", "Apache-2.0", "apache2-header", "apache2-compliance"),
     _rule("apache2-short", "Apache-2.0", "apache2-licensed"),
@@ -199,14 +235,56 @@ _COPYRIGHT = re.compile(r"^(copyright|\(c\)|©).*\b(19|20)\d\d\b.*$", re.IGNOREC
 _MARKS = re.compile(r"^[\s/#*;%>-]+")
 _WORD = re.compile(r"[\w]+(?:[.+-][\w]+)*")
 #: A notice: perhaps a subject, a verb, "under", and the name of a licence with what may follow it.
-_NOTICE = re.compile(r"(?:(?:\S+ ){1,8}(?:is|are) )?(?:dual-)?(?:licensed|released|distributed|available|published|provided)(?: and (?:licensed|distributed|released))? under (?:the )?(?:terms of )?(?:the )?(.+)")
+_NOTICE = re.compile(r"(?:(?:\S+ ){1,8}(?:is|are) )?(?:dual[- ])?(?:licensed|released|distributed|available|published|provided)(?: and (?:licensed|distributed|released))? under (?:the )?(?:terms of )?(?:(?:the|a|an) )?(.+)")
 _AFTER = frozenset("see for and or by please a which that you unless".split())
 _SPDX = re.compile(r"spdx-license-identifier (\S+)$")
-_SPDX_LINE = re.compile(r"spdx-license-identifier:\s*([A-Za-z0-9.+-]+)", re.IGNORECASE)
+_SPDX_LINE = re.compile(r"spdx-license-identifier:\s*([A-Za-z0-9.+()\- \t]+)", re.IGNORECASE)
+_SPDX_TOKEN = re.compile(r"[()]|[A-Za-z0-9.+-]+")
 _SPDX_NAMES = {licence.lower(): licence for licence in CLASS_OF} | {f"{s.lower()}-{v}": f"{s}-{v}-only" for s, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))} | {f"{s.lower()}-{v}+": f"{s}-{v}-or-later" for s, v in (("GPL", "2.0"), ("GPL", "3.0"), ("LGPL", "2.1"), ("LGPL", "3.0"), ("AGPL", "3.0"))}
 FIELDS = "licence string, class string, rule string, first_sentence long, n_sentences long, start_char long, end_char long, identifiers array<string>"
 
 
+def expression(text: str) -> tuple[str, str, int] | None:
+    """(expression, class, end) of the longest SPDX expression that text begins with: OR binds weaker than AND, AND than WITH."""
+    tokens = [(m[0], m.end()) for m in _SPDX_TOKEN.finditer(text)]
+
+    def chain(at: int, word: str, deeper, pick) -> tuple[str, str, int] | None:
+        first = deeper(at)
+        while first and first[2] < len(tokens) and tokens[first[2]][0].upper() == word:
+            more = deeper(first[2] + 1)
+            if not more:
+                break
+            first = (f"{first[0]} {word} {more[0]}", pick((first[1], more[1]), key=ORDER.index), more[2])
+        return first
+
+    def single(at: int) -> tuple[str, str, int] | None:
+        if at >= len(tokens):
+            return None
+        if tokens[at][0] == "(":
+            inner = either(at + 1)
+            return (f"({inner[0]})", inner[1], inner[2] + 1) if inner and inner[2] < len(tokens) and tokens[inner[2]][0] == ")" else None
+        name = _SPDX_NAMES.get(tokens[at][0].lower())
+        if not name:
+            return None
+        if at + 2 < len(tokens) and tokens[at + 1][0].upper() == "WITH" and tokens[at + 2][0] not in "()":
+            return f"{name} WITH {tokens[at + 2][0]}", CLASS_OF[name], at + 3
+        return name, CLASS_OF[name], at + 1
+
+    def both(at: int) -> tuple[str, str, int] | None:
+        return chain(at, "AND", single, max)
+
+    def either(at: int) -> tuple[str, str, int] | None:
+        return chain(at, "OR", both, min)
+
+    found = either(0)
+    if not found:
+        return None
+    said = found[0]
+    if said.startswith("(") and said.endswith(")") and expression(said[1:-1]) and expression(said[1:-1])[0] == said[1:-1]:
+        said = said[1:-1]  # brackets round the whole say nothing
+    return said, found[1], tokens[found[2] - 1][1]
+
+
 def normalise(sentence: str) -> str:
     return " ".join(_WORD.findall(sentence.lower()))
 
@@ -250,17 +328,33 @@ class Scanner:
         """The identifier of a short notice, by the licence that it names."""
         m = _NOTICE.match(sentence)
         if m:
-            words = m[1].split()
-            for n in range(min(len(words), 9), 0, -1):
-                licence = self.names.get(" ".join(words[:n]))
-                if licence and (n == len(words) or words[n] in _AFTER):
-                    return f"notice:{licence}"
+            said = self.named(m[1].split())
+            if said:
+                return f"notice:{said}"
         m = _SPDX.match(sentence)
         if m:
             name = _SPDX_NAMES.get(m[1])
             return f"spdx:{name}" if name else None
         return None
 
+    def named(self, words: list[str]) -> str | None:
+        """The licence that words begin with, or two or more joined by or, and."""
+        for n in range(min(len(words), 9), 0, -1):
+            licence = self.names.get(" ".join(words[:n]))
+            if not licence:
+                continue
+            rest = words[n:]
+            if rest and rest[0] in ("or", "and"):
+                more = rest[1:]
+                while more and more[0] in ("the", "a", "under", "terms", "of"):
+                    more = more[1:]
+                other = self.named(more)
+                if other:
+                    return f"{licence} {rest[0].upper()} {other}"
+            if not rest or rest[0] in _AFTER:
+                return licence
+        return None
+
     def whole(self, joined: str, start: str) -> str | None:
         """The identifier of a sentence that is known, as it is or with its holes filled."""
         return self.known.get(joined) or next((name for pattern, name in self.open.get(start, ()) if pattern.fullmatch(joined)), None)
@@ -310,9 +404,9 @@ class Scanner:
                         break
             if found is None and own[0].startswith("spdx"):
                 m = _SPDX_LINE.search(text, pieces[i][0], pieces[min(i + 1, len(pieces) - 1)][1])
-                name = _SPDX_NAMES.get(m[1].lower()) if m else None
-                if name:
-                    found = (i + 1 if i + 1 < len(pieces) and pieces[i + 1][0] < m.end() else i, f"spdx:{name}")
+                said = expression(m[1]) if m else None
+                if said:
+                    found = (i + 1 if i + 1 < len(pieces) and pieces[i + 1][0] < m.start(1) + said[2] else i, f"spdx:{said[0]}")
             found = found or near
             last = found[0] if found else i
             out.append((number, pieces[i][0], pieces[last][1], found[1] if found else None))
@@ -328,10 +422,16 @@ class Scanner:
         known = [x for x in self.identify(text) if x[3] is not None]
         out, i = [], 0
         while i < len(known):
+            way, _, said = known[i][3].partition(":")
+            if way in ("notice", "spdx") and known[i][3] not in self.rules:  # several licences
+                x = known[i]
+                out.append((said, expression(said)[1], way, x[0], 1, x[1], x[2], [x[3]]))
+                i += 1
+                continue
             for _, (rule, licence, kind, wanted) in self.rules.get(known[i][3].lstrip("~"), ()):
                 own = known[i : i + len(wanted)]
                 exact = sum(x[3][0] != "~" for x in own)
-                if tuple(x[3].lstrip("~") for x in own) == wanted and 2 * exact >= len(own) and all(b[0] - a[0] - 1 <= self.gap for a, b in zip(own, own[1:], strict=False)):
+                if tuple(x[3].lstrip("~") for x in own) == wanted and (2 * exact >= len(own) or len(own) == 1) and all(b[0] - a[0] - 1 <= self.gap for a, b in zip(own, own[1:], strict=False)):
                     out.append((licence, kind, rule, own[0][0], len(own), own[0][1], own[-1][2], [x[3] for x in own]))
                     i += len(own)
                     break

@@ -88,3 +88,52 @@ def test_rules_against_a_plain_search():
         body = "\n\n".join(re.sub(r"(.{40}\S*) ", lambda m: m[1] + rng.choice([" ", "\n", "\n# "]), t) for t in text)
         got = [(x[0], x[3], x[4]) for x in L.Scanner(alike=2).scan(body)]
         assert [g[0] for g in got] == [w[0] for w in want] and [g[2] for g in got] == [w[2] for w in want]
+
+
+def _texts(*names):
+    return "\n".join(L.SENTENCES[n] for n in names)
+
+
+X11 = "IN NO EVENT SHALL THE X CONSORTIUM BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.\n\nExcept as contained in this notice, the name of the X Consortium shall not be used in advertising or otherwise to promote the sale, use or other dealings in this Software without prior written authorization from the X Consortium."
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        (_texts("mit-grant", "mit-notice", "mit-as-is", "mit-liability"), "MIT"), (_texts("mit0-title", "mit0-grant", "mit-as-is", "mit-liability"), "MIT-0"), (_texts("mit0-grant"), "MIT-0"),
+        (_texts("mit-grant", "mit-notice", "json-good", "mit-as-is", "mit-liability"), "JSON"), (_texts("mit-grant", "mit-notice", "mit-as-is") + "\n" + X11, "X11"),
+        ("Permission to use, copy, modify, and distribute this software for any\npurpose with or without fee is hereby granted, provided that the above\ncopyright notice and this permission notice appear in all copies.", "ISC"),
+        ("Permission to use, copy, modify, and/or distribute this software for any\npurpose with or without fee is hereby granted.", "0BSD"),
+        (L.SENTENCES["unlicense"].replace("unencumbered", "unburdened"), "Unlicense"),
+    ],
+)
+def test_close_variants_are_told_apart(text, want):
+    assert [r[0] for r in L.Scanner().scan("intro text here\n\n" + text + "\n\nrest of it")] == [want]
+
+
+@pytest.mark.parametrize(
+    "text, want, kind",
+    [
+        ("MIT OR Apache-2.0", "MIT OR Apache-2.0", "permissive"), ("(MIT AND BSD-3-Clause)", "MIT AND BSD-3-Clause", "permissive"), ("(MIT OR GPL-2.0-only) AND LGPL-2.1+", "(MIT OR GPL-2.0-only) AND LGPL-2.1-or-later", "weak-copyleft"),
+        ("GPL-2.0-or-later WITH Classpath-exception-2.0", "GPL-2.0-or-later WITH Classpath-exception-2.0", "copyleft"), ("MIT and GPL-3.0-only or ISC", "MIT AND GPL-3.0-only OR ISC", "permissive"), ("ISC */", "ISC", "permissive"),
+    ],
+)
+def test_spdx_expressions(text, want, kind):
+    for line in (f"// SPDX-License-Identifier: {text}\nint main() {{}}", f"/* spdx-license-identifier: {text}"):
+        assert [(r[0], r[1]) for r in L.Scanner().scan(line)] == [(want, kind)]
+
+
+@pytest.mark.parametrize(
+    "text, want",
+    [
+        ("Dual licensed under the MIT and GPL licenses.", "MIT AND GPL-1.0-or-later"), ("Licensed under the Apache License, Version 2.0 or MIT.", "Apache-2.0 OR MIT"), ("This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.", "CC-BY-SA-4.0"),
+        ("Licensed under CC BY-SA 3.0.", "CC-BY-SA-3.0"), ("Published under the Creative Commons Attribution-NonCommercial-ShareAlike 2.5 Generic licence.", "CC-BY-NC-SA-2.5"), ("It is released under the terms of the GNU GPL v3 or later.", "GPL-3.0-or-later"),
+    ],
+)
+def test_notices_of_several_licences_and_families(text, want):
+    assert [r[0] for r in L.Scanner().scan(text)] == [want]
+
+
+def test_words_that_only_look_like_notices():
+    for text in ("The film was released under the title Mit.", "SPDX-License-Identifier: ", "SPDX-License-Identifier: NONE-SUCH", "He was licensed under and or by nothing.", "spdx (((( or and"):
+        assert [r for r in L.Scanner().scan(text) if r[0] != "UNMATCHED"] == []
