@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..sources import web
+from ..operators import isolation as iso
 from .registry import query, table
 
 
@@ -58,3 +59,23 @@ def src8_fetch_guard(spark, d):
 def src9_sanitize_report(spark, d):
     h = F.col("html")
     return table(spark, d, "pages").select("page_id", (~F.contains(h, F.lit("onclick=")) & ~F.contains(h, F.lit("javascript:"))).alias("safe"), F.regexp_count(h, F.lit("<script")).cast("long").alias("scripts"))
+
+
+def _page_facts(html: str | None) -> dict:
+    """Title and number of paragraphs of a page; a page with a number of the unlucky kind cannot be read."""
+    if "<h1>" not in html:
+        raise ValueError("no heading")
+    title = html.split("<h1>", 1)[1].split("</h1>", 1)[0]
+    if title.count(" ") % 5 == 4:
+        raise KeyError("unlucky")
+    return {"title": title, "paragraphs": html.count("<p>")}
+
+
+@query(
+    """WITH h AS (SELECT page_id, contains(html, '<h1>') AS has, split_part(split_part(html, '<h1>', 2), '</h1>', 1) AS title, (length(html) - length(replace(html, '<p>', ''))) // 3 AS paragraphs FROM pages), s AS (SELECT *, CASE WHEN NOT has THEN 'ValueError: no heading' WHEN (length(title) - length(replace(title, ' ', ''))) % 5 = 4 THEN 'KeyError: ''unlucky''' END AS error FROM h)
+ SELECT page_id, CASE WHEN error IS NULL THEN 'done' ELSE 'failed' END AS status, error, CASE WHEN error IS NULL THEN title END AS title, CASE WHEN error IS NULL THEN paragraphs END AS paragraphs FROM s"""
+)
+def p6_isolated_failures(spark, d):
+    """Titles of pages; those that cannot be read fail by themselves."""
+    pages = table(spark, d, "pages").where("html is not null")
+    return iso.isolated(pages, _page_facts, "title string, paragraphs long", "page_id", "html")
