@@ -16,8 +16,19 @@ def undirected(edges: DataFrame, a: str = "src", b: str = "dst", weight: str | N
 
 
 def k_hop(edges: DataFrame, start: DataFrame, hops: int, a: str = "src", b: str = "dst") -> DataFrame:
-    """(node, hop): nodes reached from start (column node) within so many hops, either way along edges, with the least hop."""
+    """(node, hop): nodes reached from start (column node) within so many hops, either way along edges, with the least hop.
+
+    Up to three hops are one plan of semi joins over the edges, which are kept once; more
+    are rounds with a kept frontier that end early when nothing new is reached.
+    """
     both = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).distinct())
+    if hops <= 3:
+        front = start.select("node").distinct()
+        seen = front.withColumn("hop", F.lit(0))
+        for hop in range(1, hops + 1):
+            front = both.join(front, F.col("a") == F.col("node"), "left_semi").select(F.col("b").alias("node")).distinct()
+            seen = seen.union(front.withColumn("hop", F.lit(hop)))
+        return seen.groupBy("node").agg(F.min("hop").alias("hop"))
     seen = materialize(start.select("node").distinct().withColumn("hop", F.lit(0)))
     front = seen
     for hop in range(1, hops + 1):

@@ -146,22 +146,20 @@ def mmr(segments: DataFrame, group: str, key: str, vector: str, weight: str, tra
 
 
 def anchors(segments: DataFrame, group: str, key: str, vector: str, k: int = 5) -> DataFrame:
-    """(group, key, place): farthest-point anchors, starting from the first key."""
+    """(group, key, place): farthest-point anchors of each group, starting from the first key: each next one is least like its nearest anchor (ties: the first key).
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(key)
-        x = np.array(pdf[vector].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
-        chosen = [0]
-        closest = x @ x[0]
-        while len(chosen) < min(k, len(pdf)):
-            closest[chosen] = np.inf
-            chosen.append(int(np.argmin(closest)))
-            closest = np.maximum(np.where(np.isinf(closest), -1.0, closest), x @ x[chosen[-1]])
-        return pd.DataFrame({group: pdf[group].iloc[0], key: pdf[key].to_numpy()[chosen], "place": range(1, len(chosen) + 1)})
-
-    kinds = segments.schema[group].dataType.simpleString(), segments.schema[key].dataType.simpleString()
-    return segments.where(F.col(vector).isNotNull()).select(group, key, vector).groupBy(group).applyInPandas(run, f"{group} {kinds[0]}, {key} {kinds[1]}, place int")
+    Rounds over all groups at once, so that no group is in one task; a round keeps each
+    open row's likeness to its nearest anchor.
+    """
+    open_ = materialize(segments.where(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), vx.normalised(F.col(vector)).alias("v"), F.lit(-2.0).alias("near")))
+    chosen = None
+    for place in range(1, k + 1):
+        best = materialize(open_.groupBy("g").agg(F.min_by(F.struct("k", "v"), F.struct("near", "k")).alias("b")).select("g", F.col("b.k").alias("bk"), F.col("b.v").alias("bv")))
+        part = best.select("g", F.col("bk").alias("k"), F.lit(place).alias("place"))
+        chosen = part if chosen is None else chosen.union(part)
+        if place < k:
+            open_ = materialize(open_.join(best.withColumnRenamed("g", "bg"), F.col("g").eqNullSafe(F.col("bg"))).where("k <> bk").select("g", "k", "v", F.greatest("near", vx.dot(F.col("v"), F.col("bv"))).alias("near")))
+    return chosen.select(F.col("g").alias(group), F.col("k").alias(key), "place")
 
 
 def hash_embedder(dimensions: int = 64):

@@ -7,7 +7,7 @@ from importlib import import_module
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("retrieval", "texts", "relational", "signal_queries", "graph_queries", "dedup_queries", "web_queries", "store_queries", "stream_queries", "more", "scoring", "section_queries", "graph_rag_queries", "judgement_queries", "choice_queries", "summary_queries", "entity_queries", "ocr_queries", "frame_queries", "structured_queries", "routing_queries")
+_MODULES = ("retrieval", "texts", "relational", "signal_queries", "graph_queries", "dedup_queries", "web_queries", "store_queries", "stream_queries", "more", "scoring", "section_queries", "graph_rag_queries", "judgement_queries", "choice_queries", "summary_queries", "entity_queries", "ocr_queries", "frame_queries", "structured_queries", "routing_queries", "profile_queries")
 _QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _SQL: dict[str, str] = {}
 
