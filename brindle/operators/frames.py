@@ -153,8 +153,8 @@ def merged_regions(regions: DataFrame, image: str = "image", order: str = "regio
 
 
 def reading_order(segments: DataFrame, page: str = "page", segment: str = "segment") -> DataFrame:
-    """segments with z_order: from the top down, then from the left (ties by the segment), from 0 in each page."""
-    return segments.withColumn("z_order", F.row_number().over(W.partitionBy(page).orderBy("y", "x", segment)) - 1)
+    """segments with z_order: from the top down, then from the left (ties by the segment, its type and size), from 0 in each page."""
+    return segments.withColumn("z_order", F.row_number().over(W.partitionBy(page).orderBy("y", "x", segment, "type", "width", "height")) - 1)
 
 
 def columns(centres: Column, width: Column) -> Column:

@@ -61,14 +61,14 @@ def _segments(spark, d):
     return table(spark, d, "lineitem").select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber").cast("long") * 1_000_000 + F.col("l_partkey")).alias("segment"), kind.alias("type"), (F.col("l_partkey") * 17 % 700).alias("x"), (F.col("l_suppkey") * 31 % 900).alias("y"), (F.col("l_quantity").cast("long") * 4 + 20).alias("width"), F.lit(40).alias("height"), F.lit(800).alias("page_width"))
 
 
-@query(f"WITH {_SEGMENTS} SELECT page, segment, type, x, y, width, height, page_width, CAST(row_number() OVER (PARTITION BY page ORDER BY y, x, segment) - 1 AS INT) AS z_order FROM sg")
+@query(f"WITH {_SEGMENTS} SELECT page, segment, type, x, y, width, height, page_width, CAST(row_number() OVER (PARTITION BY page ORDER BY y, x, segment, type, width, height) - 1 AS INT) AS z_order FROM sg")
 def c16_reading_order(spark, d):
     """Segments of each page from the top left down."""
     return fr.reading_order(_segments(spark, d))
 
 
 @query(
-    f"""WITH {_SEGMENTS}, g AS (SELECT page, count(*) AS segments, count(*) FILTER (type = 'text') AS t, count(*) FILTER (type IN ('image', 'chart')) AS im, count(*) FILTER (type = 'table') AS tb, list([x + width // 2] ORDER BY segment) FILTER (type = 'text') AS cs FROM sg GROUP BY 1),
+    f"""WITH {_SEGMENTS}, g AS (SELECT page, count(*) AS segments, count(*) FILTER (type = 'text') AS t, count(*) FILTER (type IN ('image', 'chart')) AS im, count(*) FILTER (type = 'table') AS tb, list([x + width // 2] ORDER BY segment, x + width // 2) FILTER (type = 'text') AS cs FROM sg GROUP BY 1),
  c AS (SELECT *, CAST(CASE WHEN cs IS NULL THEN 1 ELSE len(list_reduce(cs, lambda a, v: CASE WHEN len(list_filter(a, lambda o: abs(o - v[1]) < 320)) > 0 THEN a ELSE list_concat(a, v) END)) END AS INT) AS columns FROM g)
  SELECT page, segments, columns, CASE WHEN tb > segments * 0.5 THEN 'table-based' WHEN im > t * 2 THEN 'image-heavy' WHEN columns > 1 THEN 'multi-column' WHEN im > 0 OR tb > 0 THEN 'mixed' ELSE 'single-column' END AS layout FROM c"""
 )
