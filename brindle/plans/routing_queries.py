@@ -50,7 +50,7 @@ _TOLD = "trim(coalesce(text, '')) <> ''"
 
 
 @query(
-    rf"""WITH se AS (SELECT {_SEEN} FROM part), pt AS (SELECT *, {_PARTS(['likely', f"CASE WHEN {_TOLD} THEN least(1.0, length(text) / 500) END", f"CASE WHEN {_TOLD} THEN len(list_filter(regexp_split_to_array(text, '[ ]+'), lambda w: regexp_matches(w, '^[\p{{L}}\p{{Nd}}]{{2,}}$'))) / greatest(1, len(list_filter(regexp_split_to_array(text, '[ ]+'), lambda w: w <> ''))) END", f"CASE WHEN {_TOLD} AND caption IS NOT NULL THEN CASE WHEN " + _CAP(["'text'", "'word'", "'caption'", "'label'"]) + " THEN 0.8 ELSE 0.3 END END"])} AS o,
+    rf"""WITH se AS (SELECT {_SEEN} FROM part), pt AS (SELECT *, {_PARTS(['likely', f"CASE WHEN {_TOLD} THEN least(1.0, length(text) / 500) END", rf"CASE WHEN {_TOLD} THEN len(list_filter(regexp_split_to_array(text, '[ ]+'), lambda w: regexp_matches(w, '^[\p{{L}}\p{{Nd}}]{{2,}}$'))) / greatest(1, len(list_filter(regexp_split_to_array(text, '[ ]+'), lambda w: w <> ''))) END", f"CASE WHEN {_TOLD} AND caption IS NOT NULL THEN CASE WHEN " + _CAP(["'text'", "'word'", "'caption'", "'label'"]) + " THEN 0.8 ELSE 0.3 END END"])} AS o,
    {_PARTS(["confidence", "CASE WHEN magnitude > 1 THEN least(1.0, magnitude / 20) ELSE 0.2 END", "percent / 100", "CASE WHEN caption IS NOT NULL THEN CASE WHEN " + _CAP(["'animat'", "'moving'", "'motion'", "direction"]) + " THEN 0.9 ELSE 0.4 END END"])} AS m,
    {_PARTS(["CASE WHEN colours > 0 THEN least(colours, 3) * 12 / 100 END", "CASE WHEN gray THEN 1.0 ELSE greatest(0.0, 1 - abs(saturation - 0.5) * 2) END", "CASE WHEN gray THEN 0.95 END", "CASE WHEN colours > 0 AND caption IS NOT NULL THEN CASE WHEN " + _CAP(["'red'", "'color'"]) + " OR (gray AND (" + _CAP(["'gray'", "'black'", "'white'"]) + ")) THEN 0.85 ELSE 0.4 END END"])} AS p,
    {_PARTS(["least(1.0, edges * 10)", "CASE WHEN sharpness < 100 THEN 0.2 WHEN sharpness < 500 THEN 0.6 ELSE least(1.0, sharpness / 1000) END", "CASE WHEN aspect > 0.3 AND aspect < 3 THEN 1.0 ELSE 0.5 END", "least(1.0, entropy / 8)"])} AS s FROM se)
