@@ -110,15 +110,16 @@ def local_moving(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
         value = F.col("inside") / m2 - resolution * F.col("k") * (F.col("sigma") - F.when(here, F.col("k")).otherwise(0)) / (m2 * m2)
         offers = offers.select("node", "old", "alone", F.when(here, value).alias("stay"), F.when(~here, F.struct(value.alias("value"), (-F.col("label")).alias("least"))).alias("go"))
         best = offers.groupBy("node", "old").agg(F.max("go").alias("go"), F.coalesce(F.max("stay"), F.max("alone")).alias("stay")).where(F.col("go.value") > F.col("stay") + GAIN)
-        best = materialize(best.select("node", "old", (-F.col("go.least")).alias("to"), (F.col("go.value") - F.col("stay")).alias("gain")))
-        if best.isEmpty():
-            return labels
+        best = best.select("node", "old", (-F.col("go.least")).alias("to"), (F.col("go.value") - F.col("stay")).alias("gain"))
         if alone:
+            best = materialize(best)
+            if best.isEmpty():
+                return labels
             claims = best.select("node", "gain", F.explode(F.array("old", "to")).alias("community"))
             first = claims.groupBy("community").agg(F.max(F.struct("gain", "node"))["node"].alias("node"))
             winners = first.groupBy("node").agg(F.count("*").alias("n")).where("n = 2").select("node")
             movers = best.join(winners, "node")
-        else:
+        else:  # where no node gains, none moves, and the next sweep finds that out
             movers = best.where(F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0)
         moved = materialize(labels.join(movers.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")))
         score = _score(edges, moved, m2, resolution)
