@@ -4,6 +4,12 @@ Each stage takes (spark, docs, sf_dir) and returns a DataFrame; all but the last
 return the columns of documents. Between stages the rows are written as Parquet
 to the shared folder and read again, so a lost executor repeats one stage at
 most. Rows that a stage rejects are gone for the stages after it.
+
+Null and empty texts fail the quality rules and go at the first stage. Rows without an id
+take part; of a near-duplicate group the smallest id stays, rows without one come last,
+and of equal rows one stays. Texts of any length are handled whole. Columns beyond those
+of documents are carried up to the last stage, which returns the pieces' columns alone;
+names that clash with the operators' own do no harm. An empty table gives no rows.
 """
 
 from __future__ import annotations
