@@ -111,5 +111,6 @@ def test_queries_are_registered():
     from brindle.llm import queries
 
     names = list(queries.queries())
-    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 11))
+    assert [int(re.match(r"op(\d+)_", n)[1]) for n in names] == list(range(1, 14))
+    assert set(queries.oracle_sql()) == {"op11_source_mixing", "op12_hard_negatives"}
     assert [n for n, _ in corpus_pipeline.STAGES] and corpus_pipeline.ORACLE_SQL is None
