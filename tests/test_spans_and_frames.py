@@ -5,7 +5,6 @@ import random
 import re
 import string
 
-import pytest
 from pyspark.sql import functions as F
 
 from brindle.operators import communities, entities, frames, graph, ocr
@@ -227,26 +226,49 @@ def test_components_reach_the_fixed_point(spark):
     assert graph.components(spark.createDataFrame([], "a long, b long")).collect() == []
 
 
-@pytest.mark.parametrize("fold_edges", [500_000, 0])
-def test_communities_with_the_default_arguments(spark, monkeypatch, fold_edges):
-    monkeypatch.setattr(communities, "FOLD_EDGES", fold_edges)
-    rng = random.Random(3)
+def random_groups(rng, n, size):
     edges = {}
-    for a in range(60):
+    for a in range(n):
         for b in range(a):
-            if rng.random() < (0.6 if a // 12 == b // 12 else 0.04):
+            if rng.random() < (0.6 if a // size == b // size else 0.04):
                 edges[b, a] = rng.choice([1.0, 2.0])
+    return edges
+
+
+def test_communities_with_the_default_arguments(spark):
+    rng = random.Random(3)
+    edges = random_groups(rng, 60, 12)
     both = graph.undirected(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, weight double"))
+    label = {r.node: r.community for r in communities.louvain(both, least=1).collect()}
+    assert set(label) == set(range(60))
+    assert modularity(edges, label) >= modularity(edges, sequential(edges, rng)) - 1e-9
+
+
+def test_rounds_of_joins_end_where_no_node_gains(spark):
+    edges = random_groups(random.Random(3), 24, 8)
+    both = graph.undirected(spark.createDataFrame([(a, b, w) for (a, b), w in edges.items()], "src long, dst long, weight double")).cache()
     kept = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.enabled")}
     for k, v in zip(kept, ("2", "false"), strict=True):  # tiny joins, many of them
         spark.conf.set(k, v)
     try:
-        label = {r.node: r.community for r in communities.louvain(both, least=1).collect()}
+        label = {r.node: r.label for r in communities.local_moving(both).collect()}
     finally:
         for k, v in kept.items():
             spark.conf.set(k, v)
-    assert set(label) == set(range(60))
-    assert modularity(edges, label) >= modularity(edges, sequential(edges, rng)) - 1e-9
+    near = {}
+    for (a, b), w in edges.items():
+        near.setdefault(a, {})[b] = w
+        near.setdefault(b, {})[a] = w
+    m2 = sum(sum(x.values()) for x in near.values())
+    sigma = {}
+    for v, x in near.items():
+        sigma[label[v]] = sigma.get(label[v], 0) + sum(x.values())
+    for v, x in near.items():
+        inside, k = {}, sum(x.values())
+        for w, weight in x.items():
+            inside[label[w]] = inside.get(label[w], 0) + weight
+        value = lambda c: inside.get(c, 0) / m2 - k * (sigma[c] - (k if c == label[v] else 0)) / m2**2  # noqa: B023, E731
+        assert all(value(c) <= value(label[v]) + 1e-8 for c in inside)
 
 
 def test_local_moving_ends_where_no_node_gains(spark):
