@@ -98,7 +98,11 @@ def _thirds(word: Column, length: Column, shift: int) -> Column:
 
 
 def closest(words: DataFrame, dictionary: DataFrame) -> DataFrame:
-    """(word, match, distance) of words (word) that have a dictionary word (word, place) within two edits, case aside: the nearest, ties by place."""
+    """(word, match, distance) of words (word) that have a dictionary word (word, place) within two edits, case aside: the nearest, ties by place.
+
+    Keys meet by sort and merge: shuffled keys are small when compressed, and broadcast
+    would be unpacked in the driver.
+    """
     own = words.select("word", F.lower("word").alias("low"), F.length("word").alias("len")).distinct()
     known = dictionary.select(F.col("word").alias("match"), "place", F.lower("word").alias("match_low"), F.length("word").alias("match_len"))
     short = own.where(F.col("len") <= SHORT).select("word", "low", F.explode(_deletions(F.col("low"), DISTANCE)).alias("k"))
@@ -106,7 +110,7 @@ def closest(words: DataFrame, dictionary: DataFrame) -> DataFrame:
     around = reduce(lambda a, b: F.concat(a, b), [_thirds(F.col("low"), F.col("len") + d, DISTANCE) for d in range(-DISTANCE, DISTANCE + 1)])
     long = own.where(F.col("len") > SHORT).select("word", "low", F.explode(F.array_distinct(around)).alias("k"))
     long_known = known.where(F.col("match_len") > SHORT - DISTANCE).select("match", "place", "match_low", F.explode(_thirds(F.col("match_low"), F.col("match_len"), 0)).alias("k"))
-    met = short.join(short_known, "k").drop("k").union(long.join(long_known, "k").drop("k")).distinct()
+    met = short.join(short_known.hint("merge"), "k").drop("k").union(long.join(long_known.hint("merge"), "k").drop("k")).distinct()
     near = met.withColumn("distance", F.levenshtein("low", "match_low", DISTANCE)).where("distance between 0 and 2")
     return near.groupBy("word").agg(F.min_by(F.struct("match", "distance"), F.struct("distance", "place")).alias("m")).select("word", "m.match", "m.distance")
 
@@ -121,9 +125,9 @@ def by_dictionary(texts: DataFrame, key: str, text: str, dictionary: DataFrame)
     rows = materialize(texts.select(F.col(key).alias("key"), F.col(text).alias("t"), F.monotonically_increasing_id().alias("row")))
     parts = F.split("t", " ", -1)
     used = rows.select("row", F.explode(F.array_distinct(F.transform(parts, bare))).alias("word")).where(F.length("word") >= 3)
-    unknown = used.select("word").distinct().join(dictionary.select(F.lower("word").alias("_low")), F.lower("word") == F.col("_low"), "left_anti")
+    unknown = used.select("word").distinct().join(dictionary.select(F.lower("word").alias("_low")).hint("merge"), F.lower("word") == F.col("_low"), "left_anti")
     fixes = materialize(closest(unknown, dictionary))
-    own = used.join(fixes.select("word", "match"), "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "match"))).alias("fix"))
-    both = rows.join(own, "row", "left").select("key", "t", F.transform(parts, lambda w: F.struct(w.alias("w"), bare(w).alias("b"), F.col("fix")[bare(w)].alias("f"))).alias("words"))
+    own = used.join(fixes.select("word", "match").hint("merge"), "word").groupBy("row").agg(F.map_from_entries(F.collect_list(F.struct("word", "match"))).alias("fix"))
+    both = rows.join(own.hint("merge"), "row", "left").select("key", "t", F.transform(parts, lambda w: F.struct(w.alias("w"), bare(w).alias("b"), F.col("fix")[bare(w)].alias("f"))).alias("words"))
     told = F.transform("words", lambda x: F.when(x["f"].isNotNull(), F.replace(x["w"], x["b"], x["f"])).otherwise(x["w"]))
     return both.select(F.col("key").alias(key), F.array_join(told, " ").alias(text), F.coalesce(F.size(F.filter("words", lambda x: x["f"].isNotNull())), F.lit(0)).alias("corrections"))
