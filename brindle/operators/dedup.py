@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from functools import partial
 from itertools import combinations
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..sources.storage import materialize
+from . import blocks as blocks_of
 
 
 def exact_groups(docs: DataFrame, key: str, text: str) -> DataFrame:
@@ -28,13 +30,18 @@ def hamming_pairs(rows: DataFrame, key: str, bits: str, radius: int = 5) -> Data
     The bits are cut into four blocks of sixteen; of values within the radius one block
     has a quarter of the differences at most. One side of the join lists its blocks with
     all of half those flips, the other side with the other half, so that the two meet in
-    the middle: under one in a thousand random pairs meet at radius 5, one in twenty at 12.
-    Equal values are folded before the join.
+    the middle: under one in a thousand random pairs meet at radius 5. From radius 8 on
+    blocks select little, and all pairs are compared as arrays instead. Equal values are
+    folded before.
     """
     if not 0 <= radius < 20:
         raise ValueError("radius is 0 to 19: beyond that the blocks select nothing")
     flips = radius // 4
-    one = rows.groupBy(F.col(bits).alias("v")).agg(F.min(key).alias("k"))
+    one = rows.where(F.col(bits).isNotNull()).groupBy(F.col(bits).alias("v")).agg(F.min(key).alias("k")).where("k is not null")
+    if flips > 1:
+        kind = one.schema["k"].dataType.simpleString()
+        packs = blocks_of.packed(one.select("k", F.col("v").cast("long").alias("v")), "k", "v")
+        return blocks_of.meet(packs, packs, partial(blocks_of.hamming, radius=radius), f"a {kind}, b {kind}, distance int", half=True)
 
     def blocks(prefix: str, most: int) -> DataFrame:
         masks = F.array(*[F.lit(m).cast("long") for m in _masks(16, most)])
