@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -71,31 +73,66 @@ def search_adaptive(entries: DataFrame, queries: dict[str, list[float] | str], h
     return found.where(F.col("type") == best)
 
 
+#: Segments of a group that one task may choose from at once.
+CHOICE = 1_024
+
+
 def mmr_top(segments: DataFrame, group: str, key: str, vector: str, weight: str, ratio: float = 0.15, least: int = 3, most: int = 30, trade: float = 0.7) -> DataFrame:
     """(group, key, rank): marginal relevance until each group's target (a share of its segments, within bounds) is reached.
 
-    Greedy rounds in DataFrames: each round scores all open segments of all groups at once against what their
-    groups have chosen, so that a group is never in one task and the number of rounds is the largest target.
+    What a segment can gain only falls as others are chosen. So each round takes the CHOICE
+    best of a group and chooses from them, one by one, as long as the best of them gains
+    more than the next best of the group did; then all open segments meet what was chosen.
+    Every round chooses one segment at least, mostly all; a group is never in one task.
     """
     from ..sources.storage import materialize
     from .rank import centroids
 
-    own = segments.where(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), vx.normalised(F.col(vector)).alias("v"), F.col(weight).alias("w"))
+    own = segments.where(F.col(vector).isNotNull()).select(F.col(group).alias("g"), F.col(key).alias("k"), vx.normalised(F.col(vector)).alias("v"), F.col(weight).cast("double").alias("w"))
     middle = centroids(own, "g", "v").withColumnRenamed("centroid", "c")
     target = own.groupBy("g").agg(F.least(F.lit(most), F.greatest(F.lit(least), F.floor(F.count("*") * ratio))).cast("int").alias("target"))
-    open_ = materialize(own.join(middle, "g").join(target, "g").select("g", "k", "v", "target", (vx.dot(F.col("v"), F.col("c")) * F.col("w")).alias("fit"), F.lit(0.0).alias("near")))
-    chosen = None
-    for place in range(1, (open_.agg(F.max("target")).first()[0] or 0) + 1):
+    open_ = materialize(own.join(middle, "g").join(target, "g").select("g", "k", "v", "target", F.coalesce(vx.dot(F.col("v"), F.col("c")) * F.col("w"), F.lit(float("-inf"))).alias("fit"), F.lit(0.0).alias("near"), F.lit(0).alias("done")))
+    kinds = open_.schema["g"].dataType.simpleString(), open_.schema["k"].dataType.simpleString()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("at")
+        rest = tuple(pdf.iloc[-1][["gain", "k"]]) if len(pdf) > CHOICE else None
+        pdf = pdf.iloc[:CHOICE]
+        v = np.full((len(pdf), max(map(len, pdf["v"]))), np.nan)  # of other sizes: near nothing
+        for i, x in enumerate(pdf["v"]):
+            v[i, : len(x)] = x
+        fit, near, k = pdf["fit"].to_numpy(), pdf["near"].to_numpy().copy(), pdf["k"].to_numpy()
+        free, out = np.ones(len(k), bool), []
+        for place in range(pdf["done"].iloc[0] + 1, pdf["target"].iloc[0] + 1):
+            gain = trade * fit - (1 - trade) * near
+            gain = np.where(np.isnan(gain), np.inf, gain)  # NaN is the greatest
+            if not free.any():
+                break
+            top = np.flatnonzero(free & (gain == gain[free].max()))
+            i = min(top, key=lambda j: k[j])
+            if rest is not None and (gain[i] < rest[0] or gain[i] == rest[0] and k[i] > rest[1]):
+                break
+            free[i] = False
+            out.append((place, i))
+            near = np.fmax(near, np.add.accumulate(v * v[i], axis=1)[:, -1])
+        at = [i for _, i in out]
+        return pd.DataFrame({"g": pdf["g"].iloc[: len(at)].to_numpy(), "k": k[at], "v": pdf["v"].iloc[at].to_numpy(), "rank": np.array([p for p, _ in out], "int32"), "target": pdf["target"].iloc[: len(at)].to_numpy()})
+
+    found = None
+    while True:
         gain = trade * F.col("fit") - (1 - trade) * F.col("near")
-        best = open_.where(F.col("target") >= place).groupBy("g").agg(F.max_by(F.struct("k", "v"), F.struct(gain, -F.col("k"))).alias("b")).select("g", F.col("b.k").alias("bk"), F.col("b.v").alias("bv"))
-        best = materialize(best)
-        part = best.select("g", F.col("bk").alias("k"), F.lit(place).alias("rank"))
-        chosen = part if chosen is None else chosen.union(part)
-        near = F.greatest("near", vx.dot(F.col("v"), F.col("bv")))
-        open_ = materialize(open_.join(best, "g").where("k <> bk").select("g", "k", "v", "target", "fit", near.alias("near")))
-    if chosen is None:
-        return segments.select(group, key, F.lit(0).alias("rank")).where("false")
-    return chosen.select(F.col("g").alias(group), F.col("k").alias(key), "rank")
+        place = F.row_number().over(W.partitionBy("g").orderBy(F.desc("gain"), "k"))
+        best = open_.where("done < target").withColumn("gain", gain).withColumn("at", place).where(F.col("at") <= CHOICE + 1)
+        chosen = materialize(best.groupBy("g").applyInPandas(run, f"g {kinds[0]}, k {kinds[1]}, v array<double>, rank int, target int"))
+        part = chosen.select("g", "k", "rank")
+        found = part if found is None else found.union(part)
+        new = chosen.groupBy("g").agg(F.collect_list("v").alias("vs"), F.max("rank").alias("last"), F.max("target").alias("_target"))
+        if new.where("last < _target").isEmpty():  # a group has target segments at least, or all of its are chosen
+            break
+        near = F.greatest("near", F.array_max(F.transform("vs", lambda x: vx.dot(F.col("v"), x))))
+        left = open_.join(part.select("g", "k"), ["g", "k"], "left_anti").join(new.where("last < _target"), "g")
+        open_ = materialize(left.select("g", "k", "v", "target", "fit", near.alias("near"), F.col("last").alias("done")))
+    return found.select(F.col("g").alias(group), F.col("k").alias(key), "rank")
 
 
 #: Sentences that are kept whatever their score: shares, amounts, duties, warnings; fixed pattern.
