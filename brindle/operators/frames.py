@@ -60,13 +60,16 @@ def motion(flows: DataFrame, image: str = "image") -> DataFrame:
 
 
 def complexity(frames: DataFrame, image: str = "image", order: str = "frame") -> DataFrame:
-    """One row an image of frames (image, frame, difference from the one before, entropy, r, g, b): stability, variation of colour and entropy, scene changes, type and the blend of them."""
+    """One row an image of frames (image, frame, difference from the one before, entropy, r, g, b): stability, variation of colour and entropy, scene changes, type and the blend of them.
+
+    Sums of doubles depend on their order, so differences and the mean meet their limits rounded to nine digits.
+    """
     f = frames.select(F.col(image).alias("image"), F.col(order).alias("frame"), "difference", "entropy", "r", "g", "b")
     before = W.partitionBy("image").orderBy("frame")
     step = sum((F.pow(F.lag(c).over(before) - F.col(c), F.lit(2)) for c in ("r", "g", "b")), F.lit(0.0))
     f = f.withColumn("colour", F.sqrt(step) / 441.67)
     means = f.groupBy("image").agg(F.count("*").alias("frames"), F.avg("difference").alias("_diff"), F.avg("colour").alias("_colour"), F.stddev_pop("entropy").alias("_entropy"))
-    cuts = f.select("image", "difference").join(means.select("image", "_diff"), "image").groupBy("image").agg(F.count_if(F.col("difference") > F.col("_diff") * SCENE_FACTOR).alias("_cuts"))
+    cuts = f.select("image", "difference").join(means.select("image", "_diff"), "image").groupBy("image").agg(F.count_if(F.round("difference", 9) > F.round(F.col("_diff") * SCENE_FACTOR, 9)).alias("_cuts"))
     alone = F.col("frames") <= 1
     clamp = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
     rows = means.join(cuts, "image").withColumns({
@@ -75,7 +78,7 @@ def complexity(frames: DataFrame, image: str = "image", order: str = "frame") ->
         "entropy_variation": F.when(alone, 0.0).otherwise(clamp(F.col("_entropy") / 2)),
         "scene_changes": F.when(alone, F.lit(0)).otherwise(F.col("_cuts")).cast("long"),
     })
-    kind = F.when(alone, "static").when(F.col("scene_changes") > F.col("frames") * 0.3, "slideshow").when(F.col("_diff") < 0.05, "simple-loop").when(F.col("_diff") < 0.15, "smooth-animation").otherwise("complex-animation")
+    kind = F.when(alone, "static").when(F.col("scene_changes") > F.col("frames") * 0.3, "slideshow").when(F.round("_diff", 9) < 0.05, "simple-loop").when(F.round("_diff", 9) < 0.15, "smooth-animation").otherwise("complex-animation")
     blend = clamp(0.4 * (1 - F.col("visual_stability")) + 0.3 * F.col("color_variation") + 0.2 * F.col("entropy_variation") + 0.1 * clamp(F.col("scene_changes") / F.col("frames")))
     return rows.select(F.col("image").alias(image), "frames", "visual_stability", "color_variation", "entropy_variation", "scene_changes", kind.alias("animation_type"), blend.alias("complexity"))
 

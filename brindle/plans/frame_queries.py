@@ -30,9 +30,9 @@ def m18_c13_motion(spark, d):
 @query(
     """WITH f AS (SELECT l_suppkey AS image, l_orderkey * 10 + l_linenumber AS frame, max(l_discount * CASE WHEN l_quantity > 45 THEN 9 ELSE l_suppkey % 4 END) AS difference, max(l_quantity / 8) AS entropy, max(l_partkey % 256) AS r, max(l_orderkey % 256) AS g, max(l_linenumber * 30) AS b FROM lineitem GROUP BY 1, 2),
  c AS (SELECT *, sqrt((r - lag(r) OVER w) ** 2 + (g - lag(g) OVER w) ** 2 + (b - lag(b) OVER w) ** 2) / 441.67 AS colour FROM f WINDOW w AS (PARTITION BY image ORDER BY frame)),
- m AS (SELECT image, count(*) AS frames, avg(difference) AS diff, avg(colour) AS colour, stddev_pop(entropy) AS entropy FROM c GROUP BY 1), k AS (SELECT image, count(*) FILTER (difference > diff * 2.5) AS cuts FROM c JOIN m USING (image) GROUP BY 1),
+ m AS (SELECT image, count(*) AS frames, avg(difference) AS diff, avg(colour) AS colour, stddev_pop(entropy) AS entropy FROM c GROUP BY 1), k AS (SELECT image, count(*) FILTER (round(difference, 9) > round(diff * 2.5, 9)) AS cuts FROM c JOIN m USING (image) GROUP BY 1),
  v AS (SELECT image, frames, diff, CASE WHEN frames <= 1 THEN 1 ELSE 1 - least(1, greatest(0, diff / 0.3)) END AS visual_stability, CASE WHEN frames <= 1 THEN 0 ELSE m.colour END AS color_variation, CASE WHEN frames <= 1 THEN 0 ELSE least(1, greatest(0, m.entropy / 2)) END AS entropy_variation, CASE WHEN frames <= 1 THEN 0 ELSE cuts END AS scene_changes FROM m JOIN k USING (image))
- SELECT image, frames, round(visual_stability, 6) AS visual_stability, round(color_variation, 6) AS color_variation, round(entropy_variation, 6) AS entropy_variation, scene_changes, CASE WHEN frames <= 1 THEN 'static' WHEN scene_changes > frames * 0.3 THEN 'slideshow' WHEN diff < 0.05 THEN 'simple-loop' WHEN diff < 0.15 THEN 'smooth-animation' ELSE 'complex-animation' END AS animation_type,
+ SELECT image, frames, round(visual_stability, 6) AS visual_stability, round(color_variation, 6) AS color_variation, round(entropy_variation, 6) AS entropy_variation, scene_changes, CASE WHEN frames <= 1 THEN 'static' WHEN scene_changes > frames * 0.3 THEN 'slideshow' WHEN round(diff, 9) < 0.05 THEN 'simple-loop' WHEN round(diff, 9) < 0.15 THEN 'smooth-animation' ELSE 'complex-animation' END AS animation_type,
   round(least(1, greatest(0, 0.4 * (1 - visual_stability) + 0.3 * color_variation + 0.2 * entropy_variation + 0.1 * least(1, scene_changes / frames))), 6) AS complexity FROM v"""
 )
 def c12_animation_complexity(spark, d):
