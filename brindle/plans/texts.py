@@ -118,10 +118,10 @@ def x23_citations(spark, d):
     return ops.validate_citations(table(spark, d, "documents").select("doc_id", cited.alias("answer")), "answer", 4).select("doc_id", "total", "invalid", "valid")
 
 
-@query(f"WITH s AS (SELECT conv_id, turn, text, list_distinct(list_filter({_W}, lambda x: length(x) > 4)) AS w, regexp_matches(lower(text), '\\b(not|no|never|cannot|nicht|pas)\\b') AS neg FROM conversations) SELECT a.conv_id, a.turn AS a, b.turn AS b FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE a.neg <> b.neg AND len(list_intersect(a.w, b.w)) >= 2")
+@query(f"WITH s AS (SELECT conv_id, turn, text, list_distinct(list_filter({_W}, lambda x: length(x) > 4)) AS w, regexp_matches(lower(text), '(^|[^\\p{{L}}\\p{{Mn}}\\p{{Nd}}\\p{{Pc}}])(not|no|never|cannot|nicht|pas)($|[^\\p{{L}}\\p{{Mn}}\\p{{Nd}}\\p{{Pc}}])') AS neg FROM conversations) SELECT a.conv_id, a.turn AS a, b.turn AS b FROM s a JOIN s b ON a.conv_id = b.conv_id AND a.turn < b.turn WHERE a.neg <> b.neg AND len(list_intersect(a.w, b.w)) >= 2")
 def x26_fact_contradictions(spark, d):
-    """One side denies, and two longer words at least are shared: found by their common words."""
-    s = table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike(r"\b(not|no|never|cannot|nicht|pas)\b").alias("neg"), F.explode(F.array_distinct(tx.tokens(F.col("text"), 5))).alias("w"))
+    """One side denies by a whole word (of letters of any script), and two longer words at least are shared: found by their common words."""
+    s = table(spark, d, "conversations").select("conv_id", "turn", F.lower("text").rlike(r"(^|[^\p{L}\p{Mn}\p{Nd}\p{Pc}])(not|no|never|cannot|nicht|pas)($|[^\p{L}\p{Mn}\p{Nd}\p{Pc}])").alias("neg"), F.explode(F.array_distinct(tx.tokens(F.col("text"), 5))).alias("w"))
     yes, no = s.where("not neg").select("conv_id", "w", F.col("turn").alias("x")), s.where("neg").select("conv_id", "w", F.col("turn").alias("y"))
     j = yes.join(no, ["conv_id", "w"]).groupBy("conv_id", "x", "y").count().where("count >= 2 and x <> y")
     return j.select("conv_id", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
