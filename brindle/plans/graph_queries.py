@@ -40,8 +40,18 @@ def kg15_two_hop(spark, d):
     return gr.k_hop(_edges(spark, d), spark.createDataFrame([(7,)], "node long"), 2)
 
 
-@query(f"WITH RECURSIVE e AS ({_PAIR}), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), p AS (SELECT min(m.b) AS mid FROM u m JOIN u n ON m.b = n.a WHERE m.a = 3 AND n.b = 8) SELECT 0 AS hop, 3::BIGINT AS node UNION ALL SELECT 1, mid FROM p UNION ALL SELECT 2, 8")
+_LEVELS = ", ".join(
+    f"f{k} AS MATERIALIZED (SELECT u.b AS node, min(u.a) AS parent FROM u JOIN f{k - 1} ON u.a = f{k - 1}.node WHERE u.b NOT IN ({' UNION ALL '.join(f'SELECT node FROM f{i}' for i in range(k))}) GROUP BY 1)" for k in range(1, 6)
+)
+
+
+@query(
+    f"""WITH RECURSIVE e AS ({_PAIR}), u AS MATERIALIZED (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), f0 AS (SELECT 3::BIGINT AS node, NULL::BIGINT AS parent), {_LEVELS},
+ s AS MATERIALIZED ({" UNION ALL ".join(f"SELECT {k} AS hop, node, parent FROM f{k}" for k in range(6))}), p AS (SELECT hop, node, parent FROM s WHERE node = 8 UNION ALL SELECT s.hop, s.node, s.parent FROM p JOIN s ON s.node = p.parent)
+ SELECT hop, node FROM p"""
+)
 def kg16_shortest_path(spark, d):
+    """A shortest path from 3 to 8 of five hops at most, each node's parent the smallest of the hop before; none without one."""
     return gr.shortest_path(_edges(spark, d), 3, 8, 5)
 
 
