@@ -35,19 +35,31 @@ def online_clusters(df: DataFrame, group: str, key: str, vector: str, least: flo
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         pdf = pdf.sort_values(key)
         sums: list[np.ndarray] = []
+        units = np.empty((0, 0))  # of the first sums, grown by doubling
         counts: list[int] = []
         out = []
         for v in pdf[vector]:
             x = np.asarray(v, float)
-            sims = [float(x @ s) / max(float(np.linalg.norm(x) * np.linalg.norm(s)), 1e-12) for s in sums]
-            best = int(np.argmax(sims)) if sims else -1
-            if best < 0 or sims[best] < least:
+            n, best = len(sums), -1
+            size = float(np.linalg.norm(x))
+            if n:
+                near = np.nan_to_num(units[:n] @ (x / max(size, 1e-12)), nan=-2.0)  # what is not finite is alike to nothing
+                # the product finds who can be nearest or alike at all, the similarity itself decides
+                top = near.max()
+                for i in np.flatnonzero(near >= top - 1e-9) if not top < least - 1e-9 else ():
+                    sim = float(x @ sums[i]) / max(float(np.linalg.norm(x) * np.linalg.norm(sums[i])), 1e-12)
+                    if best < 0 or sim > most:
+                        best, most = int(i), sim
+            if best < 0 or most < least:
                 sums.append(x.copy())
                 counts.append(1)
                 best = len(sums) - 1
+                if best >= len(units):
+                    units = np.concatenate([units.reshape(-1, len(x)), np.zeros((max(64, best), len(x)))])
             else:
                 sums[best] += x
                 counts[best] += 1
+            units[best] = sums[best] / max(float(np.linalg.norm(sums[best])), 1e-12)
             out.append(best)
         return pd.DataFrame({group: pdf[group].to_numpy(), key: pdf[key].to_numpy(), "cluster": out})
 
