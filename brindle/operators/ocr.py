@@ -37,10 +37,11 @@ _DIGITS = f"0-9{''.join(_FROM_NUMBER.values())}"
 def characters(text: Column) -> tuple[Column, Column]:
     """(text, corrections): letters between digits become digits and digits between letters become letters; a text's edge counts as either."""
     out = text
+    # the character stands first in a pattern, so that neighbours are looked at only where it is
     for c, mark in _FROM_LETTER.items():
-        out = F.regexp_replace(out, f"(?<![^{_DIGITS}]){c}(?![^{_DIGITS}])", mark)
+        out = F.regexp_replace(out, f"{c}(?<![^{_DIGITS}]{c})(?![^{_DIGITS}])", mark)
     for c, mark in _FROM_NUMBER.items():
-        out = F.regexp_replace(out, f"(?<![^{_LETTERS}]){c}(?![^{_LETTERS}])", mark)
+        out = F.regexp_replace(out, f"{c}(?<![^{_LETTERS}]{c})(?![^{_LETTERS}])", mark)
     marks = "".join(_FROM_LETTER.values()) + "".join(_FROM_NUMBER.values())
     return F.translate(out, marks, "".join(LETTER_TO_NUMBER.values()) + "".join(NUMBER_TO_LETTER.values())), F.length(out) - F.length(F.translate(out, marks, ""))
 
@@ -55,7 +56,9 @@ def _fixed_word(w: Column) -> Column:
     fix = F.element_at(F.create_map(*[F.lit(x) for kv in WORDS.items() for x in kv]), F.lower(bare))
     capital = fix.rlike(r"^\p{Ll}+$") & bare.rlike(r"^\p{Lu}")
     told = F.when(capital, F.concat(F.upper(F.substring(fix, 1, 1)), F.substring(fix, F.lit(2), F.length(fix)))).otherwise(fix)
-    return F.concat(F.regexp_extract(w, r"^\s*", 0), told, F.when(bare == "", "").otherwise(F.regexp_extract(w, r"\s*$", 0)))
+    whole = F.concat(F.regexp_extract(w, r"^\s*", 0), told, F.when(bare == "", "").otherwise(F.regexp_extract(w, r"\s*$", 0)))
+    # few words pass this, and only they meet the patterns
+    return F.when(F.lower(F.translate(w, "\t\n\x0b\f\r", "")).isin(list(WORDS)), whole)
 
 
 def corrected(texts: DataFrame, key: str, text: str) -> DataFrame:
