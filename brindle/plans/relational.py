@@ -66,11 +66,29 @@ def j8_cooccurrence(spark, d):
     return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
 
 
+#: Rows with the lists of their peers that a task takes.
+PEER_ROWS = 50_000
+
+
+def _peers(rows):
+    """(k, peer), once for each value that both have, k itself included; dealt by k.
+
+    rows is (k, v). The list of a value's keys goes to each of them, so that pairs arise
+    only behind the shuffle, where all of a key are in one task; tasks grow with the rows
+    (counted first). Null keys and values meet nothing.
+    """
+    known = rows.dropna()
+    n = -(-known.count() // PEER_ROWS)
+    sets = known.groupBy("v").agg(F.collect_set("k").alias("m"))
+    least = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return sets.select(F.explode("m").alias("k"), "m").repartition(max(least, n), "k").select("k", F.explode("m").alias("peer"))
+
+
 @query("WITH s AS (SELECT l_suppkey AS k, list(DISTINCT l_partkey) AS m FROM lineitem GROUP BY 1) SELECT a.k AS a, b.k AS b, len(list_intersect(a.m, b.m)) AS shared FROM s a JOIN s b ON a.k < b.k WHERE shared > 0")
 def j9_shared_chunks(spark, d):
     """By the shared value, not over all pairs of sets."""
-    s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("a"), "l_partkey").distinct()
-    return s.join(s.withColumnRenamed("a", "b"), "l_partkey").where("a < b").groupBy("a", "b").agg(F.count("*").alias("shared"))
+    s = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("v"))
+    return _peers(s).where("k < peer").groupBy("k", "peer").agg(F.count("*").alias("shared")).select(F.col("k").alias("a"), F.col("peer").alias("b"), "shared")
 
 
 @query("SELECT c_custkey, c_name FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)")
@@ -110,8 +128,8 @@ def j16_overlapping_communities(spark, d):
 
 @query("WITH p AS (SELECT DISTINCT l_suppkey AS k, l_partkey AS v FROM lineitem), x AS (SELECT DISTINCT a.k AS k, b.k AS peer FROM p a JOIN p b ON a.v = b.v AND a.k <> b.k) SELECT x.k AS k, count(*) AS peers, round(avg(s_acctbal), 4) AS mean FROM x JOIN supplier ON s_suppkey = peer GROUP BY 1")
 def j18_peers_sharing_vectors(spark, d):
-    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("v")).distinct()
-    pairs = p.join(p.withColumnRenamed("k", "peer"), "v").where("k <> peer").select("k", "peer").distinct()
+    p = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("k"), F.col("l_partkey").alias("v"))
+    pairs = _peers(p).where("k <> peer").select("k", "peer").distinct()
     return pairs.join(table(spark, d, "supplier"), F.col("s_suppkey") == F.col("peer")).groupBy("k").agg(F.count("*").alias("peers"), F.round(F.avg("s_acctbal"), 4).alias("mean"))
 
 
