@@ -1,155 +1,221 @@
-"""Community detection by modularity: rounds of joins on a large graph, one ordered fold on a small one."""
+"""Community detection by modularity: ordered folds of small pieces of a graph, rounds of folds over groups of communities in a large piece."""
 
 from __future__ import annotations
 
+import math
 import random
-from collections.abc import Iterator
 
 import numpy as np
-import pyarrow as pa
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialize
 
 GAIN = 1e-9
-#: Up to so many edges (both ways) one task holds the graph: some 100 MB.
-FOLD_EDGES = 500_000
+#: Up to so many edges (both ways) one task holds at a time, as arrays: some 200 MB.
+FOLD_EDGES = 2_000_000
+#: Up to so many nodes (counted) their labels are broadcast.
+FEW_NODES = 500_000
 
 
-def _moved(near: list[dict[int, float]], m2: float, resolution: float) -> list[int]:
-    """Labels of nodes 0..n-1 after local moving in a fixed shuffled order, sweep after sweep until no node gains."""
-    degree = [sum(x.values()) for x in near]
-    sigma, label = degree[:], list(range(len(near)))
-    order = list(range(len(near)))
+def _csr(x: np.ndarray, y: np.ndarray, weight: np.ndarray, n: int) -> tuple[list[int], np.ndarray, np.ndarray]:
+    """Edges by x and y, equal ones summed, loops left out: where each x begins, the other ends, the weights."""
+    order = np.lexsort((y, x))
+    x, y, weight = x[order], y[order], weight[order]
+    new = np.flatnonzero(np.r_[True, (x[1:] != x[:-1]) | (y[1:] != y[:-1])]) if len(x) else np.empty(0, int)
+    x, y, weight = x[new], y[new], np.add.reduceat(weight, new) if len(new) else weight
+    other = x != y
+    return np.searchsorted(x[other], np.arange(n + 1)).tolist(), y[other], weight[other]
+
+
+def _moved(near: tuple, degree: list[float], label: np.ndarray, sigma: list[float], m2: float, resolution: float, fixed: tuple | None = None) -> np.ndarray:
+    """Labels of nodes 0..n-1 after local moving in a fixed shuffled order, sweep after sweep until no node gains.
+
+    near is _csr of the edges, label where the nodes begin, sigma the degrees of the
+    communities; fixed is _csr from nodes to communities, by edges to nodes that stay.
+    """
+    begins, ends, weights = near
+    order = list(range(len(degree)))
     random.Random(42).shuffle(order)
     going = True
     while going:
         going = False
         for v in order:
             inside: dict[int, float] = {}
-            for w, weight in near[v].items():
-                if w != v:
-                    inside[label[w]] = inside.get(label[w], 0.0) + weight
-            own = label[v]
-            sigma[own] -= degree[v]
-            value = lambda c: inside.get(c, 0.0) / m2 - resolution * degree[v] * sigma[c] / (m2 * m2)  # noqa: B023, E731
-            best, most = own, value(own) + GAIN
+            i, j = begins[v], begins[v + 1]
+            for c, w in zip(label[ends[i:j]].tolist(), weights[i:j].tolist(), strict=True):
+                inside[c] = inside.get(c, 0.0) + w
+            if fixed:
+                i, j = fixed[0][v], fixed[0][v + 1]
+                for c, w in zip(fixed[1][i:j].tolist(), fixed[2][i:j].tolist(), strict=True):
+                    inside[c] = inside.get(c, 0.0) + w
+            own, k = int(label[v]), degree[v]
+            sigma[own] -= k
+            pull = resolution * k / (m2 * m2)
+            best, most = own, inside.get(own, 0.0) / m2 - pull * sigma[own] + GAIN
             for c in sorted(inside):
-                if value(c) > most:
-                    best, most = c, value(c)
-            sigma[best] += degree[v]
+                value = inside[c] / m2 - pull * sigma[c]
+                if value > most:
+                    best, most = c, value
+            sigma[best] += k
             if best != own:
                 label[v], going = best, True
     return label
 
 
-def _fold(edges: DataFrame, resolution: float, levels: int) -> DataFrame:
-    """(node, label) of a graph of at most FOLD_EDGES edges, all levels in one task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts = [[b.column(c).to_numpy(zero_copy_only=False) for c in ("a", "b", "weight")] for b in batches if b.num_rows]
-        if not parts:
-            return
-        a, b, weight = (np.concatenate(x) for x in zip(*parts, strict=True))
-        names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
-        edges = sorted(zip(ends[: len(a)].tolist(), ends[len(a) :].tolist(), weight.astype(float).tolist(), strict=True))
-        place = list(range(len(names)))  # of each node, in the level at hand
-        m2 = sum(w for _, _, w in edges)
-        for _ in range(levels if m2 else 0):
-            near: list[dict[int, float]] = [{} for _ in range(max(place) + 1)]
-            for x, y, w in edges:
-                near[x][y] = near[x].get(y, 0.0) + w
-            label = _moved(near, m2, resolution)
-            if label == list(range(len(near))):
-                break
-            number = {c: i for i, c in enumerate(dict.fromkeys(label))}
-            label = [number[c] for c in label]
-            place = [label[p] for p in place]
-            edges = [(label[x], label[y], w) for x, y, w in edges]
-        least = np.full(max(place) + 1, names.max())
-        np.minimum.at(least, place, names)
-        yield pa.RecordBatch.from_arrays([pa.array(names), pa.array(least[place])], names=["node", "label"])
-
-    return materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double")).coalesce(1).mapInArrow(run, "node long, label long"))
-
-
-def _score(edges: DataFrame, labels: DataFrame, m2: float, resolution: float) -> float:
-    """Modularity of labels (node, label) over edges (a, b, weight both ways, loops allowed)."""
-    placed = edges.join(labels.select(F.col("node").alias("a"), F.col("label").alias("la")), "a").join(labels.select(F.col("node").alias("b"), F.col("label").alias("lb")), "b")
-    per = placed.groupBy("la").agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("la") == F.col("lb"), F.col("weight")).otherwise(0)).alias("inside"))
-    return per.agg(F.sum(F.col("inside") / m2 - resolution * F.pow(F.col("total") / m2, F.lit(2)))).first()[0] or 0.0
-
-
-def local_moving(edges: DataFrame, resolution: float = 1.0) -> DataFrame:
+def _folded(a: np.ndarray, b: np.ndarray, weight: np.ndarray, m2: float, resolution: float, levels: int) -> tuple[np.ndarray, np.ndarray]:
+    """(nodes, labels) of edges as arrays, all levels; labels are the smallest nodes."""
+    names, ends = np.unique(np.concatenate([a, b]), return_inverse=True)
+    x, y = ends[: len(a)], ends[len(a) :]
+    place = np.arange(len(names))  # of each node, in the level at hand
+    for _ in range(levels if m2 else 0):
+        n = int(place.max()) + 1
+        degree = np.bincount(x, weight, n).tolist()
+        label = _moved(_csr(x, y, weight, n), degree, np.arange(n), degree[:], m2, resolution)
+        if (label == np.arange(n)).all():
+            break
+        _, first, number = np.unique(label, return_index=True, return_inverse=True)
+        label = np.argsort(np.argsort(first))[number]  # numbered in the order of their first node
+        place, x, y = label[place], label[x], label[y]
+    least = np.full(int(place.max()) + 1, names.max())
+    np.minimum.at(least, place, names)
+    return names, least[place]
+
+
+def _fold(edges: DataFrame, m2: float, resolution: float, levels: int, key: str | None = None) -> DataFrame:
+    """(node, label): all levels of each piece (key; one without it) in one task, a piece having no edges to others."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        node, label = _folded(pdf["a"].to_numpy(), pdf["b"].to_numpy(), pdf["weight"].to_numpy(), m2, resolution, levels)
+        return pd.DataFrame({"node": node, "label": label})
+
+    rows = edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double"), (F.col(key) if key else F.lit(0)).alias("key"))
+    return materialize(rows.groupBy("key").applyInPandas(run, "node long, label long"))
+
+
+def local_moving(edges: DataFrame, resolution: float = 1.0, m2: float | None = None) -> DataFrame:
     """(node, label): nodes move to the neighbouring community with the best gain in modularity, until none gains.
 
-    All nodes look for their best move at once and half of them, chosen by hash anew each
-    sweep, make it. Where that lowers the modularity, since moves did not know of each
-    other, it is taken back, and one sweep moves only nodes whose gain is the greatest
-    of all that leave or enter their two communities: such moves touch different
-    communities, so their gains add up. Every kept sweep raises the modularity, so the
-    loop ends, and it ends only where no node gains. Ties go to the smallest label.
+    Modularity is a sum over communities. So each round deals the communities into groups
+    by hash, anew each time, and a task moves the nodes of one group among the group's
+    communities, node by node: groups share no community, and their gains add up exactly.
+    Where a group has more than FOLD_EDGES edges, a part of its nodes, by hash, moves and the
+    others stay, summed by community. When few nodes have moved, all nodes look for their best
+    move, and those move whose gain is the greatest of all that leave or enter their two
+    communities. Every move raises the modularity, so the loop ends, and it ends only where
+    no node gains. Ties go to the smallest label.
     """
-    edges = materialize(edges)
-    m2 = edges.agg(F.sum("weight")).first()[0]
-    degree = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")))
-    labels = materialize(degree.select("node", F.col("node").alias("label")))
+    edges = materialize(edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double")))
+    n = edges.count()
+    m2 = m2 or edges.agg(F.sum("weight")).first()[0]
+    labels = materialize(edges.groupBy(F.col("a").alias("node")).agg(F.sum("weight").alias("k")).select("node", F.col("node").alias("label"), "k"))
     if not m2:
-        return labels
-    now, sweep, alone = _score(edges, labels, m2, resolution), 0, False
+        return labels.select("node", "label")
+    nodes = labels.count()
+    small = F.broadcast if nodes <= FEW_NODES else lambda x: x
     between = edges.where("a <> b")
-    while True:
-        sweep += 1
-        placed = labels.join(degree, "node")
-        sigma = placed.groupBy("label").agg(F.sum("k").alias("sigma"))
-        near = between.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("inside"))
-        own = placed.join(sigma, "label").select("node", F.col("label").alias("old"), "k", (-resolution * F.col("k") * (F.col("sigma") - F.col("k")) / (m2 * m2)).alias("alone"))
-        offers = near.join(sigma, "label").join(own, "node")
+    groups, sweep = math.ceil(math.sqrt(n / FOLD_EDGES)), 0
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        part = {kind: rows for kind, rows in pdf.groupby("kind")}
+        none = pdf.iloc[:0]
+        own, com = part.get(0, none), part[1]
+        names, spots = np.sort(own["x"].to_numpy()), np.sort(com["x"].to_numpy())
+        own, com = own.sort_values("x"), com.sort_values("x")
+        e, f = part.get(2, none), part.get(3, none)
+        near = _csr(np.searchsorted(names, e["x"].to_numpy()), np.searchsorted(names, e["y"].to_numpy()), e["w"].to_numpy(), len(names))
+        x, y = np.searchsorted(names, f["x"].to_numpy()), np.searchsorted(spots, f["y"].to_numpy())
+        at = np.argsort(x, kind="stable")
+        fixed = np.searchsorted(x[at], np.arange(len(names) + 1)).tolist(), y[at], f["w"].to_numpy()[at]
+        label = np.searchsorted(spots, own["y"].to_numpy())
+        to = _moved(near, own["w"].tolist(), label.copy(), com["w"].tolist(), m2, resolution, fixed if len(f) else None)
+        return pd.DataFrame({"node": names[to != label], "to": spots[to[to != label]]})
+
+    def best_moves() -> DataFrame:
+        sigma = labels.groupBy("label").agg(F.sum("k").alias("sigma"))
+        near = between.join(small(labels.select(F.col("node").alias("b"), "label")), "b").groupBy(F.col("a").alias("node"), "label").agg(F.sum("weight").alias("inside"))
+        own = labels.join(sigma, "label").select("node", F.col("label").alias("old"), "k", (-resolution * F.col("k") * (F.col("sigma") - F.col("k")) / (m2 * m2)).alias("alone"))
         here = F.col("label") == F.col("old")
         value = F.col("inside") / m2 - resolution * F.col("k") * (F.col("sigma") - F.when(here, F.col("k")).otherwise(0)) / (m2 * m2)
-        offers = offers.select("node", "old", "alone", F.when(here, value).alias("stay"), F.when(~here, F.struct(value.alias("value"), (-F.col("label")).alias("least"))).alias("go"))
+        offers = near.join(sigma, "label").join(own, "node").select("node", "old", "alone", F.when(here, value).alias("stay"), F.when(~here, F.struct(value.alias("value"), (-F.col("label")).alias("least"))).alias("go"))
         best = offers.groupBy("node", "old").agg(F.max("go").alias("go"), F.coalesce(F.max("stay"), F.max("alone")).alias("stay")).where(F.col("go.value") > F.col("stay") + GAIN)
-        best = best.select("node", "old", (-F.col("go.least")).alias("to"), (F.col("go.value") - F.col("stay")).alias("gain"))
-        if alone:
-            best = materialize(best)
+        return materialize(best.select("node", "old", (-F.col("go.least")).alias("to"), (F.col("go.value") - F.col("stay")).alias("gain")))
+
+    while True:
+        sweep += 1
+        dealt = labels.withColumn("g", F.pmod(F.xxhash64("label", F.lit(sweep)), F.lit(groups)).cast("int"))
+        ends = [small(dealt.select(F.col("node").alias(x), F.col("label").alias("l" + x), F.col("g").alias("g" + x))) for x in "ab"]
+        near = materialize(between.join(ends[0], "a").join(ends[1], "b").where("ga = gb").select(F.col("ga").alias("g"), "a", "b", "lb", "weight"))
+        share = [1] * groups
+        for g, m in near.groupBy("g").agg(F.count("*")).collect():  # one row a group
+            share[g] = math.ceil(m / FOLD_EDGES)
+        moves = lambda x: F.pmod(F.xxhash64(x, F.lit(sweep)), F.get(F.array(*map(F.lit, share)), F.col("g"))) == 0  # noqa: B023, E731
+        near = near.where(moves("a"))
+        other = moves("b")
+        row = lambda kind, x, y, w: ["g", F.lit(kind).alias("kind"), F.col(x).alias("x"), F.col(y).alias("y"), F.col(w).alias("w")]
+        rows = dealt.where(moves("node")).select(*row(0, "node", "label", "k")).union(dealt.groupBy("g", "label").agg(F.sum("k").alias("k")).select(*row(1, "label", "label", "k"))).union(near.where(other).select(*row(2, "a", "b", "weight")))
+        if max(share) > 1:
+            rows = rows.union(near.where(~other).groupBy("g", "a", "lb").agg(F.sum("weight").alias("weight")).select(*row(3, "a", "lb", "weight")))
+        moved = materialize(rows.groupBy("g").applyInPandas(run, "node long, to long"))
+        changed = moved.count()
+        if changed:
+            labels = materialize(labels.join(moved, "node", "left").select("node", F.coalesce("to", "label").alias("label"), "k"))
+        if groups == 1 and max(share) == 1 or changed == 0 or changed * 1000 < nodes:
+            best = best_moves()
             if best.isEmpty():
-                return labels
+                return labels.select("node", "label")
             claims = best.select("node", "gain", F.explode(F.array("old", "to")).alias("community"))
             first = claims.groupBy("community").agg(F.max(F.struct("gain", "node"))["node"].alias("node"))
             winners = first.groupBy("node").agg(F.count("*").alias("n")).where("n = 2").select("node")
-            movers = best.join(winners, "node")
-        else:  # where no node gains, none moves, and the next sweep finds that out
-            movers = best.where(F.pmod(F.xxhash64("node", F.lit(sweep)), F.lit(2)) == 0)
-        moved = materialize(labels.join(movers.select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label")))
-        score = _score(edges, moved, m2, resolution)
-        if score > now + GAIN / 2:
-            labels, now, alone = moved, score, False
-        elif alone:
-            return labels  # what is left to gain is below the sums' rounding
-        else:
-            alone = True
-
-
-def _levels(edges: DataFrame, resolution: float, levels: int) -> DataFrame:
+            labels = materialize(labels.join(best.join(winners, "node").select("node", "to"), "node", "left").select("node", F.coalesce("to", "label").alias("label"), "k"))
+
+
+def pieces(edges: DataFrame) -> DataFrame:
+    """(node, root): the connected components of edges (a, b both ways). The edges to each node's smallest neighbour join most nodes, then the few edges between what they joined."""
+    from .graph import components
+
+    roots = components(edges.groupBy("a").agg(F.min("b").alias("b")))
+    ends = [roots.select(F.col("node").alias(x), F.col("root").alias("r" + x)) for x in "ab"]
+    across = materialize(edges.where("a < b").join(ends[0], "a").join(ends[1], "b").where("ra <> rb").select("ra", "rb").distinct())
+    if across.isEmpty():
+        return roots
+    higher = components(across, "ra", "rb").select(F.col("node").alias("root"), F.col("root").alias("top"))
+    return materialize(roots.join(higher, "root", "left").select("node", F.coalesce("top", "root").alias("root")))
+
+
+def _levels(edges: DataFrame, resolution: float, levels: int, m2: float | None = None, split: bool = True) -> DataFrame:
     edges = materialize(edges)
-    if edges.count() <= FOLD_EDGES:
-        return _fold(edges, resolution, levels)
-    labels = local_moving(edges, resolution)
+    m2 = m2 or edges.agg(F.sum("weight")).first()[0] or 0.0
+    n = edges.count()
+    if n <= FOLD_EDGES:
+        return _fold(edges, m2, resolution, levels)
+    done = None
+    if split:  # no community spans two components: those that one task holds are folded apart
+        placed = materialize(edges.join(pieces(edges).select(F.col("node").alias("a"), "root"), "a"))
+        sizes = materialize(placed.groupBy("root").agg(F.count("*").alias("size")))
+        sized = placed.join(sizes, "root")
+        bins = max(1, math.ceil(2 * n / FOLD_EDGES))
+        key = F.when(F.col("size") * 10 > FOLD_EDGES, F.concat(F.lit("p"), F.col("root").cast("string"))).otherwise(F.concat(F.lit("h"), F.pmod(F.xxhash64("root"), F.lit(bins)).cast("string")))
+        done = _fold(sized.where(F.col("size") <= FOLD_EDGES).withColumn("key", key), m2, resolution, levels, "key")
+        edges = materialize(sized.where(F.col("size") > FOLD_EDGES).select("a", "b", "weight"))
+        if edges.isEmpty():
+            return done
+    labels = local_moving(edges, resolution, m2)
     if levels > 1 and not labels.where("node <> label").isEmpty():
         up = labels.select(F.col("node").alias("a"), F.col("label").alias("la")), labels.select(F.col("node").alias("b"), F.col("label").alias("lb"))
         folded = edges.join(up[0], "a").join(up[1], "b").groupBy(F.col("la").alias("a"), F.col("lb").alias("b")).agg(F.sum("weight").alias("weight"))
-        higher = _levels(folded, resolution, levels - 1).select(F.col("node").alias("label"), F.col("label").alias("to"))
+        higher = _levels(folded, resolution, levels - 1, m2, False).select(F.col("node").alias("label"), F.col("label").alias("to"))
         labels = materialize(labels.join(higher, "label").select("node", F.col("to").alias("label")))
-    return labels
+    return labels if done is None else done.union(labels)
 
 
 def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 1_000, least: int = 2) -> DataFrame:
     """(node, community): local moving, then again between the communities found, until a level adds nothing.
 
-    edges are (a, b, weight), both ways, nodes longs. A graph of at most FOLD_EDGES edges
-    (counted) is folded in one task, node by node; a larger one moves in rounds of joins,
-    and the graph of its communities is folded as soon as it is small. Communities of
+    edges are (a, b, weight), both ways, nodes longs. A graph or connected component of at
+    most FOLD_EDGES edges (counted) is folded in one task, node by node; a larger one moves in
+    rounds, and the graph of its communities is folded as soon as it is small. Communities of
     fewer than least nodes are left out; the rest are numbered ``c_0_i`` by size, ties by
     their smallest node. levels=1 is a single level.
     """
