@@ -8,11 +8,20 @@ from pyspark.sql import functions as F
 from ..sources.storage import materialize
 
 
+#: Rows that a task groups or sorts at a time.
+GROUP_ROWS = 500_000
+
+
+def dealt(rows: DataFrame, n: int, *keys: str) -> DataFrame:
+    """rows, about n of them, dealt by keys to tasks of GROUP_ROWS rows, so that a task's groups take the same memory whatever the input."""
+    return rows.repartition(max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-n // GROUP_ROWS)), *keys)
+
+
 def undirected(edges: DataFrame, a: str = "src", b: str = "dst", weight: str | None = "weight") -> DataFrame:
-    """(a, b, weight) in both directions, parallel edges summed, loops dropped."""
+    """(a, b, weight) in both directions, parallel edges summed, loops dropped. Tasks grow with the edges (counted first)."""
     w = F.col(weight) if weight else F.lit(1)
     both = edges.select(F.col(a).alias("a"), F.col(b).alias("b"), w.alias("weight")).union(edges.select(F.col(b), F.col(a), w))
-    return both.where("a <> b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
+    return dealt(both.where("a <> b"), 2 * edges.count(), "a", "b").groupBy("a", "b").agg(F.sum("weight").alias("weight"))
 
 
 def k_hop(edges: DataFrame, start: DataFrame, hops: int, a: str = "src", b: str = "dst") -> DataFrame:
@@ -21,7 +30,8 @@ def k_hop(edges: DataFrame, start: DataFrame, hops: int, a: str = "src", b: str
     Up to three hops are one plan of semi joins over the edges, which are kept once; more
     are rounds with a kept frontier that end early when nothing new is reached.
     """
-    both = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).distinct())
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a)))
+    both = materialize(dealt(both, 2 * edges.count(), "a", "b").distinct())
     if hops <= 3:
         front = start.select("node").distinct()
         seen = front.withColumn("hop", F.lit(0))
@@ -42,7 +52,8 @@ def k_hop(edges: DataFrame, start: DataFrame, hops: int, a: str = "src", b: str
 
 def shortest_path(edges: DataFrame, source: int, target: int, hops: int, a: str = "src", b: str = "dst") -> DataFrame:
     """(hop, node) of one shortest undirected path, no rows without one; of several parents the smallest is taken."""
-    both = materialize(edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a))).distinct())
+    both = edges.select(F.col(a).alias("a"), F.col(b).alias("b")).union(edges.select(F.col(b), F.col(a)))
+    both = materialize(dealt(both, 2 * edges.count(), "a", "b").distinct())
     spark = edges.sparkSession
     kind = both.schema["a"].dataType.simpleString()
     seen = spark.createDataFrame([(source, None, 0)], f"node {kind}, parent {kind}, hop int")
@@ -71,11 +82,13 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
     to the smallest label. Communities are named by their smallest member.
     """
     edges = materialize(edges)
+    n = edges.count()
     labels = materialize(edges.select(F.col("a").alias("node")).distinct().withColumn("label", F.col("node")))
     for _ in range(rounds):
-        votes = edges.join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", "weight")
+        votes = dealt(edges, n, "b").join(labels.select(F.col("node").alias("b"), "label"), "b").select(F.col("a").alias("node"), "label", "weight")
         own = labels.select("node", "label", F.lit(1).cast("double").alias("weight"))
-        tally = votes.select("node", "label", F.col("weight").cast("double").alias("weight")).union(own).groupBy("node", "label").agg(F.sum("weight").alias("w"))
+        tally = votes.select("node", "label", F.col("weight").cast("double").alias("weight")).union(own)
+        tally = dealt(tally, n, "node", "label").groupBy("node", "label").agg(F.sum("weight").alias("w"))
         new = materialize(tally.groupBy("node").agg(F.max_by("label", F.struct("w", -F.col("label"))).alias("label")))
         moved = new.join(labels.withColumnRenamed("label", "old"), "node").where("label <> old").isEmpty()
         labels = new
@@ -87,8 +100,9 @@ def label_propagation(edges: DataFrame, rounds: int = 10) -> DataFrame:
 
 def modularity(edges: DataFrame, communities: DataFrame, resolution: float = 1.0) -> DataFrame:
     """One row: modularity of (node, community) on undirected weighted edges (a, b, weight both ways)."""
-    c = communities
-    placed = edges.join(c.select(F.col("node").alias("a"), F.col("community").alias("ca")), "a").join(c.select(F.col("node").alias("b"), F.col("community").alias("cb")), "b")
+    c, n = communities, edges.count()
+    placed = dealt(edges, n, "a").join(dealt(c.select(F.col("node").alias("a"), F.col("community").alias("ca")), n, "a"), "a")
+    placed = dealt(placed, n, "b").join(dealt(c.select(F.col("node").alias("b"), F.col("community").alias("cb")), n, "b"), "b")
     per = placed.groupBy(F.col("ca").alias("community")).agg(F.sum("weight").alias("total"), F.sum(F.when(F.col("ca") == F.col("cb"), F.col("weight")).otherwise(0)).alias("inside"))
     all_weight = F.broadcast(edges.agg(F.sum("weight").alias("m2")))
     return per.crossJoin(all_weight).agg(F.sum(F.col("inside") / F.col("m2") - resolution * F.pow(F.col("total") / F.col("m2"), F.lit(2))).alias("modularity"))

@@ -6,13 +6,15 @@ from pyspark.sql import functions as F
 
 from ..functions import text as tx
 from ..operators import graph as gr
+from ..sources.storage import materialize
 from .registry import query, table
 
 _PAIR = "SELECT DISTINCT l_suppkey::BIGINT AS src, (1000000000 + l_partkey)::BIGINT AS dst FROM lineitem"
 
 
 def _edges(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_partkey") + 1000000000).cast("long").alias("dst")).agg(F.count("*").alias("weight"))
+    """One edge a line item; the operators fold parallel ones."""
+    return table(spark, d, "lineitem").select(F.col("l_suppkey").cast("long").alias("src"), (F.col("l_partkey") + 1000000000).cast("long").alias("dst"))
 
 
 @query(r"WITH t AS (SELECT doc_id, unnest(list_distinct(list_filter(regexp_extract_all(lower(text), '[\p{L}\p{Mn}\p{Nd}\p{Pc}]+'), lambda x: length(x) > 2))) AS name FROM documents), c AS (SELECT count(*) AS total FROM documents), f AS (SELECT name, count(*) AS mentions FROM t GROUP BY 1) SELECT name, mentions, round(least(0.9, 0.4 + 0.05 * ln(total / mentions)), 6) AS confidence, 'technology' AS kind FROM f, c WHERE ln(total / mentions) >= 3.5 AND mentions >= 3")
@@ -32,7 +34,7 @@ def kg7_entity_ids(spark, d):
 
 @query("WITH e AS (SELECT l_suppkey::BIGINT AS a, (1000000000 + l_partkey)::BIGINT AS b, count(*) AS w FROM lineitem GROUP BY ALL) SELECT a, b, w AS weight FROM e UNION ALL SELECT b, a, w FROM e")
 def kg9_adjacency(spark, d):
-    return gr.undirected(_edges(spark, d))
+    return gr.undirected(_edges(spark, d), weight=None)
 
 
 @query(f"WITH RECURSIVE e AS ({_PAIR}), u AS (SELECT src AS a, dst AS b FROM e UNION SELECT dst, src FROM e), h(node, hop) AS (SELECT 7::BIGINT, 0 UNION SELECT b, hop + 1 FROM h JOIN u ON a = node WHERE hop < 2) SELECT node, min(hop) AS hop FROM h GROUP BY 1")
@@ -69,12 +71,12 @@ def kg18_entity_detail(spark, d):
 
 @query()
 def kg10_communities(spark, d):
-    return gr.label_propagation(gr.undirected(_edges(spark, d)), 5)
+    return gr.label_propagation(gr.undirected(_edges(spark, d), weight=None), 5)
 
 
 @query("WITH e AS (SELECT l_suppkey::BIGINT AS a, (1000000000 + l_partkey)::BIGINT AS b, count(*) AS w FROM lineitem GROUP BY ALL), u AS (SELECT a, b, w FROM e UNION ALL SELECT b, a, w FROM e), m AS (SELECT sum(w) AS m2 FROM u), p AS (SELECT a % 5 AS c, sum(w) AS total, sum(CASE WHEN a % 5 = b % 5 THEN w ELSE 0 END) AS inside FROM u GROUP BY 1) SELECT round(sum(inside / m2 - pow(total / m2, 2)), 6) AS modularity FROM p, m")
 def kg11_modularity(spark, d):
-    both = gr.undirected(_edges(spark, d))
+    both = materialize(gr.undirected(_edges(spark, d), weight=None))
     placed = both.select(F.col("a").alias("node")).distinct().withColumn("community", F.col("node") % 5)
     return gr.modularity(both, placed).select(F.round("modularity", 6).alias("modularity"))
 
