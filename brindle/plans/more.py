@@ -9,6 +9,7 @@ from ..functions import text as tx
 from ..operators import folds
 from ..operators import store as st
 from .registry import query, table
+from .relational import order_pairs
 
 
 @query("SELECT * FROM orders WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_mktsegment = 'BUILDING')")
@@ -169,9 +170,7 @@ def r28_related_entities(spark, d):
 def kg5_cooccurrence_edges(spark, d):
     kept = table(spark, d, "supplier").where("s_acctbal > 0").select("s_suppkey")
     lines = table(spark, d, "lineitem").join(kept, F.col("l_suppkey") == F.col("s_suppkey"), "left_semi")
-    sets = lines.groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("m"))
-    pairs = sets.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("n")).where("n >= 2").orderBy(F.desc("n"), "a", "b").limit(500)
+    return order_pairs(lines).where("n >= 2").orderBy(F.desc("n"), "a", "b").limit(500)
 
 
 @query("SELECT p_partkey, CASE WHEN contains(p_type, 'STEEL') THEN 'code' WHEN contains(p_type, 'BRASS') THEN 'concept' ELSE 'technology' END AS kind FROM part")

@@ -9,6 +9,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..functions import text as tx
+from ..operators import graph as gr
 from .registry import query, table
 
 
@@ -21,7 +22,8 @@ _EDGES = "e AS (SELECT DISTINCT l_suppkey AS s, l_partkey AS t, count(*) OVER (P
 
 
 def _edges(spark, d):
-    return table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t")).agg(F.count("*").alias("weight"))
+    lines = table(spark, d, "lineitem").select(F.col("l_suppkey").alias("s"), F.col("l_partkey").alias("t"))
+    return gr.dealt(lines, lines.count(), "s", "t").groupBy("s", "t").agg(F.count("*").alias("weight"))
 
 
 @query(f"WITH {_EDGES} SELECT s, t, weight, s_name, p_name FROM e JOIN supplier ON s_suppkey = s JOIN part ON p_partkey = t WHERE s = 5 OR t = 5")
@@ -61,9 +63,16 @@ def j6_relationships_of_top3(spark, d):
 @query("SELECT a.l_suppkey AS a, b.l_suppkey AS b, count(DISTINCT a.l_orderkey) AS shared FROM lineitem a JOIN lineitem b ON a.l_orderkey = b.l_orderkey AND a.l_suppkey < b.l_suppkey GROUP BY ALL HAVING shared >= 3")
 def j8_cooccurrence(spark, d):
     """Pairs inside an order: an order has seven lines at most, so its pairs are few."""
-    sets = table(spark, d, "lineitem").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("m"))
+    return order_pairs(table(spark, d, "lineitem")).withColumnRenamed("n", "shared").where("shared >= 3")
+
+
+def order_pairs(lines):
+    """(a, b, n): suppliers a < b and the orders of both; an order of seven lines has 21 pairs, three a line."""
+    lines = lines.select("l_orderkey", "l_suppkey")
+    n = lines.count()
+    sets = gr.dealt(lines, n, "l_orderkey").groupBy("l_orderkey").agg(F.array_sort(F.collect_set("l_suppkey")).alias("m"))
     pairs = sets.select(F.posexplode("m").alias("i", "a"), "m").select("a", F.explode(F.slice("m", F.col("i") + 2, F.size("m"))).alias("b"))
-    return pairs.groupBy("a", "b").agg(F.count("*").alias("shared")).where("shared >= 3")
+    return gr.dealt(pairs, 3 * n, "a", "b").groupBy("a", "b").agg(F.count("*").alias("n"))
 
 
 #: Rows with the lists of their peers that a task takes.
@@ -156,7 +165,9 @@ def a1_table_counts(spark, d):
 @query(f"WITH {_EDGES}, v AS (SELECT s AS n FROM e UNION SELECT 100000 + t FROM e) SELECT (SELECT count(*) FROM supplier) + (SELECT count(*) FROM part) AS nodes, (SELECT count(*) FROM e) AS edges, (SELECT count(*) FROM v) AS connected, round(100.0 * (SELECT count(*) FROM v) / ((SELECT count(*) FROM supplier) + (SELECT count(*) FROM part)), 4) AS coverage")
 def a2_graph_stats(spark, d):
     e = _edges(spark, d)
-    v = e.select(F.col("s").alias("n")).union(e.select(F.col("t") + 100000)).distinct().agg(F.count("*").alias("connected"))
+    l = table(spark, d, "lineitem")
+    v = l.select(F.col("l_suppkey").alias("n")).distinct().union(l.select(F.col("l_partkey") + 100000).distinct())
+    v = gr.dealt(v, l.count(), "n").distinct().agg(F.count("*").alias("connected"))
     nodes = table(spark, d, "supplier").select("s_suppkey").union(table(spark, d, "part").select("p_partkey")).agg(F.count("*").alias("nodes"))
     return nodes.crossJoin(F.broadcast(e.agg(F.count("*").alias("edges")))).crossJoin(F.broadcast(v)).withColumn("coverage", F.round(100.0 * F.col("connected") / F.col("nodes"), 4))
 
