@@ -2,6 +2,11 @@
 
 from __future__ import annotations
 
+import heapq
+import math
+from collections import Counter
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as W
@@ -28,20 +33,68 @@ def budget_chunks(docs: DataFrame, doc_id: str, text: str, budget: int, separato
     return docs.where(F.col(text).isNotNull()).select(doc_id, F.posexplode(folded).alias("chunk", "text"))
 
 
+#: Characters of the texts of a block.
+BLOCK_CHARS = 8_000_000
+
+
+def by_frequency(docs: DataFrame, doc_id: str, text: str, least_length: int, run: Callable, schema: str, least: int = 1) -> DataFrame:
+    """What run makes of each document's words and their document frequencies.
+
+    run(counts, df) gets a document's term counts and the frequencies of the terms in its
+    block, of those in at least so many documents, and gives the rows after doc_id.
+    Whole texts are dealt once to blocks by document; a block asks for each of its terms
+    once, so that no row of a document and a term is shuffled. Blocks grow with the texts
+    (counted first).
+    """
+    rows = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("t"))
+    chars = rows.agg(F.sum(F.length("t"))).first()[0] or 0
+    n = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-chars // BLOCK_CHARS))
+    own = rows.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block").select("block", "doc_id", tx.tokens(F.col("t"), least_length).alias("w"))
+    once = own.select("block", "doc_id", F.explode(F.array_distinct("w")).alias("term")).groupBy("block", "doc_id", "term").agg(F.lit(1).alias("x"))
+    here = once.groupBy("block", "term").agg(F.count("*").alias("c"))
+    df = here.groupBy("term").agg(F.sum("c").alias("df")).where(F.col("df") >= least)
+    asked = here.select(F.col("block").alias("at"), "term").join(df, "term")
+
+    def block(texts: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        frequency = dict(zip(known["term"], known["df"], strict=True))
+        out = []
+        for k, words in texts.groupby("doc_id", dropna=False)["w"]:
+            counts = Counter(w for x in words for w in x)
+            out += [(k, *r) for r in run(counts, frequency)] if counts else []
+        return pd.DataFrame(out, columns=["doc_id", *names])
+
+    names = [x.split()[0] for x in schema.split(", ")]
+    return own.groupBy("block").cogroup(asked.groupBy("at")).applyInPandas(block, f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, {schema}")
+
+
 def tfidf(docs: DataFrame, doc_id: str, text: str, top: int) -> DataFrame:
     """(doc_id, term, score): the most distinctive terms of each document by tf ln(N / df); ties by the term.
 
-    Frequencies are counted inside each row; a term's rows meet once for its df.
+    A block gives the terms that are among a document's best before scores are rounded, all equal ones too.
     """
-    words = docs.select(F.col(doc_id).alias("doc_id"), tx.tokens(F.col(text)).alias("w"))
-    tf = words.select("doc_id", F.explode("w").alias("term")).groupBy("doc_id", "term").agg(F.count("*").alias("tf"))
-    df = tf.groupBy("term").agg(F.count("*").alias("df"))
-    total = F.broadcast(docs.agg(F.count("*").alias("total")))
-    scored = tf.join(df, "term").crossJoin(total).select("doc_id", "term", F.round(F.col("tf") * F.log(F.col("total") / F.col("df")), 6).alias("score"))
+    total = docs.count()
+
+    def best(counts: Counter, frequency: dict) -> list[tuple]:
+        found = [(n * math.log(total / frequency[w]), w, n, frequency[w]) for w, n in counts.items()]
+        floor = heapq.nlargest(top, (x[0] for x in found))[-1] - 1e-5
+        return [x[1:] for x in found if x[0] >= floor]
+
+    found = by_frequency(docs, doc_id, text, 2, best, "term string, tf long, df long")
+    scored = found.select("doc_id", "term", F.round(F.col("tf") * F.log(F.lit(total) / F.col("df")), 6).alias("score"))
     w = W.partitionBy("doc_id").orderBy(F.desc("score"), "term")
     return scored.withColumn("n", F.row_number().over(w)).where(F.col("n") <= top).select("doc_id", "term", "score")
 
 
+def known_share(docs: DataFrame, doc_id: str, text: str, least: int) -> DataFrame:
+    """(doc_id, known_share): the share of a document's words that so many documents use; none for documents without words."""
+
+    def share(counts: Counter, frequency: dict) -> list[tuple]:
+        return [(sum(n for w, n in counts.items() if w in frequency), sum(counts.values()))]
+
+    found = by_frequency(docs, doc_id, text, 1, share, "known long, words long", least)
+    return found.select("doc_id", F.round(F.col("known") / F.col("words"), 6).alias("known_share"))
+
+
 def jaro_winkler(a: str, b: str, prefix_scale: float = 0.1) -> float:
     """Whole transpositions count by halves, rounded down."""
     if a == b:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from ..functions import text as tx
 from ..functions import vector as vx
 from ..operators import rank as rk
+from ..operators import texts as ops
 from ..operators import waves
 from .registry import query, table
 from .retrieval import QUERY
@@ -109,10 +110,8 @@ def c9_signal_boost(spark, d):
 
 @query(r"WITH w AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[\p{L}\p{Mn}\p{Nd}\p{Pc}]+')) AS word FROM documents), k AS (SELECT word FROM w GROUP BY 1 HAVING count(DISTINCT doc_id) >= 10) SELECT doc_id, round(count(k.word) / count(*), 6) AS known_share FROM w LEFT JOIN k USING (word) GROUP BY 1")
 def m12_spell_check_ratio(spark, d):
-    """Share of words that ten documents or more use; words are folded by document before they meet their counts."""
-    w = table(spark, d, "documents").select("doc_id", F.explode(tx.tokens(F.col("text"), 1)).alias("word")).groupBy("doc_id", "word").agg(F.count("*").alias("n"))
-    known = w.groupBy("word").agg(F.count("*").alias("docs")).where("docs >= 10").select("word", F.lit(1).alias("known"))
-    return w.join(known, "word", "left").groupBy("doc_id").agg(F.round(F.sum(F.when(F.col("known") == 1, F.col("n")).otherwise(0)) / F.sum("n"), 6).alias("known_share"))
+    """Share of words that ten documents or more use."""
+    return ops.known_share(table(spark, d, "documents"), "doc_id", "text", 10)
 
 
 @query("SELECT user_id || '_' || event_type AS image_id, event_id, event_type AS key, value FROM events")
