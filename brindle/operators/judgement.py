@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import functools
+import operator
+import re
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -18,11 +22,60 @@ DOCUMENT_TYPES = {
 }
 
 
+#: Words of lower-case texts: what lies between ASCII characters that are no word's, so that what comes before and after decides nothing.
+_BETWEEN = r"[\x00-/:-@\[-^`{-\x7F]+"
+#: Patterns of whole words alone, each with its words.
+_WHOLE = {p: [x for w in m[1].split("|") for x in ((w[:-2], w[:-1]) if w.endswith("?") else (w,))] for kind in DOCUMENT_TYPES.values() for p, _ in kind if (m := re.fullmatch(r"\\b\(((?:[a-z_]+\??\|?)+)\)\\b", p))}
+_WORDS = sorted({w for own in _WHOLE.values() for w in own})
+#: The other patterns with what a text needs for them: runs of a to z, one of which it has, or single marks and parts; fixed values.
+_NEEDS = {
+    r"\b(he|she|they)\s+(walked|ran|looked|felt|thought)\b": "walked ran looked felt thought", r"\b(chapter|prologue|epilogue)\s*\d*\b": "chapter prologue epilogue", r"[\"'][^\"']{20,}[\"']": "\" '", r"\b(mr\.|mrs\.|miss|lady|lord|sir)\s+[a-z]+\b": "mr mrs miss lady lord sir",
+    r"```|\bcode\b|`[^`]+`": "code `", r"\b(version|v\d+\.\d+|release)\b": "version v release", r"\b(flip.?flop|latch|register|counter|decoder|multiplexer|mux)\b": "*flop latch register counter decoder multiplexer mux", r"\b(logic gate|and gate|or gate|nand|nor|xor|inverter)\b": "gate nand nor xor inverter",
+    r"\b(timing|propagation delay|setup time|hold time)\b": "timing delay setup hold", r"\b(truth table|karnaugh|boolean algebra|state machine|fsm)\b": "truth karnaugh algebra machine fsm", r"\b(dom|virtual dom|render|mount|unmount)\b": "dom render mount unmount",
+    r"\([a-z]+,?\s*\d{4}\)": "(", r"\b(et al\.?|ibid|op\.?\s*cit)\b": "al ibid cit opcit", r"\b(figure|table|appendix)\s*\d+": "figure table appendix",
+    r"\b(executive summary|overview|objectives|deliverables)\b": "executive overview objectives deliverables", r"\b(q[1-4]|fy\d{2,4}|fiscal|quarter)\b": "q fy fiscal quarter",
+    r"\b(shall|must|may not|is prohibited)\b": "shall must may prohibited", r"\b(section|article|paragraph)\s*\d+": "section article paragraph", r"\b(reported|announced|according to|sources say)\b": "reported announced according sources",
+    r"\b(step\s*\d+|first,?|next,?|then,?|finally)\b": "step first next then finally", r"\b(how to|guide|tutorial|learn|example)\b": "how guide tutorial learn example", r"\b(tip|note|warning|important|see also)\b": "tip note warning important also", r"\b(definition|overview|summary|quick\s*start)\b": "definition overview summary start quickstart", r"\b(faq|frequently asked|common questions)\b": "faq frequently common",
+}
+_RUNS = sorted({w for needs in _NEEDS.values() for w in needs.split() if w.isalpha()})
+
+
+def _read(low: Column) -> Column:
+    """struct(low, words, runs): a lower-case text, its words that a pattern of whole words can fit, a line each, and its runs of letters that another pattern needs."""
+    # of the words with other than ASCII characters only those with more than letters and digits can hold one of ASCII letters
+    fits = lambda t: t.isin(_WORDS) | ((F.octet_length(t) > F.length(t)) & t.rlike(r"[^\p{L}\p{Nd}_]") & t.rlike(rf"\b(?:{'|'.join(_WORDS)})\b"))
+    words = F.array_join(F.filter(F.split(low, _BETWEEN), fits), "\n")
+    return F.struct(low.alias("low"), words.alias("words"), F.array_distinct(F.filter(F.split(low, "[^a-z]+"), lambda t: t.isin(_RUNS))).alias("runs"))
+
+
+def _may_hold(read: Column, p: str) -> Column:
+    needs = _NEEDS[p].split()
+    runs, parts = [w for w in needs if w.isalpha()], [w.lstrip("*") for w in needs if not w.isalpha()]
+    return functools.reduce(operator.or_, ([F.arrays_overlap(read["runs"], F.array(*map(F.lit, runs)))] if runs else []) + [F.contains(read["low"], F.lit(x)) for x in parts])
+
+
+def _count(read: Column, p: str, most: int) -> Column:
+    if p in _WHOLE:
+        return F.when(read["words"] == "", 0).otherwise(F.least(F.regexp_count(read["words"], F.lit(p)), F.lit(most)))
+    whole = F.least(F.regexp_count(read["low"], F.lit(p)), F.lit(most))
+    return F.when(_may_hold(read, p), whole).otherwise(0) if p in _NEEDS else whole
+
+
 def document_scores(text: Column, headings: Column) -> Column:
-    """array of struct(score, at, type): every type's weighted pattern counts, at most three a pattern, and half a weight for a pattern in the headings."""
-    low, heads = F.lower(text), F.lower(headings)
-    scores = [sum((F.lit(w) * F.least(F.regexp_count(low, F.lit(p)), F.lit(3)) + F.when(heads.rlike(p), F.lit(w * 0.5)).otherwise(0.0) for p, w in patterns), F.lit(0.0)) for patterns in DOCUMENT_TYPES.values()]
-    return F.array(*[F.struct(F.round(s, 9).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("type")) for i, (name, s) in enumerate(zip(DOCUMENT_TYPES, scores, strict=True))])
+    """array of struct(score, at, type): every type's weighted pattern counts, at most three a pattern, and half a weight for a pattern in the headings.
+
+    A text is cut into words once. Patterns of whole words then read only the words that one
+    of them names; the others read the text where it has what they need. No count changes.
+    """
+
+    def scores(both: Column) -> Column:
+        sums = [sum((F.lit(w) * _count(both["text"], p, 3) + F.when(_count(both["heads"], p, 1) > 0, F.lit(w * 0.5)).otherwise(0.0) for p, w in patterns), F.lit(0.0)) for patterns in DOCUMENT_TYPES.values()]
+        return F.array(*[F.struct(F.round(s, 9).alias("score"), F.lit(-i).alias("at"), F.lit(name).alias("type")) for i, (name, s) in enumerate(zip(DOCUMENT_TYPES, sums, strict=True))])
+
+    # the lambdas' variables hold each text and what was read of it once
+    low = F.array(F.struct(F.lower(F.coalesce(text, F.lit(""))).alias("text"), F.lower(F.coalesce(headings, F.lit(""))).alias("heads")))
+    read = F.transform(low, lambda x: F.struct(_read(x["text"]).alias("text"), _read(x["heads"]).alias("heads")))
+    return F.get(F.transform(read, scores), F.lit(0))
 
 
 def document_type(rows: Column) -> Column:
