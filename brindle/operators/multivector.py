@@ -138,25 +138,42 @@ def mmr_top(segments: DataFrame, group: str, key: str, vector: str, weight: str,
 #: Sentences that are kept whatever their score: shares, amounts, duties, warnings; fixed pattern.
 BINDING = r"(?i)\b(\d+%|\$\d+|must\s+\w|shall\s+\w|should\s+\w|warning|caution|important:|note:|require[sd]?\s)\b"
 
+#: What a binding sentence has at least, in lower case; fixed values.
+BINDING_PARTS = ["%", "$", "must", "shall", "should", "warning", "caution", "important:", "note:", "require"]
 
-def guaranteed(segments: DataFrame) -> DataFrame:
-    """segments (doc_id, n, type, heading, level, text) that a filter may not drop, with the reason.
 
-    Headings below 100 characters of the first three levels, the first and last sentence of a
-    section, binding sentences, the first five quotes, and each section's first code block.
-    """
+def binding(text: Column) -> Column:
+    """Whether a sentence fits BINDING, which is only tried where the sentence has a part of it."""
+    low = F.lower(text)
+    parts = F.contains(low, F.lit(BINDING_PARTS[0]))
+    for part in BINDING_PARTS[1:]:
+        parts = parts | F.contains(low, F.lit(part))
+    return parts & text.rlike(BINDING)
+
+
+def _reasons(segments: DataFrame) -> DataFrame:
+    """segments with the reason for which a filter may not drop them, if any."""
     by = ["doc_id", "heading", "type"]
-    first, last = F.row_number().over(W.partitionBy(*by).orderBy("n")), F.row_number().over(W.partitionBy(*by).orderBy(F.desc("n")))
+    own = W.partitionBy(*by)
     quote = F.row_number().over(W.partitionBy("doc_id", "type").orderBy("n"))
-    placed = segments.withColumns({"_first": first, "_last": last, "_quote": quote})
+    placed = segments.withColumns({"_first": F.min("n").over(own), "_last": F.max("n").over(own), "_quote": quote})
     kind = F.col("type")
-    named = F.col("heading") != ""
+    named, first, last = F.col("heading") != "", F.col("n") == F.col("_first"), F.col("n") == F.col("_last")
     reason = (
         F.when((kind == "heading") & (F.length("text") < 100) & (F.col("level") <= 3), "heading")
-        .when((kind == "sentence") & named & (F.col("_first") == 1), "first").when((kind == "sentence") & named & (F.col("_last") == 1), "last")
-        .when((kind == "sentence") & F.col("text").rlike(BINDING), "binding").when((kind == "quote") & (F.col("_quote") <= 5), "quote").when((kind == "code") & named & (F.col("_first") == 1), "code")
+        .when((kind == "sentence") & named & first, "first").when((kind == "sentence") & named & last, "last")
+        .when((kind == "sentence") & binding(F.col("text")), "binding").when((kind == "quote") & (F.col("_quote") <= 5), "quote").when((kind == "code") & named & first, "code")
     )
-    return placed.withColumn("reason", reason).where("reason is not null").drop("_first", "_last", "_quote")
+    return placed.withColumn("reason", reason).drop("_first", "_last", "_quote")
+
+
+def guaranteed(segments: DataFrame) -> DataFrame:
+    """segments (doc_id, n, type, heading, level, text) that a filter may not drop, with the reason.
+
+    Headings below 100 characters of the first three levels, the first and last sentence of a
+    section, binding sentences, the first five quotes, and each section's first code block.
+    """
+    return _reasons(segments).where("reason is not null")
 
 
 #: Words that a pseudo-query leaves out; fixed values.
@@ -170,15 +187,23 @@ def prefilter(segments: DataFrame, keep: int, terms: int = 30) -> DataFrame:
     segments that are in under 80 % of them; a segment's score is the sum of the terms'
     weights that it holds. A section gives at most max(10, keep / sections). Ties by place.
     """
-    words = segments.select("doc_id", "n", F.explode(F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[\p{L}\p{Mn}\p{Nd}\p{Pc}]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP))).alias("term"))
-    tf = words.groupBy("doc_id", "n", "term").agg(F.count("*").alias("tf"))
-    sizes = segments.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_distinct("heading").alias("sections"))
-    per = tf.groupBy("doc_id", "term").agg(F.sum("tf").alias("tf"), F.count("*").alias("df")).join(sizes, "doc_id").where(F.col("df") < 0.8 * F.col("segments"))
+    from ..sources.storage import materialize
+
+    words = F.filter(F.regexp_extract_all(F.lower("text"), F.lit(r"[a-z\p{L}\p{Mn}\p{Nd}\p{Pc}]+"), F.lit(0)), lambda w: (F.length(w) > 2) & ~w.isin(STOP))
+    own = materialize(_reasons(segments).select("doc_id", "n", "heading", "reason", F.array_join(F.sort_array(words), " ").alias("words"))).repartition("doc_id")
+    # a segment's words are one sorted string, which is a third of an array, and go to their document's task before they become rows; the first of each kind counts the segment
+    split = own.where("words <> ''").select("doc_id", F.split("words", " ").alias("words"))
+    marked = F.transform("words", lambda w, i: F.struct(w.alias("term"), F.when(i == 0, 1).when(F.get("words", i - 1) != w, 1).otherwise(0).alias("new")))
+    counts = split.select("doc_id", F.explode(marked).alias("x")).groupBy("doc_id", F.col("x.term").alias("term")).agg(F.count("*").alias("tf"), F.sum("x.new").alias("df"))
+    sizes = own.groupBy("doc_id").agg(F.count("*").alias("segments"), F.count_distinct("heading").alias("sections"))
+    per = counts.join(sizes, "doc_id").where(F.col("df") < 0.8 * F.col("segments"))
     weight = F.round(F.col("tf") * F.log(F.col("segments") / (F.col("df") + 1)), 9)
-    query = per.withColumn("weight", weight).withColumn("at", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))).where(F.col("at") <= terms).select("doc_id", "term", "weight")
-    scores = tf.join(query, ["doc_id", "term"]).groupBy("doc_id", "n").agg(F.round(F.sum("weight"), 6).alias("score"))
-    sure = guaranteed(segments).select("doc_id", "n", "reason")
-    scored = segments.select("doc_id", "n", "heading").join(scores, ["doc_id", "n"], "left").join(sizes, "doc_id").join(sure, ["doc_id", "n"], "left").withColumn("score", F.coalesce("score", F.lit(0.0)))
+    best = per.withColumn("weight", weight).withColumn("at", F.row_number().over(W.partitionBy("doc_id").orderBy(F.desc("weight"), "term"))).where(F.col("at") <= terms)
+    query = sizes.join(best.groupBy("doc_id").agg(F.collect_list(F.struct("term", "weight")).alias("query")), "doc_id", "left")
+    # a document's query is one short row, so that its segments are scored where they are
+    held = F.filter("query", lambda q: F.contains(F.concat(F.lit(" "), "words", F.lit(" ")), F.concat(F.lit(" "), q["term"], F.lit(" "))))
+    score = F.round(F.aggregate(held, F.lit(0.0), lambda a, q: a + q["weight"]), 6)
+    scored = own.join(query, "doc_id").select("doc_id", "n", "heading", "reason", "sections", F.coalesce(score, F.lit(0.0)).alias("score"))
     cap = F.greatest(F.lit(10), F.floor(F.lit(keep) / F.greatest(F.col("sections"), F.lit(1))))
     inside = F.row_number().over(W.partitionBy("doc_id", "heading").orderBy(F.desc("score"), "n"))
     held = scored.withColumn("inside", inside).where(F.col("reason").isNotNull() | (F.col("inside") <= cap))

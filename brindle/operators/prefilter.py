@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 
 from ..functions import vector as vx
 from ..sources.storage import materialize
-from .multivector import BINDING, STOP
+from .multivector import STOP
+from .multivector import binding as binding_text
 
 # Fixed values.
 CODE_WORDS = ["dockerfile", "docker", "from ", "run ", "copy ", "cmd ", "entrypoint", "compose", "services:", "dotnet", "npm", "apt-get", "pip"]
@@ -70,7 +71,7 @@ def guaranteed(placed: DataFrame) -> DataFrame:
     spread = sentences.join(many, "doc_id", "left_semi").withColumns({"at": _number(by, "n") - 1, "sentences": F.count("*").over(W.partitionBy("doc_id"))})
     step = F.greatest(F.lit(1), F.floor(F.col("sentences") / SPREAD))
     even = spread.where((F.col("at") % step == 0) & (F.col("heads") + F.floor(F.col("at") / step) < most)).select("doc_id", "n")
-    binding = sentences.where(F.col("text").rlike(BINDING)).select("doc_id", "n")
+    binding = sentences.where(binding_text(F.col("text"))).select("doc_id", "n")
     quotes = placed.where(kind == "quote").withColumn("k", _number(by, "n")).where(F.col("k") <= MOST_QUOTES).select("doc_id", "n")
     code = placed.where(kind == "code")
     tools = sum((F.contains(low, F.lit(w)).cast("int") for w in CODE_WORDS), F.lit(0)) > 0
