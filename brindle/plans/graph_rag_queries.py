@@ -10,6 +10,7 @@ from ..operators import communities as cm
 from ..operators import graph as gr
 from ..operators import graph_rag as rag
 from ..operators import rank as rk
+from ..sources.storage import materialize
 from .registry import query, table
 from .retrieval import TERMS, _BM25
 
@@ -29,7 +30,7 @@ def _graph(spark, d):
     docs = table(spark, d, "documents")
     words = docs.select(F.col("doc_id").alias("chunk_id"), "lang", F.explode(F.array_distinct(tx.tokens(F.col("text"), 8))).alias("entity"))
     rare = words.groupBy("entity").agg(F.count("*").alias("n")).where("n between 3 and 30")
-    mentions = words.join(rare.select("entity"), "entity").select("chunk_id", "entity", "lang")
+    mentions = materialize(words.join(rare.select("entity"), "entity").select("chunk_id", "entity", "lang"))  # every part of the graph reads them again
     pairs = mentions.select(F.col("entity").alias("source"), F.lead("entity").over(W.partitionBy("chunk_id").orderBy("entity")).alias("target")).where("target is not null")
     relations = pairs.groupBy("source", F.lit("next_to").alias("relation"), "target").agg(F.count("*").alias("weight"))
     most = mentions.where("lang is not null").groupBy("entity", "lang").agg(F.count("*").alias("c")).groupBy("entity").agg(F.min_by("lang", F.struct(-F.col("c"), "lang")).alias("community"))
@@ -44,7 +45,8 @@ _LOCAL = f"""{_BM25}, {_GRAPH}, hit AS (SELECT doc_id, round(score, 6) AS score
 
 
 def _hits(spark, d):
-    return rk.top_k(rk.bm25(table(spark, d, "documents"), TERMS).select("doc_id", F.round("score", 6).alias("score")), 5, "score", "doc_id").withColumnRenamed("doc_id", "chunk_id")
+    """The five best documents, found once: texts, names and relations are joined to them."""
+    return materialize(rk.top_k(rk.bm25(table(spark, d, "documents"), TERMS).select("doc_id", F.round("score", 6).alias("score")), 5, "score", "doc_id").withColumnRenamed("doc_id", "chunk_id"))
 
 
 def _local(spark, d, mentions, relations):
@@ -69,7 +71,7 @@ def kg14_chunk_contexts(spark, d):
 def kg13_three_modes(spark, d):
     """Three questions, each answered in the mode that its words choose."""
     mentions, relations, communities = _graph(spark, d)
-    local = _local(spark, d, mentions, relations)
+    local, communities = materialize(_local(spark, d, mentions, relations)), materialize(communities)  # two of the modes read each
     answers = {"local": local, "global": rag.global_search(["tion", "ung"], communities), "drift": rag.drift_search(local, communities)}
     out = None
     for question in ("what is in the texts", "what topics are there", "how do they relate"):
