@@ -36,7 +36,8 @@ def canonical_hash(text: Column) -> Column:
 
 def sentences(text: Column, min_length: int = 1) -> Column:
     """Cut after . ! ? followed by white space; trimmed; shorter ones left out."""
-    cut = F.transform(F.split(text, r"(?<=[.!?])[ \t\n\x0B\f\r]+"), lambda s: F.trim(s))
+    # white space comes first, so that a look behind is taken there only
+    cut = F.transform(F.split(text, r"[ \t\n\x0B\f\r](?<=[.!?][ \t\n\x0B\f\r])[ \t\n\x0B\f\r]*"), lambda s: F.trim(s))
     return F.filter(cut, lambda s: F.length(s) >= min_length)
 
 

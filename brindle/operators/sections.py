@@ -6,11 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-_ENDS = r"^[ \t\r\n]+|[ \t\r\n]+$"
-
-
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, _ENDS, "")
+    return F.btrim(text, F.lit(" \t\r\n"))
 
 
 def heading_level(line: Column) -> Column:
@@ -105,7 +102,7 @@ def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     by_doc = W.partitionBy("doc_id").orderBy("i")
     lines = docs.where(F.col(text).isNotNull()).select(F.col(doc_id).alias("doc_id"), F.posexplode(F.split(text, "\n")).alias("i", "line"))
     fence = F.col("line").rlike("^[ \\t]*```")
-    lines = lines.withColumn("fence", fence).withColumn("fences", F.sum(F.when(fence, 1).otherwise(0)).over(by_doc))
+    lines = lines.withColumn("fence", fence).withColumn("fences", F.sum(F.when(F.col("fence"), 1).otherwise(0)).over(by_doc))
     code = F.col("fence") | (F.col("fences") % 2 == 1)
     kind = (
         F.when(code, "code").when(heading_level(F.col("line")) > 0, "heading").when(F.col("line").rlike("^[ \\t]*>"), "quote")
@@ -126,14 +123,15 @@ def segments(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least:
     order = F.coalesce(*[F.when(F.col("type") == t, F.lit(i)) for i, t in enumerate(WEIGHTS)])
     title = (F.col("type") == "heading") & (F.col("under.level") == 1) & (F.col("sec") == 1) & (F.col("before") == 0)
     by_place = W.partitionBy("doc_id").orderBy("sec", "order", "block", "part")
-    fits = F.when(F.col("type") == "code", F.length("text") >= least_code).otherwise(F.length("text") >= least)
-    rows = rows.withColumn("order", order).withColumn("fits", fits)
+    fits = F.when(F.col("type") == "code", F.col("chars") >= least_code).otherwise(F.col("chars") >= least)
+    rows = rows.withColumns({"order": order, "chars": F.length("text")}).withColumn("fits", fits)
     rows = rows.withColumn("before", F.sum(F.when(F.col("fits"), 1).otherwise(0)).over(by_place) - F.when(F.col("fits"), 1).otherwise(0)).withColumn("title", title).where("fits or (title and text <> '')")
-    cut = F.when((F.col("type") == "code") & (F.length("text") > most_code), F.concat(F.substring("text", 1, most_code), F.lit("..."))).otherwise(F.col("text"))
-    rows = rows.withColumn("text", cut)
+    long = (F.col("type") == "code") & (F.col("chars") > most_code)
+    cut = F.when(long, F.concat(F.substring("text", 1, most_code), F.lit("..."))).otherwise(F.col("text"))
+    rows = rows.withColumns({"text": cut, "chars": F.when(long, most_code + 3).otherwise(F.col("chars"))})
     weight = F.when(F.col("title"), F.lit(TITLE_WEIGHT)).otherwise(F.coalesce(*[F.when(F.col("type") == t, F.lit(EXPOSITORY_CODE if expository and t == "code" else w)) for t, w in WEIGHTS.items()]))
-    end = F.sum(F.length("text") + 1).over(by_place) - 1
-    numbered = rows.select("doc_id", F.row_number().over(by_place).alias("n"), "type", F.coalesce("under.heading", F.lit("")).alias("heading"), F.coalesce("under.level", F.lit(0)).alias("level"), "text", (end - F.length("text")).alias("start_char"), end.alias("end_char"), weight.alias("weight"))
+    end = F.sum(F.col("chars") + 1).over(by_place) - 1
+    numbered = rows.select("doc_id", F.row_number().over(by_place).alias("n"), "type", F.coalesce("under.heading", F.lit("")).alias("heading"), F.coalesce("under.level", F.lit(0)).alias("level"), "text", (end - F.col("chars")).alias("start_char"), end.alias("end_char"), weight.alias("weight"))
     return numbered
 
 

@@ -140,3 +140,20 @@ def test_prefilter_by_plain_loops(spark, vectors):
         assert {d: sorted(x.items()) for d, x in got.items()} == {d: sorted(x.items()) for d, x in want.items()}
     reasons = {v for x in want.values() for v in x.values()} | {v for d, s in docs.items() for v in brute(s, 110, 20, vectors).values()}
     assert reasons == {"all", "guaranteed", "sample", "score", "fill"}
+
+
+def test_f24_words_are_not_shuffled(spark, monkeypatch):
+    """Texts go to their document's task, where their words become rows: no plan deals out a word. Segments without a heading (null) and documents of headings alone are whole."""
+    frames, kept = [], pf.materialize
+    monkeypatch.setattr(pf, "materialize", lambda df: (frames.append(df), kept(df))[1])
+    rng = random.Random(24)
+    docs = {1: document(rng, 120, 5), 2: document(rng, 45, 0), 3: document(rng, 150, 40), 4: [(n, "heading", f"Part {n % 7} of all", 5, f"Part {n % 7} of all", None) for n in range(1, 71)], 5: document(rng, 30, 1)}
+    rows = [(d, n, kind, head or None, level, text) for d, segs in docs.items() for n, kind, head, level, text, _ in segs]
+    found = pf.semantic_prefilter(spark.createDataFrame(rows, "doc_id long, n long, type string, heading string, level int, text string"), 40, 12)
+    plans = [df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1] for df in [*frames, found]]
+    dealt = [re.sub(r"#\d+L?", "", x) for plan in plans for x in re.findall(r"Exchange hashpartitioning\(([^)]*)\)", plan)]
+    assert dealt and not [x for x in dealt if "term" in x] and len(dealt) <= 12
+    got = {}
+    for r in found.collect():
+        got.setdefault(r.doc_id, {})[r.n] = r.reason
+    assert {d: sorted(x.items()) for d, x in got.items()} == {d: sorted(brute(segs, 40, 12, False).items()) for d, segs in docs.items()}
