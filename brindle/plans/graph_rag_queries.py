@@ -142,7 +142,7 @@ def kg10_louvain(spark, d):
     """Communities of suppliers and parts by modularity."""
     from .graph_queries import _edges
 
-    return cm.louvain(gr.undirected(_edges(spark, d), weight=None))
+    return cm.louvain(materialize(gr.undirected(_edges(spark, d), weight=None)))
 
 
 @query()
