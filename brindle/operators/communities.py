@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..sources.storage import materialize
 from .graph_blocks import Blocks
+from .pairs import sizes_and_nodes, unpacked
 
 #: A move has to gain more modularity than this, and in a large graph, where that is much, more than this share of the node's own.
 GAIN, SHARE = 1e-9, 1e-4
@@ -221,10 +222,11 @@ def local_moving(edges: DataFrame, resolution: float = 1.0, m2: float | None = N
     Up to FEW_NODES nodes (counted) their labels are broadcast to blocks of edges; beyond, edges
     and labels are joined.
     """
-    nodes = materialize(edges.select("a").distinct())
+    n, nodes = sizes_and_nodes(edges)
+    nodes = materialize(nodes)
     if nodes.count() > FEW_NODES:
         return _moving_by_joins(edges, resolution, m2)
-    graph = Blocks(edges, edges.count(), nodes, FOLD_EDGES // 2)
+    graph = Blocks(edges, n, nodes, FOLD_EDGES // 2)
     m2, all_nodes = m2 or float(graph.k.sum()), np.ones(len(graph.names), bool)
     return graph.labels(_settled(graph, all_nodes, m2, resolution) if m2 else np.arange(len(graph.names)), all_nodes)
 
@@ -343,12 +345,13 @@ def _levels_by_joins(edges: DataFrame, resolution: float, levels: int, m2: float
 
 
 def _levels(edges: DataFrame, resolution: float, levels: int, m2: float | None = None, split: bool = True) -> DataFrame:
-    n = edges.count()
+    n, nodes = sizes_and_nodes(edges)
     if n <= FOLD_EDGES:
+        edges = unpacked(edges)
         return _fold(edges, m2 or edges.agg(F.sum("weight")).first()[0] or 0.0, resolution, levels)
-    nodes = materialize(edges.select("a").distinct())
+    nodes = materialize(nodes)
     if nodes.count() > FEW_NODES:
-        return _levels_by_joins(edges, resolution, levels, m2, split)
+        return _levels_by_joins(unpacked(edges), resolution, levels, m2, split)
     graph = Blocks(edges, n, nodes, FOLD_EDGES // 2)
     m2 = m2 or float(graph.k.sum())
     done, active = None, np.ones(len(graph.names), bool)
@@ -373,7 +376,7 @@ def _levels(edges: DataFrame, resolution: float, levels: int, m2: float | None =
 def louvain(edges: DataFrame, resolution: float = 1.0, levels: int = 1_000, least: int = 2) -> DataFrame:
     """(node, community): local moving, then again between the communities found, until a level adds nothing.
 
-    edges are (a, b, weight), both ways, nodes longs. A graph or connected component of at
+    edges are (a, b, weight), both ways, nodes longs, as rows or packed. A graph or connected component of at
     most FOLD_EDGES edges (counted) is folded in one task, node by node; in a larger one blocks of
     nodes move, and the graph of its communities is folded as soon as it is small. edges are
     read some times, so what is costly to make should be kept before. Communities of

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..sources.storage import materialize
+from .pairs import arrays_of, is_packed
 
 #: What a block holds of its nodes: their numbers, where their edges begin, the other edges' ends and weights, the degrees, and what of them are loops.
 _KINDS = {"own": "i4", "begins": "i8", "ends": "i4", "weights": "f8", "k": "f8", "loops": "f8"}
@@ -26,12 +27,25 @@ def _arrays(batches: Iterator[pa.RecordBatch], kinds: tuple[str, ...]) -> Iterat
             yield [np.frombuffer(c[i].as_buffer(), kind) for c, kind in zip(batch.columns, kinds, strict=True)]
 
 
+def _some(parts: Iterator[tuple], least: int = 500_000) -> Iterator[list[np.ndarray]]:
+    """Arrays of so many edges at least, the last ones excepted."""
+    held, n = [], 0
+    for part in parts:
+        held.append(part)
+        n += len(part[0])
+        if n >= least:
+            yield [np.concatenate(x) for x in zip(*held, strict=True)]
+            held, n = [], 0
+    if held:
+        yield [np.concatenate(x) for x in zip(*held, strict=True)]
+
+
 def _schema(n: int) -> str:
     return ", ".join(f"c{i} binary" for i in range(n))
 
 
 class Blocks:
-    """Edges (a, b, weight, both ways, n of them) of nodes (a) that are few: numbered in their order, their edges dealt by node to blocks of at most size edges or so.
+    """Edges (a, b, weight, both ways, n of them, packed or not) of nodes (a) that are few: numbered in their order, their edges dealt by node to blocks of at most size edges or so.
 
     names, k (degrees) and count (edges) of the nodes are arrays in the driver; the edges
     are in the shared folder, and a task holds one block.
@@ -42,22 +56,30 @@ class Blocks:
         self.names = np.sort(nodes.select(F.col("a").cast("long")).toArrow().column(0).to_numpy())
         names = self.shared = self.sc.broadcast(self.names)
 
-        def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            parts = [[c.to_numpy(zero_copy_only=False) for c in x.columns] for x in batches if x.num_rows]
-            if not parts:
-                return
-            a, b, w = (np.concatenate(x) for x in zip(*parts, strict=True))
-            own, x = np.unique(np.searchsorted(names.value, a), return_inverse=True)
-            y = np.searchsorted(names.value, b)
-            k, other = np.bincount(x, w, len(own)), own[x] != y
-            loops = np.bincount(x[~other], w[~other], len(own))
-            x, y, w = x[other], y[other], w[other]
-            order = np.argsort(x * len(names.value) + y)
-            begins = np.searchsorted(x[order], np.arange(len(own) + 1))
-            yield _binary((own, begins, y[order], w[order], k, loops), tuple(_KINDS.values()))
-
-        rows = edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double"))
-        self.blocks = materialize(rows.repartition(max(1, math.ceil(n / size)), "a").mapInArrow(build, _schema(len(_KINDS))))
+        blocks = max(1, math.ceil(n / size))
+
+        def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for a, b, w in _some(arrays_of(batches)):
+                x, y = np.searchsorted(names.value, a).astype(np.int32), np.searchsorted(names.value, b).astype(np.int32)
+                order = np.argsort(x % blocks, kind="stable")
+                cuts = np.searchsorted((x % blocks)[order], np.arange(blocks + 1))
+                for k in np.flatnonzero(np.diff(cuts)).tolist():
+                    at = order[cuts[k] : cuts[k + 1]]
+                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([z.tobytes()], pa.binary()) for z in (x[at], y[at], w[at]))], names=["block", "x", "y", "w"])
+
+        def build(table: pa.Table) -> pa.Table:
+            x, y, w = (np.concatenate([np.frombuffer(z.as_buffer(), kind) for z in table[c]]) for c, kind in (("x", "i4"), ("y", "i4"), ("w", "f8")))
+            own, at = np.unique(x, return_inverse=True)
+            k, other = np.bincount(at, w, len(own)), x != y
+            loops = np.bincount(at[~other], w[~other], len(own))
+            at, y, w = at[other], y[other], w[other]
+            order = np.argsort(at * len(names.value) + y)
+            begins = np.searchsorted(at[order], np.arange(len(own) + 1))
+            return pa.Table.from_batches([_binary((own, begins, y[order], w[order], k, loops), tuple(_KINDS.values()))])
+
+        rows = edges if is_packed(edges) else edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double"))
+        parts = rows.mapInArrow(dealt, "block int, x binary, y binary, w binary")
+        self.blocks = materialize(parts.repartition(max(blocks, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block").groupBy("block").applyInArrow(build, _schema(len(_KINDS))))
         self.k, self.count = np.zeros(len(self.names)), np.zeros(len(self.names), np.int64)
         for own, k, m in self.each(lambda own, begins, ends, weights, k, loops: (own, k, np.diff(begins)), ("i4", "f8", "i8")):
             self.k[own], self.count[own] = k, m

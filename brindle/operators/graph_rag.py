@@ -78,9 +78,9 @@ def drift_search(local: DataFrame, communities: DataFrame) -> DataFrame:
     return local.crossJoin(themes).select(F.concat(F.lit("Specific details:\n"), "answer", F.lit("\n\nBroader themes:\n"), lines).alias("answer"), "sources", "entities", F.size("t").cast("long").alias("communities_used"))  # one row each
 
 
-def summaries(communities: DataFrame, mentions: DataFrame, top: int = 5) -> DataFrame:
-    """communities (community, entity) with summary: the entities of most mentions, ties by name."""
-    counts = mentions.groupBy("entity").agg(F.countDistinct("chunk_id").alias("n"))
+def summaries(communities: DataFrame, mentions: DataFrame, top: int = 5, counts: DataFrame | None = None) -> DataFrame:
+    """communities (community, entity) with summary: the entities of most mentions, ties by name. counts (entity, n): the entities' mentions, where they are known."""
+    counts = mentions.groupBy("entity").agg(F.countDistinct("chunk_id").alias("n")) if counts is None else counts
     placed = communities.join(counts, "entity", "left").withColumn("at", F.row_number().over(W.partitionBy("community").orderBy(F.desc_nulls_last("n"), "entity")))
     named = placed.where(F.col("at") <= top).groupBy("community").agg(F.transform(F.array_sort(F.collect_list(F.struct("at", "entity"))), lambda x: x["entity"]).alias("names"))
     return communities.join(named.select("community", F.array_join("names", ", ").alias("summary")), "community")
@@ -163,31 +163,41 @@ def chunks_of(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", words
     return cut.select(F.concat_ws(":", F.col("doc_id").cast("string"), F.col("c.k").cast("string")).alias("chunk_id"), "doc_id", "c.text")
 
 
+#: Up to so many names (counted) they are broadcast.
+FEW_NAMES = 500_000
+
+
 def graph_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 2) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(chunks, mentions, relations, communities) of documents, each materialised once.
+    """(chunks, mentions, relations, communities) of documents; chunks, mentions, communities and the numbers that relations are made of are kept.
 
     Entities are the significant candidates; a mention is a chunk that holds one as a
     token; two entities of a chunk are related, from ``least`` common chunks on. Chunks
     are short, so a chunk's pairs are bounded. Communities are those of the relations'
-    graph, with the entities of most mentions as summary.
+    graph, with the entities of most mentions as summary. Entities are numbered in the
+    order of their names, and pairs of numbers are counted.
     """
     from ..functions import text as tx
     from ..sources.storage import materialize
     from . import communities as cm
     from . import graph as gr
+    from .pairs import both_ways, common_pairs, unpacked
+    from .rank import ranked
 
     chunks = materialize(chunks_of(docs, doc_id, text))
-    names = gr.significant(gr.candidates(docs, doc_id, text)).select(F.col("name").alias("entity"))
+    found = gr.significant(gr.candidates(docs, doc_id, text)).select(F.col("name").alias("entity"), F.lit(0).alias("none"))
+    names = materialize(ranked(found, "none", "entity").select("entity", (F.col("rank") - 1).alias("id")))
+    small = F.broadcast if names.count() <= FEW_NAMES else lambda x: x
     words = chunks.select("chunk_id", F.explode(F.array_distinct(tx.tokens(F.col("text"), 3))).alias("entity"))
-    mentions = materialize(words.join(names, "entity"))
-    own = mentions.groupBy("chunk_id").agg(F.array_sort(F.collect_list("entity")).alias("own")).where(F.size("own") > 1)
-    ends = own.select("own", F.posexplode("own").alias("at", "source")).select("source", F.explode(F.slice("own", F.col("at") + 2, F.size("own"))).alias("target"))
-    related = ends.groupBy("source", "target").agg(F.count("*").alias("weight")).where(F.col("weight") >= least)
-    relations = materialize(related.select("source", F.lit("related_to").alias("relation"), "target", "weight"))
-    ids = relations.select(F.col("source").alias("entity")).union(relations.select("target")).distinct().withColumn("node", F.xxhash64("entity"))
-    edges = gr.undirected(relations.select(F.xxhash64("source").alias("src"), F.xxhash64("target").alias("dst"), "weight"))
-    found = cm.louvain(edges).join(ids, "node").select("community", "entity")
-    return chunks, mentions, relations, materialize(summaries(found, mentions))
+    held = materialize(words.join(small(names), "entity"))
+    mentions = held.select("chunk_id", "entity")
+    own = held.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.col("id").cast("int"))).alias("own"))
+    lists = materialize(own.groupBy("own").agg(F.count("*").alias("copies")))
+    pairs = common_pairs(lists, least)
+    ends = [small(names.select(F.col("id").alias(x), F.col("entity").alias(name))) for x, name in (("a", "source"), ("b", "target"))]
+    relations = unpacked(pairs).join(ends[0], "a").join(ends[1], "b").select("source", F.lit("related_to").alias("relation"), "target", F.col("weight").cast("long"))
+    communities = cm.louvain(both_ways(pairs)).join(names, F.col("node") == F.col("id")).select("community", "entity")
+    counts = lists.select(F.explode("own").alias("id"), "copies").groupBy("id").agg(F.sum("copies").alias("n")).join(names, "id").select("entity", "n")
+    return chunks, mentions, relations, materialize(summaries(communities, mentions, counts=counts))
 
 
 def asked_words(question: str) -> list[str]:
