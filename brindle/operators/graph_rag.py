@@ -168,7 +168,7 @@ FEW_NAMES = 500_000
 
 
 def graph_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", least: int = 2) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
-    """(chunks, mentions, relations, communities) of documents; chunks, mentions, communities and the numbers that relations are made of are kept.
+    """(chunks, mentions, relations, communities) of documents; chunks, communities and the numbers that mentions and relations are made of are kept.
 
     Entities are the significant candidates; a mention is a chunk that holds one as a
     token; two entities of a chunk are related, from ``least`` common chunks on. Chunks
@@ -185,12 +185,11 @@ def graph_index(docs: DataFrame, doc_id: str = "doc_id", text: str = "text", lea
 
     chunks = materialize(chunks_of(docs, doc_id, text))
     found = gr.significant(gr.candidates(docs, doc_id, text)).select(F.col("name").alias("entity"), F.lit(0).alias("none"))
-    names = materialize(ranked(found, "none", "entity").select("entity", (F.col("rank") - 1).alias("id")))
+    names = materialize(ranked(found, "none", "entity").select("entity", (F.col("rank") - 1).cast("int").alias("id")))
     small = F.broadcast if names.count() <= FEW_NAMES else lambda x: x
     words = chunks.select("chunk_id", F.explode(F.array_distinct(tx.tokens(F.col("text"), 3))).alias("entity"))
-    held = materialize(words.join(small(names), "entity"))
-    mentions = held.select("chunk_id", "entity")
-    own = held.groupBy("chunk_id").agg(F.array_sort(F.collect_set(F.col("id").cast("int"))).alias("own"))
+    own = materialize(words.join(small(names), "entity").groupBy("chunk_id").agg(F.array_sort(F.collect_set("id")).alias("own")))
+    mentions = own.select("chunk_id", F.explode("own").alias("id")).join(small(names), "id").select("chunk_id", "entity")
     lists = materialize(own.groupBy("own").agg(F.count("*").alias("copies")))
     pairs = common_pairs(lists, least)
     ends = [small(names.select(F.col("id").alias(x), F.col("entity").alias(name))) for x, name in (("a", "source"), ("b", "target"))]
