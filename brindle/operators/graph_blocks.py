@@ -57,6 +57,11 @@ class Blocks:
         names = self.shared = self.sc.broadcast(self.names)
 
         blocks = max(1, math.ceil(n / size))
+        spark = edges.sparkSession
+        tasks = max(blocks, int(spark.conf.get("spark.sql.shuffle.partitions")))
+        number = F.col("id").cast("int")
+        place = {r["task"]: r["id"] for r in spark.range(20 * tasks).select("id", F.pmod(F.hash(number), F.lit(tasks)).alias("task")).collect()}
+        keys = [place.get(k, 20 * tasks + k) for k in range(blocks)]  # numbers that go to different tasks
 
         def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for a, b, w in _some(arrays_of(batches)):
@@ -65,7 +70,7 @@ class Blocks:
                 cuts = np.searchsorted((x % blocks)[order], np.arange(blocks + 1))
                 for k in np.flatnonzero(np.diff(cuts)).tolist():
                     at = order[cuts[k] : cuts[k + 1]]
-                    yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([z.tobytes()], pa.binary()) for z in (x[at], y[at], w[at]))], names=["block", "x", "y", "w"])
+                    yield pa.RecordBatch.from_arrays([pa.array([keys[k]], pa.int32()), *(pa.array([z.tobytes()], pa.binary()) for z in (x[at], y[at], w[at]))], names=["block", "x", "y", "w"])
 
         def build(table: pa.Table) -> pa.Table:
             x, y, w = (np.concatenate([np.frombuffer(z.as_buffer(), kind) for z in table[c]]) for c, kind in (("x", "i4"), ("y", "i4"), ("w", "f8")))
@@ -79,7 +84,7 @@ class Blocks:
 
         rows = edges if is_packed(edges) else edges.select(F.col("a").cast("long"), F.col("b").cast("long"), F.col("weight").cast("double"))
         parts = rows.mapInArrow(dealt, "block int, x binary, y binary, w binary")
-        self.blocks = materialize(parts.repartition(max(blocks, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions"))), "block").groupBy("block").applyInArrow(build, _schema(len(_KINDS))))
+        self.blocks = materialize(parts.repartition(tasks, "block").groupBy("block").applyInArrow(build, _schema(len(_KINDS))))
         self.k, self.count = np.zeros(len(self.names)), np.zeros(len(self.names), np.int64)
         for own, k, m in self.each(lambda own, begins, ends, weights, k, loops: (own, k, np.diff(begins)), ("i4", "f8", "i8")):
             self.k[own], self.count[own] = k, m
